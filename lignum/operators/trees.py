@@ -23,6 +23,16 @@ from lignum.functions.constants import EMPTY, SEP
 NODE_COLS = ["tree_id", "node_id", "parent_id", "type", "is_terminal", "start", "end"]
 
 
+def by_tree(df: DataFrame, col: str = "tree_id") -> DataFrame:
+    """Hash-partition by tree id into ``spark.sql.shuffle.partitions`` parts.
+
+    An explicit count keeps AQE from coalescing the shuffle: the input is
+    small in bytes but every byte fans out into many node rows downstream.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, col)
+
+
 # ---------------------------------------------------------------------------
 # Node tables from nested sources
 # ---------------------------------------------------------------------------
@@ -50,9 +60,8 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sibling ordinal ``j``, parent fan-out ``kp`` and fan-out ``k``, which let
     ``root_paths`` take its one-sort preorder route.
     """
-    d = (docs.select(F.col(id_col).cast("long").alias("tree_id"),
-                     F.col(text_col).alias("text"), *keep)
-         .repartition("tree_id"))
+    d = by_tree(docs.select(F.col(id_col).cast("long").alias("tree_id"),
+                            F.col(text_col).alias("text"), *keep))
     lines = d.select("tree_id", *keep, F.octet_length("text").cast("int").alias("tlen"),
                      F.posexplode(F.split("text", "\n", -1)).alias("li", "line"))
     before = W.partitionBy("tree_id").orderBy("li").rowsBetween(W.unboundedPreceding, -1)
@@ -116,9 +125,8 @@ def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
     Positions are logical (``start`` orders siblings): an order sits at
     ``8 * o_orderkey`` and its lines at ``8 * o_orderkey + l_linenumber``.
     """
-    c = customer.select(F.col("c_custkey").alias("tree_id")).repartition("tree_id")
-    o = (orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus")
-         .repartition("tree_id"))
+    c = by_tree(customer.select(F.col("c_custkey").alias("tree_id")))
+    o = by_tree(orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus"))
     li = lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
     oli = o.join(li, o.o_orderkey == li.l_orderkey)
     root = c.select("tree_id", F.lit(0).cast("long").alias("node_id"),
@@ -158,7 +166,7 @@ def tokens(nodes: DataFrame, texts: DataFrame, id_col: str = "doc_id",
     t = texts.select(F.col(id_col).cast("long").alias("tree_id"), F.col(text_col).alias("text"))
     term = nodes.where("is_terminal").select("tree_id", "node_id", "start", "end")
     tok = F.row_number().over(W.partitionBy("tree_id").orderBy("start", "node_id")) - 1
-    return (term.join(t.repartition("tree_id"), "tree_id")
+    return (term.join(by_tree(t), "tree_id")
             .select("tree_id", tok.cast("int").alias("tok"), "node_id", "start", "end",
                     token_text(F.col("text"), F.col("start"), F.col("end")).alias("token")))
 

@@ -1 +1,3 @@
-"""lignum.plans"""
+"""Registered query plans over the shared tables."""
+
+from lignum.plans import doc_trees, results  # noqa: F401
