@@ -175,7 +175,8 @@ scores AS (SELECT tree_id, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (
 # --------------------------------------------------------------------------
 
 @query("doc_tree_nodes", sql="WITH " + NODES_CTE + """
-SELECT tree_id, node_id, parent_id, type, is_terminal, start, "end", depth FROM nodes""")
+SELECT tree_id, node_id::BIGINT AS node_id, parent_id::BIGINT AS parent_id, type, is_terminal,
+       start::BIGINT AS start, "end"::BIGINT AS "end", depth::BIGINT AS depth FROM nodes""")
 def doc_tree_nodes(spark, sf):
     """Node table of the document trees."""
     n = doc_nodes(spark, sf)
@@ -191,7 +192,8 @@ lv AS (
   UNION ALL SELECT tree_id, 1, cost FROM lc
   UNION ALL SELECT sc.tree_id, 2, lc.cost + sc.cost FROM sc JOIN lc USING (tree_id, li)
   UNION ALL SELECT tree_id, 3, lcost + sc + wc FROM wc)
-SELECT tree_id, depth, count(*) AS n_nodes, sum(c) AS sum_c, max(c) AS max_c FROM lv GROUP BY tree_id, depth""")
+SELECT tree_id, depth::BIGINT AS depth, count(*) AS n_nodes, sum(c)::BIGINT AS sum_c, max(c)::BIGINT AS max_c
+FROM lv GROUP BY tree_id, depth""")
 def doc_tree_levels(spark, sf):
     """Closure depth and binary depth per level."""
     _, paths, _, _ = doc_encoding(spark, sf)
@@ -199,14 +201,15 @@ def doc_tree_levels(spark, sf):
         F.count(F.lit(1)).alias("n_nodes"), F.sum("C").alias("sum_c"), F.max("C").alias("max_c")))
 
 
-@query("tree_gaps", sql="WITH " + GAPS_CTE + " SELECT tree_id, gap, d, c FROM gaps", headline=True)
+@query("tree_gaps", sql="WITH " + GAPS_CTE + " SELECT tree_id, gap::BIGINT AS gap, d::BIGINT AS d, c FROM gaps",
+       headline=True)
 def tree_gaps(spark, sf):
     """Gap heights and labels."""
     _, _, gaps, _ = doc_encoding(spark, sf)
     return finish(gaps)
 
 
-@query("tree_unary", sql="WITH " + GAPS_CTE + " SELECT tree_id, tok, u FROM unary WHERE u <> '<empty>'")
+@query("tree_unary", sql="WITH " + GAPS_CTE + " SELECT tree_id, tok::BIGINT AS tok, u FROM unary WHERE u <> '<empty>'")
 def tree_unary(spark, sf):
     """Unary labels of leaves (non-empty only)."""
     _, _, _, leaves = doc_encoding(spark, sf)
@@ -219,8 +222,8 @@ fg AS (SELECT tree_id, count(*) AS n_gaps, sum(d) AS sum_d, max(d) AS max_d,
               string_agg(c, ' ' ORDER BY gap) FILTER (WHERE gap < 3) AS head_c FROM gaps GROUP BY tree_id),
 fu AS (SELECT tree_id, count(*) AS num_tokens, sum(CASE WHEN u <> '<empty>' THEN 1 ELSE 0 END) AS n_unary
        FROM unary GROUP BY tree_id)
-SELECT fu.tree_id, num_tokens, coalesce(n_gaps, 0) AS n_gaps, sum_d, max_d, coalesce(n_labelled, 0) AS n_labelled,
-       n_unary, head_c
+SELECT fu.tree_id, num_tokens, coalesce(n_gaps, 0) AS n_gaps, sum_d::BIGINT AS sum_d, max_d::BIGINT AS max_d,
+       coalesce(n_labelled, 0)::BIGINT AS n_labelled, n_unary::BIGINT AS n_unary, head_c
 FROM fu LEFT JOIN fg USING (tree_id)""")
 def tree_features(spark, sf):
     """Compact per-tree arrays, summarised (array contents checked in tests)."""
@@ -237,7 +240,8 @@ def tree_features(spark, sf):
         .withColumn("head_c", F.when(F.col("n_gaps") > 0, F.col("head_c"))))
 
 
-@query("span_set", sql="WITH " + GAPS_CTE + " SELECT tree_id, label, lo, hi FROM tspans", headline=True)
+@query("span_set", sql="WITH " + GAPS_CTE + " SELECT tree_id, label, lo::BIGINT AS lo, hi::BIGINT AS hi FROM tspans",
+       headline=True)
 def span_set(spark, sf):
     """Decode the encoded trees back to labelled spans."""
     _, _, gaps, leaves = doc_encoding(spark, sf)
@@ -254,7 +258,7 @@ def roundtrip_f1(spark, sf):
 
 
 @query("perturbed_f1_by_lang", sql="WITH " + PRED_CTE + """
-SELECT l.lang, count(*) AS n_trees, avg(s.p) AS p, avg(s.r) AS r, avg(s.f1) AS f1
+SELECT l.lang, count(*) AS n_trees, round(avg(s.p), 6) AS p, round(avg(s.r), 6) AS r, round(avg(s.f1), 6) AS f1
 FROM scores s JOIN langs l USING (tree_id) GROUP BY l.lang""", headline=True)
 def perturbed_f1_by_lang(spark, sf):
     """Macro precision / recall / F1 per language of a noisy prediction."""
@@ -274,7 +278,7 @@ hl AS (SELECT p.tree_id, p.label, count(*) AS hit FROM pspans p
                      AND t.lo = p.lo AND t.hi = p.hi) GROUP BY p.tree_id, p.label),
 rl AS (SELECT tl.tree_id, tl.label, coalesce(hl.hit, 0) / tl.n_true AS recall
        FROM tl LEFT JOIN hl USING (tree_id, label))
-SELECT label, count(*) AS n_trees, avg(recall) AS recall FROM rl GROUP BY label""")
+SELECT label, count(*) AS n_trees, round(avg(recall), 6) AS recall FROM rl GROUP BY label""")
 def recall_by_label(spark, sf):
     """Mean per-label recall of the noisy prediction."""
     _, paths, gaps, leaves = doc_encoding(spark, sf)
