@@ -119,29 +119,33 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         "type", "is_terminal", "start", "end", "depth", "j", "kp", "k")
 
 
-def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
+                max_lines: int = 1 << 32) -> DataFrame:
     """C1 on relational input: customer -> order -> lineitem trees.
 
     Positions are logical (``start`` orders siblings): an order sits at
-    ``8 * o_orderkey`` and its lines at ``8 * o_orderkey + l_linenumber``.
+    ``2**32 * (o_orderkey + 1)`` and its lines follow it, numbered by
+    ``(l_linenumber, l_partkey, l_suppkey)`` within the order (line numbers
+    may repeat).  Orders without lines are childless non-terminals.
     """
     c = by_tree(customer.select(F.col("c_custkey").alias("tree_id")))
     o = by_tree(orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus"))
-    li = lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     oli = o.join(li, o.o_orderkey == li.l_orderkey)
+    rn = F.row_number().over(W.partitionBy("tree_id", "o_orderkey")
+                             .orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    oli = oli.withColumn("rn", rn)
+    base = (F.col("o_orderkey") + 1) * max_lines
     root = c.select("tree_id", F.lit(0).cast("long").alias("node_id"),
                     F.lit(None).cast("long").alias("parent_id"), F.lit("customer").alias("type"),
                     F.lit(False).alias("is_terminal"), F.lit(0).cast("long").alias("start"))
-    order_nodes = o.select("tree_id", (F.col("o_orderkey") * 8 + 8).alias("node_id"),
-                           F.lit(0).cast("long").alias("parent_id"),
+    order_nodes = o.select("tree_id", base.alias("node_id"), F.lit(0).cast("long").alias("parent_id"),
                            F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("type"),
-                           F.lit(False).alias("is_terminal"),
-                           (F.col("o_orderkey") * 8 + 8).alias("start"))
-    item_nodes = oli.select("tree_id", (F.col("o_orderkey") * 8 + 8 + F.col("l_linenumber")).alias("node_id"),
-                            (F.col("o_orderkey") * 8 + 8).alias("parent_id"),
-                            F.concat(F.lit("item_"), F.lower("l_returnflag")).alias("type"),
-                            F.lit(True).alias("is_terminal"),
-                            (F.col("o_orderkey") * 8 + 8 + F.col("l_linenumber")).alias("start"))
+                           F.lit(False).alias("is_terminal"), base.alias("start"))
+    item_nodes = oli.select(
+        "tree_id", (base + F.col("rn")).alias("node_id"), base.alias("parent_id"),
+        F.concat(F.lit("item_"), F.lower("l_returnflag")).alias("type"),
+        F.lit(True).alias("is_terminal"), (base + F.col("rn")).alias("start"))
     nodes = root.unionByName(order_nodes).unionByName(item_nodes)
     return nodes.withColumn("end", F.col("start") + 1)
 

@@ -285,3 +285,93 @@ def recall_by_label(spark, sf):
     pred = S.decode(predicted(T.features(gaps, leaves)))
     lr = S.label_recall(S.tree_spans(paths), pred)
     return finish(lr.groupBy("label").agg(F.count(F.lit(1)).alias("n_trees"), F.avg("recall").alias("recall")))
+
+
+# --------------------------------------------------------------------------
+# relational trees and tree edits
+# --------------------------------------------------------------------------
+
+ORDER_CTE = r"""
+ordr AS (SELECT o_custkey AS tree_id, o_orderkey, 'order_' || lower(o_orderstatus) AS type FROM orders
+         WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+li AS (SELECT o.tree_id, o.o_orderkey, l_linenumber,
+              row_number() OVER (PARTITION BY o.o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS j,
+              count(*) OVER (PARTITION BY o.o_orderkey) AS k
+       FROM lineitem JOIN ordr o ON l_orderkey = o.o_orderkey),
+nk AS (SELECT o_orderkey, count(*) AS k FROM li GROUP BY o_orderkey),
+oc AS (SELECT o.*, row_number() OVER (PARTITION BY tree_id ORDER BY o_orderkey) AS j,
+              count(*) OVER (PARTITION BY tree_id) AS kt, coalesce(nk.k, 0) AS k
+       FROM ordr o LEFT JOIN nk USING (o_orderkey)),
+oc2 AS (SELECT *, CASE WHEN kt = 1 THEN 0 ELSE least(j, kt - 1) END AS cost,
+               CASE WHEN k <= 1 THEN 0 ELSE k - 1 END AS h,
+               CASE WHEN kt = 1 THEN 'customer<sep>' || type ELSE type END AS chain FROM oc),
+osm AS (SELECT tree_id, j, max(cost + h) OVER (PARTITION BY tree_id ORDER BY j DESC
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS smax FROM oc2),
+lv AS (SELECT oc2.tree_id, oc2.o_orderkey, li.l_linenumber, li.j AS ij, oc2.k, oc2.j AS oj, oc2.chain
+       FROM oc2 LEFT JOIN li USING (o_orderkey)),
+seq AS (SELECT *, lead(o_orderkey) OVER (PARTITION BY tree_id ORDER BY o_orderkey, ij NULLS FIRST) AS nxt,
+               row_number() OVER (PARTITION BY tree_id ORDER BY o_orderkey, ij NULLS FIRST) - 1 AS tok
+        FROM lv),
+ogaps AS (SELECT s.tree_id, s.tok AS gap,
+                 CASE WHEN s.nxt = s.o_orderkey THEN s.k - s.ij ELSE m.smax - (s.oj - 1) END AS d,
+                 CASE WHEN s.nxt = s.o_orderkey THEN CASE WHEN s.ij = 1 THEN s.chain ELSE '<empty>' END
+                      ELSE CASE WHEN s.oj = 1 THEN 'customer' ELSE '<empty>' END END AS c
+          FROM seq s LEFT JOIN osm m ON m.tree_id = s.tree_id AND m.j = s.oj
+          WHERE s.nxt IS NOT NULL)
+"""
+
+
+@query("order_tree_gaps", sql="WITH " + ORDER_CTE + """
+SELECT tree_id, gap::BIGINT AS gap, d::BIGINT AS d, c FROM ogaps""")
+def order_tree_gaps(spark, sf):
+    """C1 (relational), C6-C9 via the generic closure loop: customer -> order -> lineitem."""
+    nodes = T.nest_orders(table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    gaps, _ = T.encode(nodes)
+    return finish(gaps)
+
+
+@query("collapse_literals", sql="WITH " + NODES_CTE + r""",
+lit AS (SELECT tree_id, node_id FROM nodes WHERE type = 'string_literal' AND NOT is_terminal)
+SELECT n.tree_id, count(*) AS n_nodes, sum(CASE WHEN n.is_terminal OR n.type = 'string_literal' THEN 1 ELSE 0 END)::BIGINT
+       AS n_terminals
+FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM lit WHERE lit.tree_id = n.tree_id AND lit.node_id = n.parent_id)
+GROUP BY n.tree_id""")
+def collapse_literals(spark, sf):
+    """C4: string-literal sentences lose their words and become terminals."""
+    nodes, paths, _, _ = doc_encoding(spark, sf)
+    c = T.collapse_literals(nodes, paths=paths)
+    return finish(c.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"),
+                                           F.count_if("is_terminal").alias("n_terminals")))
+
+
+@query("drop_nodes", sql="WITH " + NODES_CTE + r""",
+ex AS (SELECT tree_id, node_id FROM nodes WHERE type = 'exclamation'),
+kept AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.tree_id = n.tree_id AND ex.node_id = n.node_id)),
+reach AS (SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.tree_id = k.tree_id AND ex.node_id = k.parent_id))
+SELECT k.tree_id, count(*) AS n_nodes, count(*) FILTER (WHERE k.parent_id IS NULL) AS n_roots,
+       (SELECT count(*) FROM reach r WHERE r.tree_id = k.tree_id) AS n_reached,
+       count(*) = (SELECT count(*) FROM reach r WHERE r.tree_id = k.tree_id) AS is_tree,
+       bool_or(k.type = 'fragment') AS has_error
+FROM kept k GROUP BY k.tree_id""")
+def drop_nodes(spark, sf):
+    """Drop exclamation sentences (orphaning their words), then check tree shape."""
+    nodes = doc_nodes(spark, sf)
+    kept = T.drop_nodes(nodes, F.col("type") == "exclamation").select(*T.NODE_COLS)
+    chk = T.tree_check(kept)
+    err = T.has_error(kept, "fragment")
+    return finish(chk.join(err, "tree_id").select("tree_id", "n_nodes", "n_roots", "n_reached", "is_tree",
+                                                   "has_error"))
+
+
+@query("gap_render", sql="WITH " + GAPS_CTE + r""",
+pieces AS (SELECT w.tree_id, w.tok, CASE WHEN g.c IS NULL THEN w.word
+                  ELSE w.word || ' -' || g.c || ' ' || g.d::VARCHAR || '-' END AS piece
+           FROM w LEFT JOIN gaps g ON g.tree_id = w.tree_id AND g.gap = w.tok),
+r AS (SELECT tree_id, string_agg(piece, ' ' ORDER BY tok) AS rendered FROM pieces GROUP BY tree_id)
+SELECT tree_id, strlen(rendered)::BIGINT AS n_bytes, md5(rendered) AS digest FROM r""")
+def gap_render(spark, sf):
+    """Token texts cut by byte range, rendered inline with their gaps."""
+    nodes, _, gaps, _ = doc_encoding(spark, sf)
+    toks = T.tokens(nodes, table(spark, sf, "documents").select("doc_id", "text"))
+    r = T.render_gaps(toks, gaps)
+    return finish(r.select("tree_id", F.octet_length("rendered").alias("n_bytes"), F.md5("rendered").alias("digest")))
