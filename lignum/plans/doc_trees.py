@@ -138,24 +138,25 @@ tspans AS (
 langs AS (SELECT DISTINCT tree_id, lang FROM w)
 """
 
-# md5-keyed noise, same expression as ``predicted``
-PRED_CTE = GAPS_CTE + r""",
-hg AS (SELECT tree_id, gap, d, c,
-              ('0x' || substr(md5(tree_id::VARCHAR || ':' || gap::VARCHAR), 1, 6))::BIGINT AS h FROM gaps),
-pg AS (SELECT tree_id, gap, d + (h % 7 - 3) * 0.3 AS d,
-              CASE WHEN h % 5 = 0 THEN 'statement' ELSE c END AS c FROM hg),
-ng AS (SELECT tree_id, count(*) AS n FROM pg GROUP BY tree_id),
-pl AS (SELECT a.tree_id, a.gap, max(b.gap) AS l FROM pg a JOIN pg b
+
+
+def decode_score_sql(pg: str, pu: str) -> str:
+    """Oracle CTEs decoding predicted gaps ``pg(tree_id, gap, d, c)`` and unary
+    labels ``pu(tree_id, tok, u)`` (nearest greater gap by self-join) and
+    scoring them against ``tspans``: defines pspans, tset, scores, rl."""
+    return f""",
+ng AS (SELECT tree_id, count(*) AS n FROM {pg} GROUP BY tree_id),
+pl AS (SELECT a.tree_id, a.gap, max(b.gap) AS l FROM {pg} a JOIN {pg} b
        ON a.tree_id = b.tree_id AND b.gap < a.gap AND b.d >= a.d GROUP BY a.tree_id, a.gap),
-pr AS (SELECT a.tree_id, a.gap, min(b.gap) AS r FROM pg a JOIN pg b
+pr AS (SELECT a.tree_id, a.gap, min(b.gap) AS r FROM {pg} a JOIN {pg} b
        ON a.tree_id = b.tree_id AND b.gap > a.gap AND b.d > a.d GROUP BY a.tree_id, a.gap),
-pnode AS (SELECT pg.tree_id, pg.gap, pg.c, coalesce(pl.l, -1) + 1 AS lo, coalesce(pr.r, ng.n) AS hi,
+pnode AS (SELECT g.tree_id, g.gap, g.c, coalesce(pl.l, -1) + 1 AS lo, coalesce(pr.r, ng.n) AS hi,
                  pl.l IS NULL AND pr.r IS NULL AS is_root
-          FROM pg JOIN ng USING (tree_id)
+          FROM {pg} g JOIN ng USING (tree_id)
           LEFT JOIN pl USING (tree_id, gap) LEFT JOIN pr USING (tree_id, gap)),
 praw AS (SELECT tree_id, CASE WHEN c = '<empty>' THEN 'bad_root' ELSE c END AS label, lo, hi
          FROM pnode WHERE c <> '<empty>' OR is_root
-         UNION ALL SELECT tree_id, u, tok, tok FROM unary WHERE u <> '<empty>'),
+         UNION ALL SELECT tree_id, u, tok, tok FROM {pu} WHERE u <> '<empty>'),
 pspans AS (SELECT tree_id, unnest(string_split(label, '<sep>')) AS label, lo, hi FROM praw),
 tset AS (SELECT DISTINCT tree_id, label, lo, hi FROM tspans),
 hits AS (SELECT p.tree_id, count(*) AS hit FROM pspans p
@@ -166,8 +167,21 @@ cnt AS (SELECT t.tree_id, t.n_true, p.n_pred, coalesce(h.hit, 0) AS hit
         JOIN (SELECT tree_id, count(*) AS n_pred FROM pspans GROUP BY tree_id) p USING (tree_id)
         LEFT JOIN hits h USING (tree_id)),
 sc3 AS (SELECT tree_id, hit / n_pred AS p, hit / n_true AS r FROM cnt),
-scores AS (SELECT tree_id, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM sc3)
-"""
+scores AS (SELECT tree_id, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM sc3),
+tl AS (SELECT tree_id, label, count(*) AS n_true FROM tspans GROUP BY tree_id, label),
+hl AS (SELECT p.tree_id, p.label, count(*) AS hit FROM pspans p
+       WHERE EXISTS (SELECT 1 FROM tset t WHERE t.tree_id = p.tree_id AND t.label = p.label
+                     AND t.lo = p.lo AND t.hi = p.hi) GROUP BY p.tree_id, p.label),
+rl AS (SELECT tl.tree_id, tl.label, coalesce(hl.hit, 0) / tl.n_true AS recall
+       FROM tl LEFT JOIN hl USING (tree_id, label))"""
+
+
+# md5-keyed noise, same expression as ``predicted``
+PRED_CTE = GAPS_CTE + r""",
+hg AS (SELECT tree_id, gap, d, c,
+              ('0x' || substr(md5(tree_id::VARCHAR || ':' || gap::VARCHAR), 1, 6))::BIGINT AS h FROM gaps),
+pg AS (SELECT tree_id, gap, d + (h % 7 - 3) * 0.3 AS d,
+              CASE WHEN h % 5 = 0 THEN 'statement' ELSE c END AS c FROM hg)""" + decode_score_sql("pg", "unary")
 
 
 # --------------------------------------------------------------------------
@@ -271,13 +285,7 @@ def perturbed_f1_by_lang(spark, sf):
         F.avg("f1").alias("f1")))
 
 
-@query("recall_by_label", sql="WITH " + PRED_CTE + r""",
-tl AS (SELECT tree_id, label, count(*) AS n_true FROM tspans GROUP BY tree_id, label),
-hl AS (SELECT p.tree_id, p.label, count(*) AS hit FROM pspans p
-       WHERE EXISTS (SELECT 1 FROM tset t WHERE t.tree_id = p.tree_id AND t.label = p.label
-                     AND t.lo = p.lo AND t.hi = p.hi) GROUP BY p.tree_id, p.label),
-rl AS (SELECT tl.tree_id, tl.label, coalesce(hl.hit, 0) / tl.n_true AS recall
-       FROM tl LEFT JOIN hl USING (tree_id, label))
+@query("recall_by_label", sql="WITH " + PRED_CTE + r"""
 SELECT label, count(*) AS n_trees, round(avg(recall), 6) AS recall FROM rl GROUP BY label""")
 def recall_by_label(spark, sf):
     """Mean per-label recall of the noisy prediction."""
