@@ -96,8 +96,10 @@ def decode(feat: DataFrame, d: str = "d", c: str = "c", u: str = "u") -> DataFra
 
 
 def tree_spans(paths: DataFrame) -> DataFrame:
-    """Spans of the original tree: each node with children over its leaf range."""
-    leaf = paths.where(F.col("k") == 0)
+    """Spans of the original tree: each node with children over its leaf range.
+
+    Takes the closure (``root_paths``) or the leaves returned by ``encode``."""
+    leaf = paths.where(F.col("k") == 0) if "k" in paths.columns else paths
     if "tok" not in leaf.columns:
         from pyspark.sql import Window as W
         leaf = leaf.withColumn("tok", (F.row_number().over(

@@ -354,7 +354,8 @@ def encode(nodes: DataFrame, paths: DataFrame | None = None,
     """C8+C9: node table -> (gaps, leaves).
 
     gaps:   (tree_id, gap, d, c)    one row per pair of adjacent leaves
-    leaves: (tree_id, tok, node_id, u)
+    leaves: (tree_id, tok, node_id, u, path)   (materialised once; ``path``
+            also gives the tree's own spans, see ``spans.tree_spans``)
 
     For adjacent leaves with lowest common ancestor ``n`` whose children
     ``j`` and ``j+1`` hold them: ``d = max{C(leaf) under children >= j of n}
@@ -395,7 +396,7 @@ def encode(nodes: DataFrame, paths: DataFrame | None = None,
             .select("tree_id", F.col("gap").cast("int"),
                     (F.col("smax") - F.col("nC") - (F.col("j") - 1)).cast("int").alias("d"),
                     F.when(F.col("j") == 1, F.col("nchain")).otherwise(F.lit(EMPTY)).alias("c")))
-    return gaps, leaves.select("tree_id", "tok", "node_id", "u")
+    return gaps, leaves.select("tree_id", "tok", "node_id", "u", "path")
 
 
 def features(gaps: DataFrame, leaves: DataFrame, tokens_df: DataFrame | None = None) -> DataFrame:

@@ -43,8 +43,7 @@ def reset_encodings() -> None:
 
 def _doc_encoding(spark: SparkSession, sf: str):
     nodes = doc_nodes(spark, sf)
-    # the closure feeds the encoder and the true spans; materialise it once
-    paths = T.root_paths(nodes, max_depth=DOC_DEPTH).persist()
+    paths = T.root_paths(nodes, max_depth=DOC_DEPTH)
     gaps, leaves = T.encode(nodes, paths)
     return nodes, paths, gaps, leaves
 
@@ -284,7 +283,7 @@ SELECT tree_id, 1.0 AS p, 1.0 AS r, 1.0 AS f1 FROM rt""")
 def roundtrip_f1(spark, sf):
     """decode(encode(tree)) against the tree's own spans (all 1.0)."""
     _, paths, gaps, leaves = doc_encoding(spark, sf)
-    sc = S.span_scores(S.tree_spans(paths), S.decode(T.features(gaps, leaves)))
+    sc = S.span_scores(S.tree_spans(leaves), S.decode(T.features(gaps, leaves)))
     return finish(sc.select("tree_id", "p", "r", "f1"))
 
 
@@ -295,7 +294,7 @@ def perturbed_f1_by_lang(spark, sf):
     """Macro precision / recall / F1 per language of a noisy prediction."""
     nodes, paths, gaps, leaves = doc_encoding(spark, sf)
     pred = S.decode(predicted(T.features(gaps, leaves)))
-    sc = S.span_scores(S.tree_spans(paths), pred)
+    sc = S.span_scores(S.tree_spans(leaves), pred)
     langs = nodes.where(F.col("depth") == 0).select("tree_id", "lang")
     return finish(sc.join(langs, "tree_id").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_trees"), F.avg("p").alias("p"), F.avg("r").alias("r"),
@@ -308,7 +307,7 @@ def recall_by_label(spark, sf):
     """Mean per-label recall of the noisy prediction."""
     _, paths, gaps, leaves = doc_encoding(spark, sf)
     pred = S.decode(predicted(T.features(gaps, leaves)))
-    lr = S.label_recall(S.tree_spans(paths), pred)
+    lr = S.label_recall(S.tree_spans(leaves), pred)
     return finish(lr.groupBy("label").agg(F.count(F.lit(1)).alias("n_trees"), F.avg("recall").alias("recall")))
 
 
