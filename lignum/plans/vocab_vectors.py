@@ -186,3 +186,58 @@ def kmeans_elbow(spark, sf):
     k, _costs, clustered = V.kmeans_elbow(moved, 4, 12)
     heads = V.cluster_heads(clustered, "label", "vec_id")
     return heads.select("cluster", "pos", "vec_id", "label", F.lit(k).alias("k"))
+
+
+# --------------------------------------------------------------------------
+# label vectors: one centroid per (label, language) -- bounded by the label set
+# --------------------------------------------------------------------------
+
+def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors(spark, sf).withColumn("key", F.concat_ws("--", F.col("label").cast("string"), F.col("lang")))
+    c = V.centroids(v, "key").select("key", F.col("centroid").alias("vec"))
+    parts = F.split("key", "--")
+    return c.withColumn("label", F.get(parts, 0)).withColumn("lang", F.get(parts, 1))
+
+
+_LV_SQL = _VEC_SQL + """,
+lvd AS (SELECT label::VARCHAR || '--' || lang AS key, label::VARCHAR AS label, lang, unnest(vec) AS x,
+               generate_subscripts(vec, 1) AS i FROM ev),
+lvm AS (SELECT key, any_value(label) AS label, any_value(lang) AS lang, i, avg(x) AS m FROM lvd GROUP BY key, i),
+lv AS (SELECT key, any_value(label) AS label, any_value(lang) AS lang, list(m ORDER BY i) AS vec FROM lvm GROUP BY key),
+lvu AS (SELECT *, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS unit FROM lv),
+lmd AS (SELECT lang, i, avg(m) AS mu FROM lvm GROUP BY lang, i),
+lm AS (SELECT lang, list(mu ORDER BY i) AS mu FROM lmd GROUP BY lang)"""
+
+
+@query("analogy", sql="WITH " + _LV_SQL + """,
+q AS (SELECT s.label AS query, list_transform(list_zip(s.vec, t.mu, sm.mu), lambda z: z[1] + (z[2] - z[3])) AS y
+      FROM lv s JOIN lm t ON t.lang = 'c' JOIN lm sm ON sm.lang = 'csharp' WHERE s.lang = 'csharp'),
+qn AS (SELECT query, list_transform(y, lambda x: x / sqrt(list_sum(list_transform(y, lambda w: w * w)))) AS y FROM q),
+dd AS (SELECT qn.query, u.key, u.lang,
+              sqrt(list_sum(list_transform(list_zip(u.unit, qn.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist
+       FROM qn, lvu u),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, key) AS rank FROM dd)
+SELECT query, key, round(dist, 6) AS dist, rank FROM rk WHERE rank <= 3 AND lang = 'c'""")
+def analogy(spark, sf):
+    """Shift each csharp label vector by the c - csharp centroid difference,
+    normalise, take its 3 nearest unit label vectors and keep the c ones."""
+    lv = label_vectors(spark, sf).persist()
+    mu = V.centroids(lv, "lang")
+    rows = {r.lang: r.centroid for r in mu.where(F.col("lang").isin("c", "csharp")).collect()}
+    shift = F.array(*[F.lit(float(a - b)) for a, b in zip(rows["c"], rows["csharp"])])
+    q = (lv.where(F.col("lang") == "csharp")
+         .select(F.col("label").alias("query"), V.normalize(V.add(F.col("vec"), shift)).alias("vec")))
+    units = lv.select(F.col("key").alias("vec_id"), V.normalize(F.col("vec")).alias("vec"), "lang")
+    nn = V.knn(units, q, 3)
+    return finish(nn.join(units.select(F.col("vec_id"), "lang"), "vec_id").where(F.col("lang") == "c")
+                  .select("query", F.col("vec_id").alias("key"), "dist", "rank"))
+
+
+@query("plain_labels", sql="WITH " + OCC_SQL + """
+SELECT kind, lang, count(*) AS n_plain, sum(count)::BIGINT AS n_occ FROM lv
+WHERE NOT contains(label, '<empty>') AND NOT contains(label, '<sep>') GROUP BY kind, lang""")
+def plain_labels(spark, sf):
+    """Distinct labels without filler or fused parts, per kind and language."""
+    v = Vo.local_vocab(occurrences(spark, sf))
+    p = v.where(~F.col("label").contains("<empty>") & ~F.col("label").contains("<sep>"))
+    return finish(p.groupBy("kind", "lang").agg(F.count(F.lit(1)).alias("n_plain"), F.sum("count").alias("n_occ")))
