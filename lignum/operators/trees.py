@@ -46,7 +46,7 @@ def sentence_type(last_word: Column, has_quote: Column) -> Column:
 
 
 def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+                   keep: tuple[str, ...] = ("lang",), with_paths: bool = False):
     """Document -> line -> sentence -> word trees with UTF-8 byte offsets.
 
     Lines split on ``\\n``, words on single spaces (empty words dropped), and a
@@ -57,8 +57,14 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and every sentence / line / root node is emitted by the first word under
     it (``explode`` of an array of node structs), so the plan has a single
     shuffle and no union.  Besides the node columns it returns ``depth``,
-    sibling ordinal ``j``, parent fan-out ``kp`` and fan-out ``k``, which let
-    ``root_paths`` take its one-sort preorder route.
+    sibling ordinal ``j``, parent fan-out ``kp`` and fan-out ``k``.
+
+    The word stream stays sorted by (tree, line, sentence, word) through every
+    window, so preorder ids are a running count of emitted nodes and parent
+    ids the first id of each sentence / line: no sort over the node table.
+    With ``with_paths`` it also returns the closure in ``root_paths`` form
+    (root path with binary depth ``C`` and chain labels, leaf rank ``tok``,
+    previous leaf's path), read off the same stream.
     """
     d = by_tree(docs.select(F.col(id_col).cast("long").alias("tree_id"),
                             F.col(text_col).alias("text"), *keep))
@@ -90,33 +96,64 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .withColumn("l_end", F.max("end").over(line_all))
              .withColumn("l_j", F.dense_rank().over(W.partitionBy("tree_id").orderBy("li")).cast("int")))
     words = words.withColumn("t_k", F.max("l_j").over(W.partitionBy("tree_id")).cast("int"))
-    node = lambda depth, start, end, typ, term, j, kp, k: F.struct(
-        F.lit(depth).alias("depth"), start.alias("start"), end.alias("end"), typ.alias("type"),
-        F.lit(term).alias("is_terminal"), j.cast("int").alias("j"), kp.cast("int").alias("kp"),
-        k.cast("int").alias("k"))
     first_in_sent = F.col("wj") == 1
     first_in_line = first_in_sent & (F.col("si") == 0)
     first_in_doc = first_in_line & (F.col("l_j") == 1)
+    # preorder: doc, line, sentence, word nodes are emitted by the first word under them
+    stream = W.partitionBy("tree_id").orderBy("li", "si", "wi")
+    upto = stream.rowsBetween(W.unboundedPreceding, W.currentRow)
+    n_emit = (1 + first_in_sent.cast("int") + first_in_line.cast("int") + first_in_doc.cast("int"))
+    words = (words.withColumn("cum", F.sum(n_emit).over(upto).cast("int"))
+             .withColumn("tok", (F.row_number().over(stream) - 1).cast("int")))
+    sent_first = W.partitionBy("tree_id", "li", "si").orderBy("wi").rowsBetween(W.unboundedPreceding, W.currentRow)
+    line_first = W.partitionBy("tree_id", "li").orderBy("si", "wi").rowsBetween(W.unboundedPreceding, W.currentRow)
+    words = (words.withColumn("sent_id", F.first(F.col("cum") - 2).over(sent_first))
+             .withColumn("line_id", F.first(F.col("cum") - 3).over(line_first))
+             .withColumn("word_id", F.col("cum") - 1)
+             .withColumn("stype", sentence_type(F.col("s_last"), F.col("s_q"))))
+    cost = lambda j, kp: F.when(kp == 1, F.lit(0)).otherwise(F.least(j, kp - 1))
+    c_line = cost(F.col("l_j"), F.col("t_k"))
+    c_sent = c_line + cost(F.col("si") + 1, F.col("l_k"))
+    c_word = c_sent + cost(F.col("wj"), F.col("s_k"))
+    ch_root = F.lit("document")
+    ch_line = F.when(F.col("t_k") == 1, F.concat(ch_root, F.lit(SEP + "line"))).otherwise(F.lit("line"))
+    ch_sent = F.when(F.col("l_k") == 1, F.concat(ch_line, F.lit(SEP), F.col("stype"))).otherwise(F.col("stype"))
+    ch_word = F.when(F.col("s_k") == 1, F.concat(ch_sent, F.lit(SEP + "word"))).otherwise(F.lit("word"))
+    el = lambda node_id, j, c, ch: F.struct(node_id.cast("int").alias("node"), j.cast("int").alias("j"),
+                                            c.cast("int").alias("C"), ch.alias("chain"))
+    path = [el(F.lit(0), F.lit(1), F.lit(0), ch_root),
+            el(F.col("line_id"), F.col("l_j"), c_line, ch_line),
+            el(F.col("sent_id"), F.col("si") + 1, c_sent, ch_sent),
+            el(F.col("word_id"), F.col("wj"), c_word, ch_word)]
+    if with_paths:
+        words = words.withColumn("wpath", F.array(*path))
+        words = words.withColumn("prev_path", F.lag("wpath").over(stream))
+    node = lambda depth, nid, pid, start, end, typ, term, j, kp, k: F.struct(
+        nid.cast("int").alias("node_id"), pid.cast("int").alias("parent_id"),
+        F.lit(depth).alias("depth"), start.alias("start"), end.alias("end"), typ.alias("type"),
+        F.lit(term).alias("is_terminal"), j.cast("int").alias("j"), kp.cast("int").alias("kp"),
+        k.cast("int").alias("k"))
     emitted = F.array_compact(F.array(
-        F.when(first_in_doc, node(0, F.lit(0), F.col("tlen"), F.lit("document"), False,
+        F.when(first_in_doc, node(0, F.lit(0), F.lit(None), F.lit(0), F.col("tlen"), F.lit("document"), False,
                                   F.lit(1), F.lit(None), F.col("t_k"))),
-        F.when(first_in_line, node(1, F.col("start"), F.col("l_end"), F.lit("line"), False,
-                                   F.col("l_j"), F.col("t_k"), F.col("l_k"))),
-        F.when(first_in_sent, node(2, F.col("start"), F.col("s_end"),
-                                   sentence_type(F.col("s_last"), F.col("s_q")), False,
-                                   F.col("si") + 1, F.col("l_k"), F.col("s_k"))),
-        node(3, F.col("start"), F.col("end"), F.lit("word"), True, F.col("wj"), F.col("s_k"), F.lit(0))))
-    nodes = words.select("tree_id", *keep, F.explode(emitted).alias("n")).select("tree_id", *keep, "n.*")
-    pre = W.partitionBy("tree_id").orderBy("start", "depth")
-    upto = pre.rowsBetween(W.unboundedPreceding, W.currentRow)
-    nodes = (nodes.withColumn("node_id", (F.row_number().over(pre) - 1).cast("int"))
-             .withColumn("last_line", F.last(F.when(F.col("depth") == 1, F.col("node_id")), True).over(upto))
-             .withColumn("last_sent", F.last(F.when(F.col("depth") == 2, F.col("node_id")), True).over(upto)))
-    parent = (F.when(F.col("depth") == 1, F.lit(0))
-              .when(F.col("depth") == 2, F.col("last_line"))
-              .when(F.col("depth") == 3, F.col("last_sent")))
-    return nodes.select("tree_id", *keep, "node_id", parent.cast("int").alias("parent_id"),
-                        "type", "is_terminal", "start", "end", "depth", "j", "kp", "k")
+        F.when(first_in_line, node(1, F.col("line_id"), F.lit(0), F.col("start"), F.col("l_end"), F.lit("line"),
+                                   False, F.col("l_j"), F.col("t_k"), F.col("l_k"))),
+        F.when(first_in_sent, node(2, F.col("sent_id"), F.col("line_id"), F.col("start"), F.col("s_end"),
+                                   F.col("stype"), False, F.col("si") + 1, F.col("l_k"), F.col("s_k"))),
+        node(3, F.col("word_id"), F.col("sent_id"), F.col("start"), F.col("end"), F.lit("word"), True,
+             F.col("wj"), F.col("s_k"), F.lit(0))))
+    extra = ["wpath", "prev_path", "tok"] if with_paths else []
+    nodes = words.select("tree_id", *keep, *extra, F.explode(emitted).alias("n")).select("tree_id", *keep, *extra, "n.*")
+    cols = ["tree_id", *keep, "node_id", "parent_id", "type", "is_terminal", "start", "end", "depth", "j", "kp", "k"]
+    if not with_paths:
+        return nodes.select(*cols)
+    paths = nodes.select(
+        *cols, F.slice("wpath", 1, F.col("depth") + 1).alias("path"),
+        F.when(F.col("depth") == 3, F.col("tok")).alias("tok"),
+        F.when(F.col("depth") == 3, F.col("prev_path")).alias("prev_path"))
+    paths = (paths.withColumn("C", F.element_at("path", -1)["C"])
+             .withColumn("chain", F.element_at("path", -1)["chain"]))
+    return nodes.select(*cols), paths
 
 
 def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,

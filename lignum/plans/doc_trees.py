@@ -42,8 +42,8 @@ def reset_encodings() -> None:
 
 
 def _doc_encoding(spark: SparkSession, sf: str):
-    nodes = doc_nodes(spark, sf)
-    paths = T.root_paths(nodes, max_depth=DOC_DEPTH)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    nodes, paths = T.nest_documents(docs, with_paths=True)
     gaps, leaves = T.encode(nodes, paths)
     return nodes, paths, gaps, leaves
 
