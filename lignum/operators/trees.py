@@ -323,6 +323,8 @@ def root_paths(nodes: DataFrame, checkpoint_every: int = 8, max_depth: int | Non
         nxt = nxt.withColumn("path", F.concat(F.col("ppath"), F.array(elem())))
         nxt = nxt.drop("pid", "pC", "pchain", "ppath")
         if depth % checkpoint_every == 0:
+            from lignum.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(nxt.sparkSession)  # the cluster's spark.checkpoint.dir
             nxt = nxt.checkpoint(eager=True)
         else:
             nxt = nxt.persist()
