@@ -48,16 +48,16 @@ def _doc_encoding(spark: SparkSession, sf: str):
     return nodes, paths, gaps, leaves
 
 
-def predicted(feat: DataFrame) -> DataFrame:
+def predicted(gaps: DataFrame, leaves: DataFrame) -> DataFrame:
     """Noisy prediction: d + 0.3 * (h mod 7 - 3), label 'statement' where h mod 5 = 0.
 
-    ``h`` is the md5 bucket of ``tree_id:gap``; a row-level projection, no regrouping.
+    ``h`` is the md5 bucket of ``tree_id:gap``, computed on the long gap rows
+    (codegen'd), then packed into per-tree arrays like the true encoding.
     """
-    h = lambda i: md5_bucket(F.concat_ws(":", F.col("tree_id").cast("string"), i.cast("string")))
-    return feat.select(
-        "tree_id", "u",
-        F.transform("d", lambda x, i: x + (h(i) % 7 - 3) * 0.3).alias("d"),
-        F.transform("c", lambda x, i: F.when(h(i) % 5 == 0, F.lit("statement")).otherwise(x)).alias("c"))
+    h = md5_bucket(F.concat_ws(":", F.col("tree_id").cast("string"), F.col("gap").cast("string")))
+    noisy = gaps.select("tree_id", "gap", (F.col("d") + (h % 7 - 3) * 0.3).alias("d"),
+                        F.when(h % 5 == 0, F.lit("statement")).otherwise(F.col("c")).alias("c"))
+    return T.features(noisy, leaves)
 
 
 # --------------------------------------------------------------------------
@@ -293,7 +293,7 @@ FROM scores s JOIN langs l USING (tree_id) GROUP BY l.lang""", headline=True)
 def perturbed_f1_by_lang(spark, sf):
     """Macro precision / recall / F1 per language of a noisy prediction."""
     nodes, paths, gaps, leaves = doc_encoding(spark, sf)
-    pred = S.decode(predicted(T.features(gaps, leaves)))
+    pred = S.decode(predicted(gaps, leaves))
     sc = S.span_scores(S.tree_spans(leaves), pred)
     langs = nodes.where(F.col("depth") == 0).select("tree_id", "lang")
     return finish(sc.join(langs, "tree_id").groupBy("lang").agg(
@@ -306,7 +306,7 @@ SELECT label, count(*) AS n_trees, round(avg(recall), 6) AS recall FROM rl GROUP
 def recall_by_label(spark, sf):
     """Mean per-label recall of the noisy prediction."""
     _, paths, gaps, leaves = doc_encoding(spark, sf)
-    pred = S.decode(predicted(T.features(gaps, leaves)))
+    pred = S.decode(predicted(gaps, leaves))
     lr = S.label_recall(S.tree_spans(leaves), pred)
     return finish(lr.groupBy("label").agg(F.count(F.lit(1)).alias("n_trees"), F.avg("recall").alias("recall")))
 
