@@ -63,7 +63,7 @@ def dedupe_last(spark, sf):
 
 
 @query("allowlist_join", sql="""
-SELECT l.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+SELECT l.doc_id, d.lang, d.n_chars, l.quality::BIGINT AS quality, l.toxic::BIGINT AS toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
 def allowlist_join(spark, sf):
     """List-driven inner join of the labelled ids with the corpus."""
     allow = table(spark, sf, "labels").select("doc_id", "quality", "toxic")

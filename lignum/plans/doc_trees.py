@@ -279,7 +279,7 @@ def span_set(spark, sf):
 
 
 @query("roundtrip_f1", sql="WITH " + GAPS_CTE + """
-SELECT tree_id, 1.0 AS p, 1.0 AS r, 1.0 AS f1 FROM rt""")
+SELECT tree_id, 1.0::DOUBLE AS p, 1.0::DOUBLE AS r, 1.0::DOUBLE AS f1 FROM rt""")
 def roundtrip_f1(spark, sf):
     """decode(encode(tree)) against the tree's own spans (all 1.0)."""
     _, paths, gaps, leaves = doc_encoding(spark, sf)
