@@ -185,7 +185,7 @@ def kmeans_elbow(spark, sf):
     moved = V.displace(v, V.centroids(v, "lang"), "lang", "c").withColumn("vec", V.normalize(F.col("vec")))
     k, _costs, clustered = V.kmeans_elbow(moved, 4, 12)
     heads = V.cluster_heads(clustered, "label", "vec_id")
-    return heads.select("cluster", "pos", "vec_id", "label", F.lit(k).alias("k"))
+    return finish(heads.select("cluster", "pos", "vec_id", "label", F.lit(k).alias("k")))
 
 
 # --------------------------------------------------------------------------
