@@ -107,3 +107,14 @@ def test_single_token_tree(spark):
     assert u == "document<sep>line<sep>fragment"
     spans = sorted((r.label, r.lo, r.hi) for r in S.decode(T.features(gaps, leaves)).collect())
     assert spans == [("document", 0, 0), ("fragment", 0, 0), ("line", 0, 0)]
+
+
+def test_stream_paths_equal_window_paths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
+    nodes, paths = T.nest_documents(docs, with_paths=True)
+    g1, l1 = T.encode(nodes, paths)
+    g2, l2 = T.encode(nodes, T.root_paths(nodes.select(*T.NODE_COLS, "depth", "j", "kp", "k"), max_depth=3))
+    assert sorted(tuple(r) for r in g1.collect()) == sorted(tuple(r) for r in g2.collect())
+    a = sorted((r.tree_id, r.tok, r.u) for r in l1.collect())
+    b = sorted((r.tree_id, r.tok, r.u) for r in l2.collect())
+    assert a == b and len(a) > 0
