@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lignum.llm.common import UPPER, WHITESPACE, row_key, same_row, text_of
+from lignum.llm.common import UPPER, WHITESPACE, row_key, same_row, stored, text_of
 
 MIN_CHARS = 10
 SALTS = 64
@@ -76,7 +76,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``drop_from[i]`` and ``drop_len[i]`` are the runs of zeros of the document's
     keep bitmap (all other bits are one): the bitmap, run-length compressed.
     """
-    gone = dropped_lines(occurrences(docs, id_col, text_col, min_chars), salts)
+    # written once: the range partitioner samples its input, and the order is read twice
+    occ = stored(occurrences(docs, id_col, text_col, min_chars), "lines")
+    gone = dropped_lines(occ, salts)
     pos = gone.groupBy("_id", "_fp").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
     ends = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1))
