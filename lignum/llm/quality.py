@@ -22,10 +22,10 @@ gives an empty result; other columns pass through, same-named ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lignum.llm.common import GAP, WHITESPACE, row_key, text_of
+from lignum.llm.common import GAP, WHITESPACE, row_key, stored, text_of
 
 # Character classes, counted one after the other on what the ones before left.
 CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("space", "[\\x20\\x09-\\x0D]+"),
@@ -55,9 +55,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.withColumn("_t", text_of(F.col(text_col))).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITESPACE)) != "")
     n = F.size("_w")
-    grams = F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW))))
-    df = df.withColumns({"_lines": lines, "_grams": grams})
+    df = df.withColumns({"_lines": lines, "_hash": F.transform("_w", lambda x: F.xxhash64(x))})
+    df = df.withColumn("_grams", F.when(n >= WINDOW, F.transform(
+        F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(WINDOW)]))))
     again = F.size(F.array_distinct("_grams")) < F.size("_grams")
     # positions of windows that occur again: sort (hash, position) and look at the neighbours
     df = df.withColumn("_pairs", F.when(again, F.sort_array(
@@ -73,7 +73,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_symbols": _long(F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", ""))),
         "n_dup_lines": _long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
         "n_repeat_words": _long(F.coalesce(covered, F.lit(0)))})
-    return df.drop("_lines", "_grams", "_pairs", "_at")
+    return df.drop("_lines", "_hash", "_grams", "_pairs", "_at")
 
 
 def base_failed() -> Column:
@@ -105,74 +105,82 @@ def _js_term(p: Column, q: Column) -> Column:
     return (half(p) + half(q)) / 2
 
 
-def common_words(docs: DataFrame, lang_col: str, text_col: str, share: int = SHARE) -> DataFrame:
-    """``_lang, word, q`` (share of the language's words) of words that reach ``1 / share``."""
-    w = docs.select(F.col(lang_col).alias("_lang"),
-                    F.explode(words(F.lower(text_of(F.col(text_col))))).alias("word"))
-    w = w.withColumn("b", F.pmod(F.hash("word"), F.lit(BUCKETS)))
-    bucketed = w.groupBy("_lang", "b").count()
-    total = bucketed.groupBy(F.col("_lang").alias("_bl")).agg(F.sum("count").alias("total"))
-    full = (bucketed.join(total, F.col("_lang").eqNullSafe(F.col("_bl")))
-            .where(F.col("count") * share >= F.col("total"))
-            .select("_bl", F.col("b").alias("_bb"), "total"))
-    # at most `share` buckets of a language reach the share
-    counted = (w.join(F.broadcast(full), F.col("_lang").eqNullSafe(F.col("_bl")) & (F.col("b") == F.col("_bb")))
-               .groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total")))
-    return (counted.where(F.col("n") * share >= F.col("total"))
-            .select("_lang", "word", (F.col("n") / F.col("total")).alias("q"), "total"))
+def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
+                share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """Words that may be common, counted per document, and the full buckets with each language's total.
+
+    A word that makes up ``1 / share`` of a language lies in a bucket that does, so
+    counting only the words of full buckets loses no common word.
+    """
+    text = text_of(F.col(text_col))
+    w = docs.select(*row_key(F.col(id_col), text), F.col(lang_col).alias("_lang"),
+                    F.explode(words(F.lower(text))).alias("_word"))
+    w = w.withColumn("_b", F.pmod(F.hash("_word"), F.lit(BUCKETS)))
+    # one row per language and bucket
+    buckets = stored(w.groupBy("_lang", "_b").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    total = buckets.groupBy(F.col("_lang").alias("_bl")).agg(F.sum("n").alias("_total"))
+    full = (buckets.join(total, F.col("_lang").eqNullSafe(F.col("_bl")))
+            .where(F.col("n") * share >= F.col("_total")).select("_bl", F.col("_b").alias("_bb"), "_total"))
+    # at most `share` buckets of a language are full
+    counted = (w.join(F.broadcast(full), F.col("_lang").eqNullSafe(F.col("_bl")) & (F.col("_b") == F.col("_bb")))
+               .groupBy("_id", "_fp", "_lang", "_word").agg(F.count(F.lit(1)).alias("n")))
+    return stored(counted, "words"), total
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           share: int = SHARE, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
           min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_ref: int = MIN_REF) -> DataFrame:
-    """``docs`` plus the base counts, ``class_distance``, ``word_distance`` (null below the guards),
-    ``base_failed`` and ``kept``."""
+    """``docs`` (without its text) plus the base counts, ``class_distance``, ``word_distance`` (null
+    below the guards), ``base_failed`` and ``kept``."""
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance",
            "word_distance", "base_failed", "kept")
     names = [c for c in docs.columns if c not in new]
     text = text_of(F.col(text_col))
 
-    # references
-    ref = _classes(docs.select(F.col(lang_col).alias("_lang"), text.alias("_t")))
+    # counts of each document, in one pass over the texts
+    key = docs.select(*names, *row_key(F.col(id_col), text), F.col(lang_col).alias("_lang"))
+    feats = _classes(features(key, text_col)).drop("_w", "_t", text_col)
+    feats = stored(feats, "features")
     n_cls = len(CLASSES) + 1
-    ref = ref.groupBy("_lang").agg(*[F.sum(F.get("_classes", F.lit(k))).alias(f"c{k}") for k in range(n_cls)])
+    sums = feats.groupBy(F.col("_lang").alias("_rl")).agg(
+        *[F.sum(F.get("_classes", F.lit(k))).alias(f"c{k}") for k in range(n_cls)])
     all_chars = sum((F.col(f"c{k}") for k in range(1, n_cls)), F.col("c0"))
-    ref = ref.select(F.col("_lang").alias("_rl"), F.array(*[
+    ref = sums.select("_rl", F.array(*[
         F.col(f"c{k}") / F.greatest(all_chars, F.lit(1)) for k in range(n_cls)]).alias("_q"))
-    common = common_words(docs, lang_col, text_col, share)
 
-    # word distance: only common words that a document holds need a row; the others follow from the sums
-    w = docs.select(*row_key(F.col(id_col), text), F.col(lang_col).alias("_lang"),
-                    F.explode(words(F.lower(text))).alias("_word"))
-    c = F.broadcast(common.select(F.col("_lang").alias("_cl"), F.col("word").alias("_cw"), "q"))
-    hits = (w.join(c, F.col("_lang").eqNullSafe(F.col("_cl")) & (F.col("_word") == F.col("_cw")))
-            .groupBy("_id", "_fp", "_lang", "_word").agg(F.count(F.lit(1)).alias("n"), F.first("q").alias("q")))
-    hits = hits.groupBy("_id", "_fp", "_lang").agg(F.collect_list(F.struct("n", "q")).alias("_hits"))
-    whole = common.groupBy("_lang").agg(F.sum("q").alias("_mass"), F.first("total").alias("_total"))
-
-    df = _classes(features(docs, text_col)).withColumns(
-        dict(zip(("_id", "_fp"), row_key(F.col(id_col), F.col("_t")), strict=True)))
-    df = df.drop("_t", "_w")
-    lang = F.col(lang_col)
-    df = df.join(F.broadcast(ref), lang.eqNullSafe(F.col("_rl")), "left")
-    whole = whole.withColumnRenamed("_lang", "_wl")
-    df = df.join(F.broadcast(whole), lang.eqNullSafe(F.col("_wl")), "left")
-    hits = hits.select(F.col("_id").alias("_hi"), F.col("_fp").alias("_hf"), F.col("_lang").alias("_hl"), "_hits")
-    df = df.join(hits.dropDuplicates(["_hi", "_hf", "_hl"]), F.col("_id").eqNullSafe(F.col("_hi"))
-                 & (F.col("_fp") == F.col("_hf")) & lang.eqNullSafe(F.col("_hl")), "left")
-
-    chars = F.aggregate("_classes", F.lit(0).cast("long"), lambda a, b: a + b)
+    # shares of the common words, per language and per document
+    counted, total = word_counts(docs, id_col, text_col, lang_col, share)
+    common = (counted.groupBy(F.col("_lang").alias("_cl"), F.col("_word").alias("_cw")).agg(F.sum("n").alias("_cn"))
+              .join(F.broadcast(total), F.col("_cl").eqNullSafe(F.col("_bl")))
+              .where(F.col("_cn") * share >= F.col("_total"))
+              .select("_cl", "_cw", (F.col("_cn") / F.col("_total")).alias("q"), "_total"))
+    common = stored(common, "common")
+    hits = (counted.join(F.broadcast(common.select("_cl", "_cw", "q")),
+                         F.col("_lang").eqNullSafe(F.col("_cl")) & (F.col("_word") == F.col("_cw")))
+            .groupBy(F.col("_id").alias("_hi"), F.col("_fp").alias("_hf"), F.col("_lang").alias("_hl"))
+            .agg(F.collect_list(F.struct("n", "q")).alias("_hits")))
+    whole = common.groupBy(F.col("_cl").alias("_wl")).agg(F.sum("q").alias("_mass"), F.first("_total").alias("_total"))
+
+    # rows alike in id, text and language were counted together
+    alike = Window.partitionBy("_id", "_fp", "_lang")
+    df = feats.withColumn("_m", F.count(F.lit(1)).over(alike))
+    df = df.join(F.broadcast(ref), F.col("_lang").eqNullSafe(F.col("_rl")), "left")
+    df = df.join(F.broadcast(whole), F.col("_lang").eqNullSafe(F.col("_wl")), "left")
+    df = df.join(hits, F.col("_id").eqNullSafe(F.col("_hi")) & (F.col("_fp") == F.col("_hf"))
+                 & F.col("_lang").eqNullSafe(F.col("_hl")), "left")
+
+    df = df.withColumns({
+        "_nc": F.aggregate("_classes", F.lit(0).cast("long"), lambda a, b: a + b),
+        "_nw": (F.greatest(F.col("n_words"), F.lit(1)) * F.col("_m")).cast("double"),
+        "_h": F.coalesce(F.col("_hits"), F.array().cast("array<struct<n:bigint,q:double>>"))})
     cls = F.aggregate(F.zip_with("_classes", "_q", lambda n, q: _js_term(n / F.greatest(F.col("_nc"), F.lit(1)), q)),
                       F.lit(0.0), lambda a, b: a + b)
-    nw = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    seen = F.coalesce(F.col("_hits"), F.array().cast("array<struct<n:bigint,q:double>>"))
-    df = df.withColumns({"_nc": chars, "_h": seen})
-    on = F.aggregate("_h", F.lit(0.0), lambda a, x: a + _js_term(x["n"] / F.col("_nw"), x["q"]))
-    p_sum = F.aggregate("_h", F.lit(0.0), lambda a, x: a + x["n"] / F.col("_nw"))
-    q_sum = F.aggregate("_h", F.lit(0.0), lambda a, x: a + x["q"])
-    df = df.withColumn("_nw", nw).withColumns({"_on": on, "_ps": p_sum, "_qs": q_sum})
-    # a common word that the document lacks adds half its share; the rest bucket is one term
-    word = (F.col("_on") + (F.col("_mass") - F.col("_qs")) / 2
+    df = df.withColumns({
+        "_on": F.aggregate("_h", F.lit(0.0), lambda a, x: a + _js_term(x["n"] / F.col("_nw"), x["q"])),
+        "_ps": F.aggregate("_h", F.lit(0.0), lambda a, x: a + x["n"] / F.col("_nw")),
+        "_qs": F.aggregate("_h", F.lit(0.0), lambda a, x: a + x["q"])})
+    # a common word that the document lacks adds half its share; all other words are one bucket
+    word = (F.col("_on") + F.greatest(F.lit(0.0), F.col("_mass") - F.col("_qs")) / 2
             + _js_term(F.greatest(F.lit(0.0), 1 - F.col("_ps")), F.greatest(F.lit(0.0), 1 - F.col("_mass"))))
     enough = F.coalesce(F.col("_total") >= min_ref, F.lit(False))
     df = df.withColumns({
@@ -181,6 +189,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "base_failed": base_failed()})
     far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(
         F.col("word_distance") > max_word, F.lit(False))
-    return df.select(*[F.col(x) for x in names], "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return df.select(*[F.col(x) for x in names if x != text_col], "n_words", "word_chars", "n_symbols", "n_dup_lines",
                      "n_repeat_words", "class_distance", "word_distance", "base_failed",
-                     (~F.col("base_failed") & ~far).alias("kept"))
+                     (~F.col("base_failed") & ~far).alias("kept"), "_fp")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+              **limits) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    verdict = judge(docs.select(*dict.fromkeys((id_col, text_col, lang_col))), id_col, text_col, lang_col, **limits)
+    kept = verdict.where("kept").select(F.col(id_col).alias("_kid"), F.col("_fp").alias("_kfp"),
+                                        F.col(lang_col).alias("_kl"))
+    on = (F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text_of(F.col(text_col))) == F.col("_kfp"))
+          & F.col(lang_col).eqNullSafe(F.col("_kl")))
+    return docs.join(kept, on, "left_semi")
