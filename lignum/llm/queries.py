@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lignum.llm import line_dedup, quality
+from lignum.llm import line_dedup, mixing, packing, quality
 from lignum.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lignum.sources.tables import table
 
@@ -27,6 +27,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op6_mixing")
+def op6(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query("op8_line_dedup", OP8_SQL)
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
