@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lignum.llm import line_dedup, mixing, packing, quality
+from lignum.llm import line_dedup, minhash, mixing, packing, quality
 from lignum.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lignum.sources.tables import table
 
@@ -55,3 +55,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs).drop("lang", "_fp")
+
+
+@query("op10_minhash")
+def op10(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
