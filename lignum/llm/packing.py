@@ -17,6 +17,7 @@ rows give equal pieces, each placed once.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,23 +32,42 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENS_PER_PACKER = 1 << 26
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _TOKENIZERS: dict[str, WordCache] = {}
 
 
+class Words(dict):
+    """Ids of words; words beyond the limit are looked up in ``more``, which lives for one portion of rows."""
+
+    def __init__(self):
+        super().__init__()
+        self.more: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.more[word]
+
+
 class WordCache:
     """Token ids of whole texts, word by word.
 
-    The tokenizer cuts at white space and lower-cases each character by itself, so for
-    text of printable Latin-1 characters the ids of a text are those of its words.  Any
-    other text goes to the tokenizer whole.  At most ``CACHE_WORDS`` words are kept.
+    The tokenizer cuts at white space, lower-cases each character by itself and marks the
+    last token of every piece it cuts, so for text of printable Latin-1 characters the ids of a
+    text are those of its pieces.  Any other text goes to the tokenizer whole.  The first
+    ``CACHE_WORDS`` words and pieces are kept for good.
     """
 
+    # The tokenizer's own cutting pattern, with its letter and number classes spelt out for Latin-1.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+                        "|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words, self.pieces = Words(), Words()
 
     def plain(self, text: str) -> bool:
         try:
@@ -56,29 +76,46 @@ class WordCache:
             return False
         return "<|" not in text and text.replace("\n", " ").replace("\t", " ").isprintable()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        for lo in range(0, len(words), 20_000):
-            part = words[lo:lo + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for word, got in zip(part, found, strict=True):
-                self.words[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not self.plain(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        split = text.lower().split()
-        try:
-            return b"".join(map(self.words.__getitem__, split))
-        except KeyError:
-            pass
-        self.learn([w for w in dict.fromkeys(split) if w not in self.words])
-        missing = [w for w in dict.fromkeys(split) if w not in self.words]
-        if missing:  # the cache was emptied in between
-            self.learn(missing)
-        return b"".join(map(self.words.__getitem__, split))
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each piece: encoded side by side, cut at the last tokens."""
+        for lo in range(0, len(pieces), 1000):
+            part = pieces[lo:lo + 1000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+                yield from ((p, self.whole(p)) for p in part)
+                continue
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(part, (ends * 4).tolist(), strict=True):
+                yield piece, data[at:end]
+                at = end
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make the ids of all words of ``texts`` known."""
+        words = set().union(*texts)
+        new = [w for w in words if w not in self.words]
+        cut = [self.PIECES.findall(w) for w in new]
+        self.pieces.more = {}
+        unknown = [p for p in set().union(*cut) if p not in self.pieces]
+        room = CACHE_WORDS - len(self.pieces)
+        got = list(self._encode(unknown))
+        self.pieces.update(got[:max(0, room)])
+        self.pieces.more = dict(got[max(0, room):])
+        ids = self.pieces.__getitem__
+        made = [(w, b"".join(map(ids, p))) for w, p in zip(new, cut, strict=True)]
+        room = CACHE_WORDS - len(self.words)
+        self.words.update(made[:max(0, room)])
+        self.words.more = dict(made[max(0, room):])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [t.lower().split() if self.plain(t) else None for t in texts]
+        self.learn([w for w in split if w is not None])
+        get = self.words.__getitem__
+        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
 
 
 def word_cache(path: str) -> WordCache:
@@ -101,8 +138,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ids, piece, start, length, data = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens = cache.ids(text) + end
+                for doc, tokens in zip(part.column(0).to_pylist(), cache.ids(part.column(1).to_pylist()), strict=True):
+                    tokens += end
                     for k, at in enumerate(range(0, len(tokens), 4 * sequence)):
                         cut = tokens[at:at + 4 * sequence]
                         ids.append(doc)
