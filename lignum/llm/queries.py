@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lignum.llm import line_dedup, minhash, mixing, packing, quality
+from lignum.llm import language_id, line_dedup, minhash, mixing, packing, quality, url_filter
 from lignum.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lignum.sources.tables import table
 
@@ -33,6 +33,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_url_filter")
+def op2(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page's URL names its document by number; the document's labels are the page's
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})(?:\\.[A-Za-z]+)?/?$", 1)
+    named = pages.select("page_id", number.alias("n")).selectExpr("page_id", "try_cast(n AS bigint) AS doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labelled = (named.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")),
+                           "doc_id").groupBy("page_id").agg(F.max(bad).alias("bad")))
+    return url_filter.judge(pages, labelled)
+
+
 @query("op3_packing")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,3 +73,9 @@ def op9(spark, sf_dir):
 @query("op10_minhash")
 def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
