@@ -93,9 +93,9 @@ def portions(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator
         lo = hi
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every word, and the number of words of each row."""
-    inside = ~SPACES[buf]
+def word_spans(buf: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word, and the number of words of each row; ``breaks`` flags the bytes between words."""
+    inside = ~breaks[buf]
     rows = off[(off > 0) & (off < len(buf))]
     begin, end = inside.copy(), inside
     if len(buf):

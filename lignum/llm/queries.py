@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lignum.llm import language_id, line_dedup, minhash, mixing, packing, quality, url_filter
+from lignum.llm import embedding_dedup, language_id, line_dedup, minhash, mixing, packing, quality, toxicity, url_filter
 from lignum.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lignum.sources.tables import table
 
@@ -33,6 +33,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 @query("op2_url_filter")
 def op2(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -52,6 +59,11 @@ def op3(spark, sf_dir):
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op5_embedding_dedup")
+def op5(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 @query("op6_mixing")
 def op6(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
