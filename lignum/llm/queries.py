@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lignum.llm import embedding_dedup, language_id, line_dedup, minhash, mixing, packing, quality, toxicity, url_filter
+from lignum.llm import embedding_dedup, language_id, line_dedup, minhash, mixing, packing, quality, suffix_dedup, toxicity, url_filter
 from lignum.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from lignum.sources.tables import table
 
@@ -59,6 +59,13 @@ def op3(spark, sf_dir):
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_embedding_dedup")
 def op5(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
