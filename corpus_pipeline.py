@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.llm import line_dedup, quality
+from lignum.llm import line_dedup, minhash, mixing, packing, quality
 from lignum.llm.common import stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
@@ -23,7 +20,26 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
             .select(*docs.columns))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
+    return docs.join(classes.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document becomes the words that the mix takes of it; documents that it does not take go."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    import public_tokenizers
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage),
+          ("mixing", mixing_stage), ("packing", packing_stage)]
 
 # Packing needs a tokenizer, which SQL cannot express; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
