@@ -14,12 +14,13 @@ first and the shingles of full buckets after.  With ``N`` documents and ``F`` th
 least frequency, the idf is ``1 + ln(N / max(df, F)) / ln(N / F)``: 2 for any
 rarer shingle, towards 1 for one that every document holds.
 
-Exact copies share one representative (the smallest id).  In a bucket, members
-are not compared pair by pair: the smallest member is compared with the others;
-if the bucket still holds more than one class, ever more members in turn are
-compared with all members of other classes, until no bucket is left that holds
-two classes and an uncompared member.  So no pair of a bucket that could join two
-classes is skipped, and a group of copies costs about one comparison a member.
+Exact copies share one representative (the smallest id).  In every bucket the
+smallest member is compared with the others, which costs one pair a member.  A
+bucket that still holds more than one class is closed inside tasks: there, members
+of different classes are compared exactly over a common list of shingles, and only
+links that join two classes come out.  Buckets of more than ``BLOCK`` members are
+cut into blocks, and every two blocks are one task's work.  So no pair of a bucket
+that could join two classes is skipped, and no pairs are written.
 
 Cases: null, empty and word-less texts are alike to nothing (each its own
 class).  A text of fewer than five words is one shingle of all its words.  Rows
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lignum.llm.common import stored
@@ -47,6 +48,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 COMMON = 1 << 16
 BUCKETS = 1 << 20
+BLOCK = 512
 SEED = 11
 
 
@@ -194,20 +196,28 @@ def signatures(texts: DataFrame, weights, width: int = WIDTH, bands: int = BANDS
 
 
 def vectors(texts: DataFrame, weights, width: int = WIDTH) -> DataFrame:
-    """``id, h, w``: sorted shingles (64-bit) and weights (double) as binary."""
+    """``id, h``: the sorted shingles (64-bit, repeated as often as they occur) as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, 1):
-                h, tf, n = _unique(*shingles(*utf8(part.column(1)), width))
-                w = weights.value.of(h, tf)
+                h, n = shingles(*utf8(part.column(1)), width)
+                row = np.repeat(np.arange(len(n)), n)
+                h = h[np.lexsort((h, row))]
                 ends = np.concatenate(([0], np.cumsum(n)))
-                spans = list(zip(ends[:-1], ends[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
-                     pa.array([w[a:b].tobytes() for a, b in spans], pa.binary())], ["id", "h", "w"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(
+                    [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "h"])
+
+    return texts.mapInArrow(run, "id long, h binary")
 
-    return texts.mapInArrow(run, "id long, h binary, w binary")
+
+def _weighed(column: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and their weights of every row of ``h``."""
+    out = []
+    for x in column:
+        h, tf = np.unique(np.frombuffer(x.as_buffer(), U), return_counts=True)
+        out.append((h, weights.of(h, tf)))
+    return out
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -217,27 +227,61 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return float(both / union) if union > 0 else 0.0
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs ``u, v`` whose exact weighted Jaccard similarity reaches the threshold."""
-    left = vecs.select(F.col("id").alias("u"), F.col("h").alias("uh"), F.col("w").alias("uw"))
-    right = vecs.select(F.col("id").alias("v"), F.col("h").alias("vh"), F.col("w").alias("vw"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "uh", "uw", "vh", "vw")
+    left = vecs.select(F.col("id").alias("u"), F.col("h").alias("uh"))
+    right = vecs.select(F.col("id").alias("v"), F.col("h").alias("vh"))
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", "uh", "vh")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = batch.column(0), batch.column(1)
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                uh, uw, vh, vw = (np.frombuffer(batch.column(c)[i].as_buffer(), U if c in (2, 4) else np.float64)
-                                  for c in (2, 3, 4, 5))
-                good[i] = weighted_jaccard(uh, uw, vh, vw) >= threshold
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                a, b = _weighed(part.column(2), weights.value), _weighed(part.column(3), weights.value)
+                keep = pa.array([weighted_jaccard(*x, *y) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["u", "v"])
 
     return both.mapInArrow(run, "u long, v long")
 
 
-def links(members: DataFrame, vecs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def close_bucket(table: pa.Table, weights: Weights, threshold: float) -> pa.Table:
+    """Links that join two classes among one bucket's two blocks (``id, component, block, bi, bj, h``)."""
+    table = table.combine_chunks().sort_by("id")
+    ids, classes, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+    vecs = _weighed(table.column("h").combine_chunks(), weights)
+    size = np.array([len(v[0]) for v in vecs])
+    names, cols = np.unique(np.concatenate([v[0] for v in vecs]), return_inverse=True)
+    wts = np.concatenate([v[1] for v in vecs])
+    begin = np.cumsum(size) - size
+    total = np.add.reduceat(wts, begin)
+    _names, group = np.unique(classes, return_inverse=True)  # class of each member, as links join them
+    mine = np.zeros(len(names))
+    u, v = [], []
+    for i in np.flatnonzero(block == bi):
+        others = (group != group[i]) & (block == bj)
+        if not others.any():
+            continue
+        own = cols[begin[i]:begin[i] + size[i]]
+        mine[own] = vecs[i][1]
+        both = np.add.reduceat(np.minimum(mine[cols], wts), begin)
+        mine[own] = 0.0
+        near = np.flatnonzero(others & (both >= threshold * (total[i] + total - both)))
+        for j in near:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                u.append(ids[i])
+                v.append(ids[j])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _closing(weights, threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        return close_bucket(table, weights.value, threshold)
+    return run
+
+
+def links(members: DataFrame, vecs: DataFrame, weights, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Links ``u, v`` that join all classes: see the module's text.  ``members``: ``bucket, id, total``."""
     least = members.groupBy("bucket").agg(F.min_by(F.struct("id", "total"), "id").alias("c"))
     # weights alone bound the similarity
@@ -245,27 +289,25 @@ def links(members: DataFrame, vecs: DataFrame, threshold: float = THRESHOLD) ->
     pairs = (members.join(least, "bucket").where(F.col("id") != F.col("c.id"))
              .select(F.col("c.id").alias("u"), F.col("id").alias("v"), "total", F.col("c.total").alias("ct"))
              .where(alike).select("u", "v").distinct())
-    edges = stored(verified(pairs, vecs, threshold), "links")
-    turn, tested = 1, 1
-    while True:
-        labels = components(edges)
-        now = (members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-               .withColumn("component", F.coalesce("component", "id")))
-        classes = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                            F.count(F.lit(1)).alias("size"))
-        still = classes.where((F.col("lo") < F.col("hi")) & (F.col("size") > tested)).select("bucket")
-        open_members = stored(now.join(still, "bucket", "left_semi"), "open")
-        if not open_members.limit(1).count():
-            return edges
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        turn *= 4
-        centers = (open_members.withColumn("r", rank).where((F.col("r") > tested) & (F.col("r") <= tested + turn))
-                   .select("bucket", F.col("id").alias("u"), F.col("total").alias("ct"), F.col("component").alias("cc")))
-        tested += turn
-        pairs = (open_members.join(centers, "bucket")
-                 .where((F.col("component") != F.col("cc")) & alike)
-                 .select(F.least("u", "id").alias("u"), F.greatest("u", "id").alias("v")).distinct())
-        edges = stored(edges.unionByName(verified(pairs, vecs, threshold)), "links")
+    edges = stored(verified(pairs, vecs, weights, threshold), "links")
+    now = (members.join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+           .withColumn("component", F.coalesce("component", "id")))
+    still = (now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                       F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+             .where(F.col("lo") < F.col("hi")).select("bucket", "blocks"))
+    # buckets of the same members need closing once
+    open_members = now.join(still, "bucket").select("bucket", "blocks", "id", "component")
+    same = open_members.groupBy("bucket").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
+                                              F.count(F.lit(1)).alias("n"))
+    once = same.groupBy("sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_members = open_members.join(once, "bucket", "left_semi")
+    blocked = open_members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = stored(blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "id", "component", "block", F.least("block", "_o").alias("bi"),
+        F.greatest("block", "_o").alias("bj")), "open")
+    more = (met.join(vecs, "id").groupBy("bucket", "bi", "bj")
+            .applyInArrow(_closing(weights, threshold), "u long, v long"))
+    return edges.unionByName(stored(more, "more"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -286,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     mine = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     vecs = stored(vectors(mine, weights, width), "vectors")
-    labels = components(links(members, vecs, threshold))
+    labels = components(links(members, vecs, weights, threshold))
     classes = (copies.select("copy", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                .select(F.col("copy").alias("c"), F.coalesce("component", "rep").alias("class_id")))
     out = signed.join(classes, (F.col("copy") == F.col("c")) & (F.size("bands") > 0), "left")
