@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lignum.llm.common import stored, text_of
+from lignum.llm.hashing import Prefix, U, portions, word_spans
 from lignum.ship import ensure_shipped
 
 SEQUENCE = 4096
@@ -37,24 +38,15 @@ CACHE_WORDS = 300_000
 _TOKENIZERS: dict[str, WordCache] = {}
 
 
-class Words(dict):
-    """Ids of words; words beyond the limit are looked up in ``more``, which lives for one portion of rows."""
-
-    def __init__(self):
-        super().__init__()
-        self.more: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.more[word]
-
-
 class WordCache:
     """Token ids of whole texts, word by word.
 
     The tokenizer cuts at white space, lower-cases each character by itself and marks the
     last token of every piece it cuts, so for text of printable Latin-1 characters the ids of a
-    text are those of its pieces.  Any other text goes to the tokenizer whole.  The first
-    ``CACHE_WORDS`` words and pieces are kept for good.
+    text are those of its pieces.  Any other text goes to the tokenizer whole.
+
+    Words are looked up by a 64-bit hash, all words of a portion of rows at once.  The first
+    ``CACHE_WORDS`` words and pieces are kept for good, in flat arrays.
     """
 
     # The tokenizer's own cutting pattern, with its letter and number classes spelt out for Latin-1.
@@ -67,7 +59,10 @@ class WordCache:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.pieces = Words(), Words()
+        self.pieces: dict[str, bytes] = {}
+        # known words: sorted hashes, and where their ids lie in `flat`
+        self.keys, self.start, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
 
     def plain(self, text: str) -> bool:
         try:
@@ -93,29 +88,57 @@ class WordCache:
                 yield piece, data[at:end]
                 at = end
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make the ids of all words of ``texts`` known."""
-        words = set().union(*texts)
-        new = [w for w in words if w not in self.words]
-        cut = [self.PIECES.findall(w) for w in new]
-        self.pieces.more = {}
-        unknown = [p for p in set().union(*cut) if p not in self.pieces]
-        room = CACHE_WORDS - len(self.pieces)
-        got = list(self._encode(unknown))
-        self.pieces.update(got[:max(0, room)])
-        self.pieces.more = dict(got[max(0, room):])
-        ids = self.pieces.__getitem__
-        made = [(w, b"".join(map(ids, p))) for w, p in zip(new, cut, strict=True)]
-        room = CACHE_WORDS - len(self.words)
-        self.words.update(made[:max(0, room)])
-        self.words.more = dict(made[max(0, room):])
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words one after the other, and how many each has."""
+        cut = [self.PIECES.findall(w) for w in words]
+        new = dict(self._encode([p for p in set().union(*cut) if p not in self.pieces]))
+        if len(self.pieces) < CACHE_WORDS:
+            self.pieces.update(new)
+            ids = self.pieces.__getitem__
+        else:
+            old = self.pieces
+
+            def ids(p: str) -> bytes:
+                return old[p] if p in old else new[p]
+        made = [b"".join(map(ids, c)) for c in cut]
+        return np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4
+
+    def ids_of_words(self, low: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts."""
+        off = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
+        raw = b"".join(low)
+        buf = np.frombuffer(raw, np.uint8)
+        b, e, n = word_spans(buf, off)
+        h, first, inverse = np.unique(Prefix(buf).of(b, e), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        lost = np.flatnonzero(~known)
+        spans = zip(b[first[lost]].tolist(), e[first[lost]].tolist(), strict=True)
+        more, size = self.learn([raw[x:y].decode("latin-1") for x, y in spans])
+        starts, sizes = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        if len(self.keys):
+            starts, sizes = self.start[at], self.size[at]
+        begin = len(self.flat) + np.cumsum(size) - size
+        starts[lost], sizes[lost] = begin, size
+        flat = np.concatenate((self.flat, more))
+        count = sizes[inverse]
+        ends = np.cumsum(count)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[inverse] - (ends - count), count)
+        data = flat[place].tobytes()
+        if len(self.keys) < CACHE_WORDS and len(lost):
+            keys = np.concatenate((self.keys, h[lost]))
+            order = np.argsort(keys)
+            self.keys, self.flat = keys[order], flat
+            self.start = np.concatenate((self.start, begin))[order]
+            self.size = np.concatenate((self.size, size))[order]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))] * 4
+        return [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.lower().split() if self.plain(t) else None for t in texts]
-        self.learn([w for w in split if w is not None])
-        get = self.words.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        plain = [self.plain(t) for t in texts]
+        got = iter(self.ids_of_words([t.lower().encode("latin-1") for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(got) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
 def word_cache(path: str) -> WordCache:
@@ -135,8 +158,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in portions(batch, 1, 4 << 20):
                 ids, piece, start, length, data = [], [], [], [], []
                 for doc, tokens in zip(part.column(0).to_pylist(), cache.ids(part.column(1).to_pylist()), strict=True):
                     tokens += end
