@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 M1, M2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -128,3 +129,39 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
         more = w[np.minimum(at + k, max(len(w) - 1, 0))] if len(w) else np.zeros(total, U)
         h = np.where(use, mix(h * U(M2) + more), h)
     return h, count
+
+
+BITMAP = 26
+
+
+def bit_of(h: np.ndarray) -> np.ndarray:
+    """Place of a hash in a bitmap."""
+    return (mix(h) >> U(64 - BITMAP)).astype(np.int64)
+
+
+def in_bitmap(bits: bytes, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the bitmap (all that are, and a few others)."""
+    at = bit_of(h)
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(hashes: DataFrame) -> bytes:
+    """Bitmap of ``2 ** BITMAP`` bits (8 MB whatever the input) of a column of longs."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = np.unique(bit_of(batch.column(0).to_numpy().view(U)))
+            yield pa.RecordBatch.from_arrays([pa.array(b >> 16), pa.array(b & 0xFFFF)], ["chunk", "bit"])
+
+    def pack(key, table):
+        bits = np.zeros(1 << 16, bool)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array(
+            [np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    marked = hashes.mapInArrow(mark, "chunk long, bit long").distinct()
+    out = bytearray(1 << BITMAP - 3)
+    # a chunk has at most 65536 rows and packs to 8 kB
+    for r in marked.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect():
+        out[r["chunk"] << 13:(r["chunk"] + 1) << 13] = r["bits"]
+    return bytes(out)

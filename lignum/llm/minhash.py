@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lignum.llm.common import stored
 from lignum.llm.components import components
-from lignum.llm.hashing import U, mix, portions, shingles, utf8
+from lignum.llm.hashing import U, bitmap, in_bitmap, mix, portions, shingles, utf8
 from lignum.ship import ensure_shipped
 
 WIDTH = 5
@@ -195,12 +195,15 @@ def signatures(texts: DataFrame, weights, width: int = WIDTH, bands: int = BANDS
     return texts.mapInArrow(run, "id long, copy binary, total double, bands array<long>")
 
 
-def vectors(texts: DataFrame, weights, width: int = WIDTH) -> DataFrame:
-    """``id, h``: the sorted shingles (64-bit, repeated as often as they occur) as binary."""
+def vectors(texts: DataFrame, ids, width: int = WIDTH) -> DataFrame:
+    """``id, h`` of the documents in the bitmap ``ids`` (and a few more): sorted shingles (64-bit, repeated
+    as often as they occur) as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, 1):
+            known = batch.filter(batch.column(0).is_valid())
+            known = known.filter(pa.array(in_bitmap(ids.value, known.column(0).to_numpy().view(U))))
+            for part in portions(known, 1):
                 h, n = shingles(*utf8(part.column(1)), width)
                 row = np.repeat(np.arange(len(n)), n)
                 h = h[np.lexsort((h, row))]
@@ -325,9 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.select(F.struct("band", "name").alias("bucket"), "id", "total").distinct()
     shared = buckets.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
     members = stored(buckets.join(shared, "bucket", "left_semi"), "members")
-    wanted = members.select("id").distinct()
-    mine = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    vecs = stored(vectors(mine, weights, width), "vectors")
+    wanted = spark.sparkContext.broadcast(bitmap(members.select("id")))
+    vecs = stored(vectors(texts, wanted, width), "vectors")
     labels = components(links(members, vecs, weights, threshold))
     classes = (copies.select("copy", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                .select(F.col("copy").alias("c"), F.coalesce("component", "rep").alias("class_id")))

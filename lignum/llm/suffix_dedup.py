@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lignum.llm.common import stored
-from lignum.llm.hashing import M1, M2, U, Prefix, mix, portions, utf8
+from lignum.llm.hashing import M1, M2, U, Prefix, bitmap, in_bitmap, portions, utf8
 from lignum.ship import ensure_shipped
 
 THRESHOLD = 200
@@ -106,14 +106,12 @@ def located(src: DataFrame, threshold: int, shared=None) -> DataFrame:
     """``h, u, id, check, first, n`` of every anchor (whose digit is in the bitmap, if given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8) if shared is not None else None
         for batch in batches:
             for part in portions(batch, 1):
                 buf, off = utf8(part.column(1))
                 r, s, n, h, u = anchors(buf, off, threshold)
-                if bits is not None:
-                    b = _bit(h)
-                    keep = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+                if shared is not None:
+                    keep = in_bitmap(shared.value, h)
                     r, s, n, h, u = r[keep], s[keep], n[keep], h[keep], u[keep]
                 # place, number of windows and check in one number
                 at = (s - off[:-1][r]) << 24 | n << 16 | _checks(buf, off)[r]
@@ -124,40 +122,6 @@ def located(src: DataFrame, threshold: int, shared=None) -> DataFrame:
     return src.mapInArrow(run, "h long, u long, id long, at long")
 
 
-BITMAP = 26
-
-
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> U(64 - BITMAP)).astype(np.int64)
-
-
-def bitmap(hashes: DataFrame) -> bytes:
-    """Bitmap of ``2 ** BITMAP`` bits (8 MB whatever the input): which digits may be among ``h``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = np.unique(_bit(batch.column(0).to_numpy().view(U)))
-            yield pa.RecordBatch.from_arrays([pa.array(b >> 16), pa.array(b & 0xFFFF)], ["chunk", "bit"])
-
-    def pack(key, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << 16, bool)
-        for batch in rows:
-            bits[batch.column(1).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array(
-            [np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
-
-    marked = hashes.select("h").mapInArrow(run, "chunk long, bit long").distinct()
-    out = bytearray(1 << BITMAP - 3)
-    # a chunk has at most 65536 rows and packs to 8 kB
-    for r in marked.groupBy("chunk").applyInArrow(lambda key, t: pack_table(key, t, pack), "chunk long, bits binary").collect():
-        out[r["chunk"] << 13:(r["chunk"] + 1) << 13] = r["bits"]
-    return bytes(out)
-
-
-def pack_table(key, table: pa.Table, pack) -> pa.Table:
-    return pa.Table.from_batches(list(pack(key, iter(table.to_batches()))))
-
-
 def strings(picked: DataFrame, src: DataFrame, threshold: int) -> DataFrame:
     """``h, u, m, bytes``: the string of each picked anchor, cut out of its document."""
     per = picked.groupBy("id", F.col("at").bitwiseAND(0xFFFF).alias("check")).agg(
@@ -281,7 +245,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = stored(digits(src, threshold).groupBy("h").agg(
         F.count(F.lit(1)).alias("c"), F.min("u").alias("lo"), F.max("u").alias("hi")).where(F.col("c") > 1)
         .select("h", (F.col("lo") == F.col("hi")).alias("one")), "digits")
-    bits = spark.sparkContext.broadcast(bitmap(shared))
+    bits = spark.sparkContext.broadcast(bitmap(shared.select("h")))
     found = stored(located(src, threshold, bits).join(shared, "h"), "anchors")
     # pass 2: one member of every group of equal strings goes on
     open_strings = (found.where(~F.col("one")).groupBy("h", "u")
