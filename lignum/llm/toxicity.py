@@ -162,13 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            row, feat = features(lowered(batch, 1).column(1))
-            f, inv = np.unique(feat, return_inverse=True)
-            bad = np.bincount(inv, weights=y[row], minlength=len(f)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(f.view(np.int64)), pa.array(bad), pa.array(np.bincount(inv, minlength=len(f)))],
-                ["f", "bad", "n"])
+            for part in portions(batch, 1):
+                y = part.column(0).to_numpy(zero_copy_only=False)
+                row, feat = features(lowered(part, 1).column(1))
+                f, inv = np.unique(feat, return_inverse=True)
+                bad = np.bincount(inv, weights=y[row], minlength=len(f)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f.view(np.int64)), pa.array(bad), pa.array(np.bincount(inv, minlength=len(f)))],
+                    ["f", "bad", "n"])
 
     totals = sample.agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad, total = int(totals["bad"] or 0), int(totals["n"])
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(picker)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             low = lowered(batch, 1)
             got: list[tuple[int, list[int], list[int]]] = []
             row, at = shared.value.find(*features(low.column(1)))
