@@ -147,7 +147,8 @@ def mix(sized: DataFrame, goal: DataFrame, block: int = BLOCK, shards: int = SHA
     blocks = docs.withColumn("index", F.explode(F.sequence(
         F.floor(F.col("begin") / block).cast("long"), F.floor((end - 1) / block).cast("long"))))
     picked = drawn(q, block, shards, seed).withColumnRenamed("index", "_i")
-    joined = blocks.join(picked, F.col("source").eqNullSafe(F.col("qs")) & (F.col("index") == F.col("_i")))
+    # slots are made from a small table, but they grow with the words: never broadcast
+    joined = blocks.join(picked.hint("merge"), F.col("source").eqNullSafe(F.col("qs")) & (F.col("index") == F.col("_i")))
     lo = F.greatest(F.col("begin"), F.col("index") * block)
     hi = F.least(end, F.col("index") * block + F.col("take"))
     rest = (joined.where(lo < hi)
