@@ -33,7 +33,7 @@ SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENS_PER_PACKER = 1 << 26
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _TOKENIZERS: dict[str, WordCache] = {}
 
@@ -158,7 +158,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_path)
         for batch in batches:
-            for part in portions(batch, 1, 4 << 20):
+            for part in portions(batch, 1, 2 << 20):
                 ids, piece, start, length, data = [], [], [], [], []
                 for doc, tokens in zip(part.column(0).to_pylist(), cache.ids(part.column(1).to_pylist()), strict=True):
                     tokens += end
