@@ -115,6 +115,8 @@ class Model:
         return row[hit], at[hit]
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        if self.bias == -np.inf:
+            return np.zeros(len(column))
         row, at = self.find(*features(column))
         logit = self.bias + np.bincount(row, weights=self.weights[at], minlength=len(column))
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
