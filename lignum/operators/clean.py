@@ -92,19 +92,28 @@ def pattern_ranges(texts: DataFrame, open_tag: str, close_tag: str, id_col: str
                    text_col: str = "html") -> DataFrame:
     """Byte ranges of ``open ... close`` blocks (non-nested), as a ranges table.
 
-    Splitting on the opening tag gives pieces whose UTF-8 offsets are running
-    sums; each block ends after the first closing tag of its piece.
+    Blocks are what the non-greedy pattern ``open.*?close`` matches from left to
+    right, so a second opening tag before the close is part of the block.  Offsets
+    are running sums of UTF-8 lengths over the pieces between matches, all within
+    the row.
     """
-    p = texts.select(F.col(id_col).alias("id"),
-                     F.posexplode(F.split(F.col(text_col), F.lit(_quote(open_tag)), -1)).alias("i", "piece"))
-    w = W.partitionBy("id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    ob = len(open_tag.encode())
-    p = p.withColumn("off", F.coalesce(F.sum(F.octet_length("piece") + ob).over(w), F.lit(0)))
-    close_at = F.instr(F.col("piece"), close_tag)
-    head = F.when(close_at > 0, F.substring(F.col("piece"), F.lit(1), close_at - 1))
-    return (p.where((F.col("i") > 0) & (close_at > 0))
-            .select(F.col("id").alias(id_col), (F.col("off") - ob).cast("int").alias("start"),
-                    (F.col("off") + F.octet_length(head) + len(close_tag.encode())).cast("int").alias("end")))
+    pattern = f"(?s){_quote(open_tag)}.*?{_quote(close_tag)}"
+    found = (texts.select(F.col(id_col).alias("id"), F.split(F.col(text_col), pattern, -1).alias("gaps"),
+                          F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)).alias("blocks"))
+             .where(F.size("blocks") > 0))
+    # (end of the last block, ranges so far)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc, x):
+        begin = (acc["at"] + F.octet_length(x["gap"])).cast("int")
+        end = (begin + F.octet_length(x["block"])).cast("int")
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
+                        .alias("out"))
+    pairs = F.zip_with(F.slice("gaps", F.lit(1), F.size("blocks")), "blocks",
+                       lambda g, b: F.struct(g.alias("gap"), b.alias("block")))
+    ranges = F.aggregate(pairs, start, step)["out"]
+    return (found.select(F.col("id").alias(id_col), F.explode(ranges).alias("r"))
+            .select(id_col, F.col("r.start").alias("start"), F.col("r.end").alias("end")))
 
 
 def _quote(s: str) -> str:

@@ -179,7 +179,7 @@ _PAIRS_SQL = " UNION ALL ".join(
     f"ON x.lang = y.lang AND x.model = '{a}' AND y.model = '{c}'" for a, c in PAIRS)
 
 
-@query("wilcoxon", sql="WITH " + RAW_RUNS_CTE + f""",
+@query("wilcoxon", sql="WITH RECURSIVE " + RAW_RUNS_CTE + f""",
 pr AS ({_PAIRS_SQL}),
 df AS (SELECT comparison, lang, x - y AS diff FROM pr WHERE x - y <> 0),
 rk AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY abs(diff))
@@ -188,13 +188,18 @@ rk AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY abs(diff))
 ag AS (SELECT comparison, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus,
               sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus FROM rk GROUP BY comparison),
 st AS (SELECT *, least(w_plus, w_minus) AS statistic FROM ag),
-masks AS (SELECT comparison, unnest(range(0, (1 << n)::BIGINT)) AS mask FROM st WHERE n <= 16),
-wp AS (SELECT m.comparison, m.mask, sum(CASE WHEN (m.mask >> rk.i) & 1 = 1 THEN rk.r ELSE 0 END) AS wp
-       FROM masks m JOIN rk USING (comparison) GROUP BY m.comparison, m.mask),
-ex AS (SELECT wp.comparison, sum(CASE WHEN wp.wp <= st.statistic + 1e-9 THEN 1 ELSE 0 END) / count(*) AS cdf
-       FROM wp JOIN st USING (comparison) GROUP BY wp.comparison)
+ways AS (
+  SELECT comparison, -1 AS i, 0 AS total, 1.0::DOUBLE AS p FROM st
+  UNION ALL
+  SELECT w.comparison, w.i + 1, w.total + s.b * (2 * rk.r)::INTEGER, w.p / 2
+  FROM (SELECT comparison, i, total, sum(p) AS p FROM ways GROUP BY ALL) w
+  JOIN rk ON rk.comparison = w.comparison AND rk.i = w.i + 1 CROSS JOIN (VALUES (0), (1)) s(b)),
+ex AS (SELECT st.comparison, sum(ways.p) AS cdf FROM st JOIN ways
+       ON ways.comparison = st.comparison AND ways.i = st.n - 1 AND ways.total <= 2 * st.statistic + 1e-9
+       GROUP BY st.comparison)
 SELECT st.comparison, st.n, round(st.w_plus, 6) AS w_plus, round(st.w_minus, 6) AS w_minus,
-       round(st.statistic, 6) AS statistic, round(least(1.0, 2 * ex.cdf), 6) AS p_value,
+       round(st.statistic, 6) AS statistic,
+       round(CASE WHEN 2 * ex.cdf > 1 THEN 1.0 ELSE 2 * ex.cdf END, 6) AS p_value,
        round((st.statistic - st.n * (st.n + 1) / 4.0) / sqrt(st.n * (st.n + 1) * (2 * st.n + 1) / 24.0), 6) AS z
 FROM st LEFT JOIN ex USING (comparison)""")
 def wilcoxon(spark, sf):

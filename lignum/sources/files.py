@@ -46,7 +46,7 @@ def read_text_lines(spark: SparkSession, paths: list[str], keep_newline: bool =
 def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
     """A4: one url per line, stripped; keeps the line position for list order."""
     return (spark.read.text(path)
-            .select(F.trim("value").alias("url"), F.monotonically_increasing_id().alias("line_no")))
+            .select(F.btrim("value", F.lit(" \t\n\x0b\x0c\r")).alias("url"), F.monotonically_increasing_id().alias("line_no")))
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -69,7 +69,9 @@ def read_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 def read_code_files(spark: SparkSession, root: str, exts: dict[str, str]) -> DataFrame:
     """Whole source files; language from the file extension."""
-    df = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True) \
+    # the glob keeps other files from being read at all
+    only = "*.{" + ",".join(sorted(exts)) + "}"
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", only).text(root, wholetext=True) \
         .withColumn("path", F.input_file_name())
     ext = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     m = F.create_map(*[x for k, v in exts.items() for x in (F.lit(k), F.lit(v))])
@@ -83,11 +85,11 @@ def save_table(df: DataFrame, path: str, mode: str = "ignore") -> None:
 
 def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     """Read a materialised table, or compute it, write it, and read it back."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
-        compute().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hadoop, "_SUCCESS")):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
