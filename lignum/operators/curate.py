@@ -1,9 +1,10 @@
-"""Corpus curation.
+"""Corpus curation.
 
 Skew: a dedupe key or a language may hold a large share of the rows, so
 dedupe is a partial (map-side) ``max_by`` aggregate rather than a window,
-and the per-language cap uses a ranking window whose limit Spark pushes below
-the shuffle (``WindowGroupLimit``), so no task ever sorts a whole language.
+and the per-language cap counts rows by the first digits of the order key,
+keeps the digits that can reach the cap and ranks only those rows, so no task
+ever sorts a whole language.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lignum.functions.columns import seeded_order_key
-from lignum.functions.constants import (BPE_SPACE_PIECE, DATASET_SEED, MAX_LENGTH, SAMPLE_CAP,
-                                        SPECIAL_TOKENS, TEST_FRACTION, VALID_FRACTION)
+from lignum.functions.constants import (DATASET_SEED, MAX_LENGTH, SAMPLE_CAP, SPECIAL_TOKENS, TEST_FRACTION,
+                                        VALID_FRACTION)
 
 
 def dedupe_last(df: DataFrame, key: Column | str, order: Column | str) -> DataFrame:
@@ -33,39 +34,40 @@ def allowlist_join(allow: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     return allow.join(corpus, key, "inner")
 
 
-def subtoken_counts(tokens: DataFrame, id_col: str, token_col: str, pos_col: str,
-                    piece_len: dict[str, int], mapping: dict[str, str]) -> DataFrame:
-    """M6-M8 + B10 input: sub-token count per (sample, tokenizer).
+def subtoken_counts(words: Column, width: int, kind: str) -> Column:
+    """M6-M8 + B10 input: sub-tokens of a row's words under one tokenizer.
 
-    A fixed-width splitter stands in for each tokenizer: ``piece_len[t]``
-    characters per piece.  For the 'bpe' mapping every token after the first
-    is tokenised with a leading space and lone space pieces are dropped.
+    A fixed-width splitter stands in for the tokenizer: ``width`` characters a
+    piece.  With the 'bpe' mapping every word after the first begins with a blank.
     """
-    out = None
-    for tok, width in piece_len.items():
-        bpe = mapping.get(tok) == "bpe"
-        text = F.when(F.lit(bpe) & (F.col(pos_col) > 0), F.concat(F.lit(" "), F.col(token_col))) \
-            .otherwise(F.col(token_col))
-        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), 0)
-        if bpe:
-            pieces = F.filter(pieces, lambda p: (p != " ") & (p != BPE_SPACE_PIECE))
-        c = tokens.select(F.col(id_col), F.lit(tok).alias("tokenizer"), F.size(pieces).alias("n"))
-        out = c if out is None else out.unionByName(c)
-    return out.groupBy(id_col, "tokenizer").agg(F.sum("n").alias("n_subtokens"))
-
-
-def length_filter(counts: DataFrame, id_col: str, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Keep samples whose sub-token count + specials fits under every tokenizer."""
-    return (counts.groupBy(id_col).agg(F.max("n_subtokens").alias("max_subtokens"))
+    pieces = F.transform(words, lambda w, i: F.ceil(
+        (F.length(w) + F.when(F.lit(kind == "bpe") & (i > 0), 1).otherwise(0)) / width))
+    return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def length_filter(df: DataFrame, words: Column, piece_len: dict[str, int], mapping: dict[str, str],
+                  max_length: int = MAX_LENGTH) -> DataFrame:
+    """``max_subtokens`` over the tokenizers and ``keep`` (fits with specials); one scan, rows stay rows."""
+    counts = [subtoken_counts(F.col("_words"), width, mapping.get(tok, "")) for tok, width in piece_len.items()]
+    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    return (df.withColumn("_words", words).withColumn("max_subtokens", most).drop("_words")
             .withColumn("keep", F.col("max_subtokens") + SPECIAL_TOKENS <= max_length))
 
 
+PREFIX = 3  # hex digits of the order key: at most 4096 counts a group
+
+
 def sample_cap(df: DataFrame, id_col: str, group: str = "lang", cap: int = SAMPLE_CAP,
                seed: int = DATASET_SEED) -> DataFrame:
     """S3: seeded shuffle then the first ``cap`` rows per group (``rn`` is 1-based)."""
-    h = seeded_order_key(F.col(id_col), seed)
-    w = W.partitionBy(group).orderBy(h, F.col(id_col))
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    keyed = df.withColumn("_h", seeded_order_key(F.col(id_col), seed)).withColumn("_p", F.substring("_h", 1, PREFIX))
+    before = W.partitionBy("_g").orderBy("_q").rowsBetween(W.unboundedPreceding, -1)
+    reach = (keyed.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+             .where(F.col("_b") < cap).select("_g", "_q"))
+    near = keyed.join(reach, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")), "left_semi")
+    w = W.partitionBy(group).orderBy("_h", F.col(id_col))
+    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("_h", "_p")
 
 
 def assign_splits(capped: DataFrame, group: str = "lang", test: float = TEST_FRACTION,

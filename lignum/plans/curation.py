@@ -58,8 +58,8 @@ SELECT max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang, arg_max(n_chars, do
 FROM documents GROUP BY md5(text)""")
 def dedupe_last(spark, sf):
     """Exact-copy dedupe, the last document (largest id) of each text wins."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text")
-    return finish(U.dedupe_last(d, F.md5("text"), "doc_id").select("doc_id", "lang", "n_chars"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.md5("text").alias("digest"))
+    return finish(U.dedupe_last(d, "digest", "doc_id").select("doc_id", "lang", "n_chars"))
 
 
 @query("allowlist_join", sql="""
@@ -82,11 +82,14 @@ cnt AS (SELECT doc_id, 'roberta' AS tokenizer,
 
 
 @query("length_filter", sql="WITH " + _TOK_SQL + """
-SELECT doc_id, max(n)::BIGINT AS max_subtokens, max(n) + 2 <= 512 AS keep FROM cnt GROUP BY doc_id""")
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS max_subtokens, coalesce(max(n), 0) + 2 <= 512 AS keep
+FROM documents d LEFT JOIN cnt ON cnt.doc_id = d.doc_id GROUP BY d.doc_id""")
 def length_filter(spark, sf):
     """Sub-token length filter under every tokenizer."""
-    c = U.subtoken_counts(tokens(spark, sf), "doc_id", "token", "pos", TOKENIZERS, MODEL_TYPE_MAPPING)
-    return finish(U.length_filter(c, "doc_id"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+", -1), lambda x: x != "")
+    out = U.length_filter(d, words, TOKENIZERS, MODEL_TYPE_MAPPING)
+    return finish(out.select("doc_id", "max_subtokens", "keep"))
 
 
 _CAP_SQL = """
@@ -112,6 +115,13 @@ def sample_cap(spark, sf):
     return finish(U.sample_cap(d, "doc_id"))
 
 
+@query("sample_cap_40", sql="WITH " + _CAP_SQL + " SELECT doc_id, lang, rn FROM capped WHERE rn <= 40")
+def sample_cap_40(spark, sf):
+    """S3 with a cap that cuts: the first 40 of each language's shuffle."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return finish(U.sample_cap(d, "doc_id", cap=40))
+
+
 @query("split_counts", sql="WITH " + _CAP_SQL + " SELECT lang, split, count(*) AS n FROM splits GROUP BY lang, split")
 def split_counts(spark, sf):
     """Exact-count 70/20/10 split sizes per language."""
@@ -121,11 +131,7 @@ def split_counts(spark, sf):
 @query("holdout_union", sql="""
 SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE lang NOT IN ('de') GROUP BY lang""")
 def holdout_union(spark, sf):
-    """Hold one language out, union the rest."""
+    """Hold one language out, all the others together, in one scan."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    per = [d.where(F.col("lang") == x) for x in ("en", "fr", "es", "de")]
-    u = per[0]
-    for x in per[1:]:
-        u = u.unionByName(x)
-    u = U.exclude_langs(u, ["de"])
+    u = U.exclude_langs(d, ["de"])
     return finish(u.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars")))

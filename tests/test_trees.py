@@ -73,7 +73,7 @@ def test_documents_match_recursive_oracle(spark):
         trees.setdefault(r.tree_id, {})[r.node_id] = (r.parent_id, r.type, r.start)
     assert trees and set(trees) == set(feat)
     for tid, tree in trees.items():
-        d, c, _, u = O.to_distance(O.binarize(tree))
+        d, c, u = O.gap_sequences(O.binarize(tree))
         f = feat[tid]
         assert list(f.d) == d and list(f.c) == c and list(f.u) == u
         assert O.decode_spans(d, c, u) == O.tree_spans(tree)
