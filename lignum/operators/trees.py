@@ -160,19 +160,20 @@ def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
                 max_lines: int = 1 << 32) -> DataFrame:
     """C1 on relational input: customer -> order -> lineitem trees.
 
-    Positions are logical (``start`` orders siblings): an order sits at
-    ``2**32 * (o_orderkey + 1)`` and its lines follow it, numbered by
+    Positions are logical (``start`` orders siblings): a customer's ``k``-th order
+    (by key) sits at ``2**32 * k`` and its lines follow it, numbered by
     ``(l_linenumber, l_partkey, l_suppkey)`` within the order (line numbers
     may repeat).  Orders without lines are childless non-terminals.
     """
     c = by_tree(customer.select(F.col("c_custkey").alias("tree_id")))
     o = by_tree(orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus"))
+    o = o.withColumn("k", F.row_number().over(W.partitionBy("tree_id").orderBy("o_orderkey")).cast("long"))
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     oli = o.join(li, o.o_orderkey == li.l_orderkey)
     rn = F.row_number().over(W.partitionBy("tree_id", "o_orderkey")
                              .orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     oli = oli.withColumn("rn", rn)
-    base = (F.col("o_orderkey") + 1) * max_lines
+    base = F.col("k") * max_lines
     root = c.select("tree_id", F.lit(0).cast("long").alias("node_id"),
                     F.lit(None).cast("long").alias("parent_id"), F.lit("customer").alias("type"),
                     F.lit(False).alias("is_terminal"), F.lit(0).cast("long").alias("start"))

@@ -49,7 +49,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir; make a scratch one only in local mode where none is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d and not spark.sparkContext.master.startswith("local["):
+    if not d and not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="lignum-ckpt-")

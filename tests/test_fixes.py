@@ -57,3 +57,16 @@ def test_code_files_by_extension(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     got = [(r.lang, r.code) for r in files.read_code_files(spark, str(tmp_path), {"py": "python"}).collect()]
     assert got == [("python", "x = 1\n")]
+
+
+def test_nest_orders_large_keys(spark):
+    from lignum.operators import trees
+    customer = spark.createDataFrame([(1,)], "c_custkey long")
+    orders = spark.createDataFrame([(4_000_000_000, 1, "F"), (3_000_000_000, 1, "O")],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string")
+    lines = spark.createDataFrame([(4_000_000_000, 1, 1, 1, "N"), (3_000_000_000, 2, 1, 1, "R"), (3_000_000_000, 1, 1, 1, "A")],
+                                  "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+    rows = trees.nest_orders(customer, orders, lines).orderBy("start").collect()
+    assert [r.type for r in rows] == ["customer", "order_o", "item_a", "item_r", "order_f", "item_n"]
+    where = {r.node_id: r.type for r in rows}
+    assert [where.get(r.parent_id) for r in rows] == [None, "customer", "order_o", "order_o", "customer", "order_f"]
