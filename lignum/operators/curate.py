@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lignum.functions.columns import seeded_order_key
+from lignum.functions.columns import md5_bucket, seeded_order_key
 from lignum.functions.constants import (DATASET_SEED, MAX_LENGTH, SAMPLE_CAP, SPECIAL_TOKENS, TEST_FRACTION,
                                         VALID_FRACTION)
 
@@ -92,6 +92,15 @@ def assign_splits(capped: DataFrame, group: str = "lang", test: float = TEST_FRA
     return df.withColumn("split", split).drop("_n")
 
 
+def hash_split(key: Column | str, seed: int = DATASET_SEED, test: float = TEST_FRACTION,
+               valid: float = VALID_FRACTION) -> Column:
+    """Split of a row by the seeded hash of its key alone: the shares hold in expectation, no row is
+    ranked and none is left out, so any number of rows per language is split alike."""
+    key = F.col(key) if isinstance(key, str) else key
+    h = md5_bucket(F.concat(key.cast("string"), F.lit(f":{seed}"))) / F.lit(float(16 ** 6))
+    return (F.when(h < test, "test").when(h < test + valid * (1 - test), "valid").otherwise("train"))
+
+
 def exclude_langs(df: DataFrame, exclude, lang_col: str = "lang") -> DataFrame:
     """B11."""
     return df.where(~F.col(lang_col).isin(list(exclude)))

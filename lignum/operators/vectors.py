@@ -2,20 +2,24 @@
 
 Per-row math uses built-in array functions; group means use ``Summarizer``
 (JVM vector aggregation, no explode); PCA and k-means are ``pyspark.ml``.
-Nearest-neighbour queries take a bounded query set (checked) and scan the
-vector table once; no all-pairs join is formed.
+Nearest neighbours compare blocks of queries with blocks of rows inside
+tasks and let only the best of each block leave them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lignum.functions.constants import SEP
+from lignum.ship import ensure_shipped
 
-MAX_QUERIES = 10000
+QUERY_BLOCK = 1024   # queries compared in one task at a time
+ROW_BLOCK = 16384    # rows compared in one task at a time
 
 
 def norm(v: Column) -> Column:
@@ -63,21 +67,38 @@ def knn(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec:
         qid: str = "query") -> DataFrame:
     """V5: the ``k`` nearest rows of ``df`` to every query vector (Euclidean), ties by id.
 
-    The query set is bounded (checked against ``MAX_QUERIES``) and inlined as
-    a literal array, so each vector row is scanned once and no pair table is
-    joined; ``row_number <= k`` becomes a partial top-k below the shuffle.
+    Rows and queries are hashed into blocks of about ``ROW_BLOCK`` and ``QUERY_BLOCK``; every pair of
+    blocks is one co-group, whose task holds those two blocks only, and at most ``k`` rows a query
+    leave it.  The query set may have any size: its blocks grow in number, not in size.  Rows or
+    queries without a vector take no part.
     """
-    qs = queries.select(qid, vec).limit(MAX_QUERIES + 1).collect()
-    if len(qs) > MAX_QUERIES:
-        raise ValueError("query set too large for an inlined scan")
-    qarr = F.array(*[F.struct(F.lit(r[0]).alias("q"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("v"))
-                     for r in qs])
-    d = df.select(id_col, F.explode(F.transform(qarr, lambda q: F.struct(q["q"].alias("q"),
-                                                                         dist(F.col(vec), q["v"]).alias("dist"))))
-                  .alias("z"))
-    d = d.select(F.col("z.q").alias(qid), id_col, F.col("z.dist").alias("dist"))
+    ensure_shipped(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    qs = queries.select(F.col(qid).alias("_q"), F.col(vec).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    n_rb = rows.count() // ROW_BLOCK + 1
+    n_qb = qs.count() // QUERY_BLOCK + 1
+    in_block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("rb", in_block("_id", n_rb)).withColumn("qb", every(n_qb))
+    qs = qs.withColumn("qb", in_block("_q", n_qb)).withColumn("rb", every(n_rb))
+    q_type, id_type = qs.schema["_q"].dataType.simpleString(), rows.schema["_id"].dataType.simpleString()
+
+    def nearest(rp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rp) and len(qp):
+            rp = rp.sort_values("_id")
+            ids, x = rp["_id"].to_numpy(), np.stack(rp["_v"].to_list())
+            for q, v in zip(qp["_q"], qp["_v"], strict=True):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                top = np.argsort(d, kind="stable")[:k]
+                out.append(pd.DataFrame({"_q": q, "_id": ids[top], "dist": d[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_id": [], "dist": []})
+
+    near = (rows.groupBy("qb", "rb").cogroup(qs.groupBy("qb", "rb"))
+            .applyInPandas(nearest, f"_q {q_type}, _id {id_type}, dist double"))
+    near = near.select(F.col("_q").alias(qid), F.col("_id").alias(id_col), "dist")
     w = W.partitionBy(qid).orderBy("dist", id_col)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def pca2(df: DataFrame, vec: str = "vec", k: int = 2) -> DataFrame:

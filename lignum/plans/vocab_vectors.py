@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.functions.constants import LANGUAGES, TOP_LABELS
+from lignum.operators import curate as U
 from lignum.operators import results as R
 from lignum.operators import vectors as V
 from lignum.operators import vocab as Vo
@@ -20,7 +21,9 @@ SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
 def occurrences(spark: SparkSession, sf: str) -> DataFrame:
     _, _, gaps, leaves = D.doc_encoding(spark, sf)
-    sp = Cu.splits(spark, sf).select(F.col("doc_id").alias("tree_id"), "lang", "split")
+    # every document that is scored later, never the capped sample: no label may be missing
+    sp = table(spark, sf, "documents").select(F.col("doc_id").alias("tree_id"), "lang",
+                                              U.hash_split(F.col("doc_id")).alias("split"))
     so = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
     c = gaps.select("tree_id", F.lit("c").alias("kind"), F.col("c").alias("label"), F.col("gap").alias("pos"))
     u = leaves.select("tree_id", F.lit("u").alias("kind"), F.col("u").alias("label"), F.col("tok").alias("pos"))
@@ -32,7 +35,11 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
     return Vo.global_vocab(Vo.local_vocab(occurrences(spark, sf)), LANG_ORDER)
 
 
-OCC_SQL = D.GAPS_CTE + "," + Cu._CAP_SQL + r""",
+OCC_SQL = D.GAPS_CTE + r""",
+hs AS (SELECT doc_id, lang, ('0x' || substr(md5(doc_id::VARCHAR || ':123'), 1, 6))::BIGINT / 16777216.0 AS h
+       FROM documents),
+splits AS (SELECT doc_id, lang, CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.3 THEN 'valid' ELSE 'train' END AS split
+           FROM hs),
 occ AS (SELECT 'c' AS kind, s.lang, g.c AS label, CASE s.split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END
                AS split_ord, g.tree_id AS sample_ord, g.gap AS pos FROM gaps g JOIN splits s ON s.doc_id = g.tree_id
         UNION ALL
@@ -43,7 +50,7 @@ firsts AS (SELECT kind, lang, label, count(*) AS count, min(split_ord * 1e15 + s
 lv AS (SELECT kind, lang, label, row_number() OVER (PARTITION BY kind, lang ORDER BY f) - 1 AS local_id, count
        FROM firsts),
 gv AS (SELECT *, label || '--' || lang AS label_key,
-              row_number() OVER (PARTITION BY kind ORDER BY list_position(['de', 'en', 'es', 'fr'], lang), local_id) - 1
+              row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN 0 ELSE 1 END, lang, local_id) - 1
               AS global_id FROM lv)"""
 
 
@@ -62,16 +69,20 @@ def vocab_global(spark, sf):
 
 
 @query("encode_ids", sql="WITH " + OCC_SQL + """
-SELECT o.lang, g.global_id::BIGINT AS label_id, g.label, count(*) AS n
+SELECT o.kind, o.lang, g.global_id::BIGINT AS label_id, g.label, count(*) AS n
 FROM occ o JOIN gv g ON g.kind = o.kind AND g.lang = o.lang AND g.label = o.label
-WHERE o.kind = 'c' GROUP BY o.lang, g.global_id, g.label""")
+GROUP BY o.kind, o.lang, g.global_id, g.label""")
 def encode_ids(spark, sf):
     """Labels to language-qualified ids and back."""
     v = vocab(spark, sf)
-    occ = occurrences(spark, sf).where(F.col("kind") == "c").select("lang", "label")
-    enc = Vo.encode_labels(occ.withColumnRenamed("label", "orig"), v, "c", label_col="orig")
-    dec = Vo.decode_labels(enc.select("lang", "label_id"), v, "c")
-    return finish(dec.groupBy("lang", "label_id", "label").agg(F.count(F.lit(1)).alias("n")))
+    occ = occurrences(spark, sf)
+
+    def both_ways(kind):
+        enc = Vo.encode_labels(occ.where(F.col("kind") == kind).select("lang", F.col("label").alias("orig")), v, kind,
+                               label_col="orig")
+        ids = enc.groupBy("lang", "label_id").agg(F.count(F.lit(1)).alias("n"))
+        return Vo.decode_labels(ids, v, kind).select(F.lit(kind).alias("kind"), "lang", "label_id", "label", "n")
+    return finish(both_ways("c").unionByName(both_ways("u")))
 
 
 @query("label_counts_top100", sql="WITH " + D.GAPS_CTE + f"""
@@ -115,14 +126,12 @@ eu AS (SELECT *, list_transform(vec, lambda x: x / nrm) AS unit FROM en)"""
 
 
 @query("normalised", sql="WITH " + _VEC_SQL + """
-SELECT vec_id, label::BIGINT AS label, lang, round(nrm, 6) AS norm, round(unit[1], 6) AS u0, round(unit[2], 6) AS u1,
-       round(sqrt(list_sum(list_transform(unit, lambda x: x * x))), 6) AS unit_norm FROM eu""")
+SELECT vec_id, label::BIGINT AS label, lang, round(nrm, 6) AS norm, (generate_subscripts(unit, 1) - 1)::BIGINT AS i,
+       round(unnest(unit), 6) AS x FROM eu""")
 def normalised(spark, sf):
-    """Unit vectors with their language split off the id."""
-    v = vectors(spark, sf).withColumn("unit", V.normalize(F.col("vec")))
-    return finish(v.select("vec_id", "label", "lang", V.norm(F.col("vec")).alias("norm"),
-                           F.col("unit")[0].alias("u0"), F.col("unit")[1].alias("u1"),
-                           V.norm(F.col("unit")).alias("unit_norm")))
+    """Unit vectors, every component, with their language split off the id."""
+    return finish(vectors(spark, sf).select("vec_id", "label", "lang", V.norm(F.col("vec")).alias("norm"),
+                                            F.posexplode(V.normalize(F.col("vec"))).alias("i", "x")))
 
 
 _CENT_SQL = _VEC_SQL + """,
@@ -132,14 +141,12 @@ cents AS (SELECT lang, list(m ORDER BY i) AS centroid FROM cm GROUP BY lang)"""
 
 
 @query("centroids", sql="WITH " + _CENT_SQL + """
-SELECT c.lang, n.n, round(c.centroid[1], 6) AS c0, round(c.centroid[2], 6) AS c1,
-       round(sqrt(list_sum(list_transform(c.centroid, lambda x: x * x))), 6) AS norm
-FROM cents c JOIN (SELECT lang, count(*) AS n FROM ev GROUP BY lang) n USING (lang)""")
+SELECT cm.lang, n.n, (cm.i - 1)::BIGINT AS i, round(cm.m, 6) AS x
+FROM cm JOIN (SELECT lang, count(*) AS n FROM ev GROUP BY lang) n USING (lang)""")
 def centroids(spark, sf):
-    """V6: mean vector per language."""
+    """V6: mean vector per language, every component."""
     c = V.centroids(vectors(spark, sf), "lang")
-    return finish(c.select("lang", "n", F.col("centroid")[0].alias("c0"), F.col("centroid")[1].alias("c1"),
-                           V.norm(F.col("centroid")).alias("norm")))
+    return finish(c.select("lang", "n", F.posexplode("centroid").alias("i", "x")))
 
 
 @query("displaced", sql="WITH " + _CENT_SQL + """,
@@ -147,12 +154,12 @@ tg AS (SELECT centroid AS t FROM cents WHERE lang = 'c'),
 mv AS (SELECT e.vec_id, e.lang, CASE WHEN e.lang = 'c' THEN e.vec
               ELSE list_transform(list_zip(e.vec, tg.t, c.centroid), lambda z: z[1] + (z[2] - z[3])) END AS v
        FROM ev e JOIN cents c USING (lang), tg)
-SELECT vec_id, lang, round(v[1], 6) AS d0, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM mv""")
+SELECT vec_id, lang, (generate_subscripts(v, 1) - 1)::BIGINT AS i, round(unnest(v), 6) AS x FROM mv""")
 def displaced(spark, sf):
-    """V8: every vector moved onto the centroid of language 'c'."""
+    """V8: every vector moved onto the centroid of language 'c', every component."""
     v = vectors(spark, sf)
     moved = V.displace(v, V.centroids(v, "lang"), "lang", "c")
-    return finish(moved.select("vec_id", "lang", F.col("vec")[0].alias("d0"), V.norm(F.col("vec")).alias("norm")))
+    return finish(moved.select("vec_id", "lang", F.posexplode("vec").alias("i", "x")))
 
 
 @query("knn", sql="WITH " + _VEC_SQL + """,

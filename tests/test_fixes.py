@@ -2,7 +2,7 @@
 
 import pytest
 
-from lignum.operators import clean, results
+from lignum.operators import clean, curate, results, vectors, vocab
 from lignum.sources import files
 
 
@@ -70,3 +70,35 @@ def test_nest_orders_large_keys(spark):
     assert [r.type for r in rows] == ["customer", "order_o", "item_a", "item_r", "order_f", "item_n"]
     where = {r.node_id: r.type for r in rows}
     assert [where.get(r.parent_id) for r in rows] == [None, "customer", "order_o", "order_o", "customer", "order_f"]
+
+
+def test_vocabulary_strict_lookup_and_unnamed_language(spark):
+    occ = spark.createDataFrame([("c", "en", "x", 0, 1, 0), ("c", "en", "y", 0, 1, 1), ("c", "zz", "x", 0, 2, 0),
+                                 ("c", "aa", "x", 0, 3, 0)],
+                                "kind string, lang string, label string, split_ord int, sample_ord long, pos int")
+    voc = vocab.global_vocab(vocab.local_vocab(occ), ["de", "en"])
+    assert {r.label_key: r.global_id for r in voc.collect()} == {"x--en": 0, "y--en": 1, "x--aa": 2, "x--zz": 3}
+    known = spark.createDataFrame([("en", "y")], "lang string, label string")
+    assert [r.label_id for r in vocab.encode_labels(known, voc, "c").collect()] == [1]
+    unknown = spark.createDataFrame([("de", "y")], "lang string, label string")
+    with pytest.raises(Exception, match="label missing"):
+        vocab.encode_labels(unknown, voc, "c").collect()
+    with pytest.raises(Exception, match="several languages"):
+        vocab.encode_labels(spark.createDataFrame([("x",)], "label string"), voc, "c", lang_col=None).collect()
+
+
+def test_hash_split_shares(spark):
+    n = {r.s: r["count"] for r in spark.range(20000).select(curate.hash_split("id").alias("s")).groupBy("s").count().collect()}
+    assert abs(n["test"] - 4000) < 300 and abs(n["valid"] - 2000) < 300 and sum(n.values()) == 20000
+
+
+def test_knn_many_queries_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 300)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 7)
+    rows = spark.createDataFrame([(k, [float(k % 10), 0.0]) for k in range(20)] + [(99, None)], "vec_id long, vec array<double>")
+    queries = spark.range(10500).select(F.col("id").alias("query"), F.array(F.col("id") % 10 + 0.25, F.lit(0.0)).alias("vec"))
+    got = vectors.knn(rows, queries, 3)
+    assert got.count() == 31500
+    best = {(r.query, r.rank): r.vec_id for r in got.where("query IN (3, 10009)").collect()}
+    assert best == {(3, 1): 3, (3, 2): 13, (3, 3): 4, (10009, 1): 9, (10009, 2): 19, (10009, 3): 8}
