@@ -102,3 +102,32 @@ def test_knn_many_queries_in_blocks(spark, monkeypatch):
     assert got.count() == 31500
     best = {(r.query, r.rank): r.vec_id for r in got.where("query IN (3, 10009)").collect()}
     assert best == {(3, 1): 3, (3, 2): 13, (3, 3): 4, (10009, 1): 9, (10009, 2): 19, (10009, 3): 8}
+
+
+def test_label_family_every_branch_and_order(spark):
+    from pyspark.sql import functions as F
+    cases = [("argument_list", "argument"), ("call_argument", "argument"), ("call_expression", "call"),
+             ("return_call", "call"), ("return_statement", "return"), ("method_invocation", "method_invocation"),
+             ("return_block", "return"), ("block", "block"), ("binary_expression", "binary"),
+             ("block_binary", "block"), ("member_expression", "member_expression"),
+             ("member_expression<sep>x", "unplotted"), ("identifier", "unplotted")]
+    df = spark.createDataFrame(cases, "label string, want string")
+    assert df.where(results.label_family(F.col("label")) != F.col("want")).count() == 0
+
+
+def test_results_read_from_run_directories(spark, tmp_path):
+    for name, f1 in (("codebert_java_5_128", 0.5), ("bert_go_1_128", 0.25), ("codebert_multilingual_5_128", 0.9)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metrics.json").write_text('{"f1": %s}\n' % f1)
+    got = results.recode(files.read_results(spark, str(tmp_path), "f1 double"), "model")
+    assert sorted((r.model, r.lang, r.layer, r.rank, r.f1) for r in got.collect()) == [
+        ("BERT", "go", 1, 128, 0.25), ("CodeBERT", "java", 5, 128, 0.5)]
+
+
+def test_saved_vocabulary_is_reused(spark, tmp_path):
+    path = str(tmp_path / "vocab")
+    files.save_table(spark.range(3), path)
+    files.save_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+    files.save_table(spark.range(2), path, mode="append")
+    assert spark.read.parquet(path).count() == 5
