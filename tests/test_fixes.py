@@ -131,3 +131,12 @@ def test_saved_vocabulary_is_reused(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     files.save_table(spark.range(2), path, mode="append")
     assert spark.read.parquet(path).count() == 5
+
+
+def test_json_array_and_text_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"func": "int f() {}", "x": 1}, {"func": null}, {"x": 2}]')
+    got = [r.original_string for r in files.read_json_array(spark, str(tmp_path / "a.json")).collect()]
+    assert got == ["int f() {}", None, None]
+    (tmp_path / "b.txt").write_text("one\n\ntwo\n")
+    lines = lambda keep: sorted(r.original_string for r in files.read_text_lines(spark, [str(tmp_path / "b.txt")], keep).collect())
+    assert lines(True) == ["\n", "one\n", "two\n"] and lines(False) == ["", "one", "two"]
