@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lignum.functions.constants import BAD_ROOT, EMPTY, SEP
+from lignum.functions.constants import BAD_ROOT, EMPTY, LANG_SUFFIX, SEP
 from lignum.ship import ensure_shipped
 
 def _prev_at_least(d: np.ndarray, strict: bool) -> np.ndarray:
@@ -81,18 +81,16 @@ def decode(feat: DataFrame, d: str = "d", c: str = "c", u: str = "u") -> DataFra
     ensure_shipped(feat.sparkSession)
     b = feat.select("tree_id", F.col(c).alias("c"), F.col(u).alias("u"), F.size(F.col(d)).alias("n"),
                     _bounds_udf(F.col(d).cast("array<double>")).alias("b"))
-    gaps = (b.select("tree_id", "n", F.explode(F.arrays_zip(F.col("c"), F.col("b.lo"), F.col("b.hi"))).alias("z"))
-            .select("tree_id", "n", F.col("z.c").alias("label"), F.col("z.lo").alias("lo"),
-                    F.col("z.hi").alias("hi")))
-    is_root = (F.col("lo") == 0) & (F.col("hi") == F.col("n"))
-    gaps = (gaps.where((F.col("label") != EMPTY) | is_root)
-            .withColumn("label", F.when(F.col("label") == EMPTY, F.lit(BAD_ROOT)).otherwise(F.col("label")))
-            .drop("n"))
-    unary = (feat.select("tree_id", F.posexplode(F.col(u)).alias("lo", "label"))
-             .where(F.col("label") != EMPTY)
-             .select("tree_id", "label", F.col("lo").cast("int"), F.col("lo").cast("int").alias("hi")))
-    spans = gaps.unionByName(unary)
-    return spans.select("tree_id", F.explode(F.split(F.col("label"), SEP, -1)).alias("label"), "lo", "hi")
+    span = lambda label, lo, hi: F.struct(label.alias("label"), lo.alias("lo"), hi.alias("hi"))
+    is_root = lambda z: (z["lo"] == 0) & (z["hi"] == F.col("n"))
+    gaps = F.transform(
+        F.filter(F.arrays_zip(F.col("c"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi")),
+                 lambda z: (z["c"] != EMPTY) | is_root(z)),
+        lambda z: span(F.when(z["c"] == EMPTY, F.lit(BAD_ROOT)).otherwise(z["c"]), z["lo"], z["hi"]))
+    unary = F.filter(F.transform("u", lambda x, i: span(x, i, i)), lambda s: s["label"] != EMPTY)
+    # gap and unary spans leave in one explode, so the rows and their bounds are made once
+    spans = b.select("tree_id", F.explode(F.concat(gaps, unary)).alias("s"))
+    return spans.select("tree_id", F.explode(F.split(F.col("s.label"), SEP, -1)).alias("label"), "s.lo", "s.hi")
 
 
 def tree_spans(paths: DataFrame) -> DataFrame:
@@ -112,6 +110,12 @@ def tree_spans(paths: DataFrame) -> DataFrame:
             .select("tree_id", "label", "lo", "hi"))
 
 
+def _flag_hits(true_spans: DataFrame, pred_spans: DataFrame) -> DataFrame:
+    """Predicted spans with ``_hit`` set where the true set contains them."""
+    keys = ["tree_id", "label", "lo", "hi"]
+    return pred_spans.join(true_spans.select(*keys).distinct().withColumn("_hit", F.lit(1)), keys, "left")
+
+
 def span_scores(true_spans: DataFrame, pred_spans: DataFrame, label: str | None = None) -> DataFrame:
     """Per tree precision / recall / F1 with membership semantics.
 
@@ -119,14 +123,12 @@ def span_scores(true_spans: DataFrame, pred_spans: DataFrame, label: str | None
     predicted spans each count).  ``label`` filters the true side only.
     Empty sides give NULL scores.
     """
-    keys = ["tree_id", "label", "lo", "hi"]
     t = true_spans if label is None else true_spans.where(F.col("label") == label)
     nt = t.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_true"))
-    np_ = pred_spans.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    hits = (pred_spans.join(t.select(*keys).distinct(), keys, "left_semi")
-            .groupBy("tree_id").agg(F.count(F.lit(1)).alias("hit")))
-    s = (nt.join(np_, "tree_id", "full").join(hits, "tree_id", "left")
-         .withColumn("hit", F.coalesce("hit", F.lit(0))))
+    # predictions and hits are counted in one pass over the predictions
+    np_ = (_flag_hits(t, pred_spans).groupBy("tree_id")
+           .agg(F.count(F.lit(1)).alias("n_pred"), F.count("_hit").alias("hit")))
+    s = nt.join(np_, "tree_id", "full").withColumn("hit", F.coalesce("hit", F.lit(0)))
     p = F.col("hit") / F.col("n_pred")
     r = F.col("hit") / F.col("n_true")
     s = s.withColumn("p", p).withColumn("r", r)
@@ -137,10 +139,19 @@ def span_scores(true_spans: DataFrame, pred_spans: DataFrame, label: str | None
 
 def label_recall(true_spans: DataFrame, pred_spans: DataFrame) -> DataFrame:
     """C17: per tree and true label, hits of predicted spans with that label / true count."""
-    keys = ["tree_id", "label", "lo", "hi"]
     nt = true_spans.groupBy("tree_id", "label").agg(F.count(F.lit(1)).alias("n_true"))
-    hits = (pred_spans.join(true_spans.select(*keys).distinct(), keys, "left_semi")
-            .groupBy("tree_id", "label").agg(F.count(F.lit(1)).alias("hit")))
+    hits = _flag_hits(true_spans, pred_spans).groupBy("tree_id", "label").agg(F.count("_hit").alias("hit"))
     return (nt.join(hits, ["tree_id", "label"], "left")
             .select("tree_id", "label", "n_true", F.coalesce("hit", F.lit(0)).alias("hit"),
                     (F.coalesce("hit", F.lit(0)) / F.col("n_true")).alias("recall")))
+
+
+def recall_lists(recalls: DataFrame) -> DataFrame:
+    """Per ``label--lang`` key the mean recall and the list of its samples.
+
+    ``recalls``: rows of ``label_recall`` with a ``lang``.  A list has one entry per tree that holds the
+    label, ordered by tree.
+    """
+    return (recalls.groupBy(F.concat("label", F.lit(LANG_SUFFIX), "lang").alias("label_key"))
+            .agg(F.count(F.lit(1)).alias("n_trees"), F.avg("recall").alias("recall"),
+                 F.sort_array(F.collect_list(F.struct("tree_id", "n_true", "hit", "recall"))).alias("samples")))

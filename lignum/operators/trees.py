@@ -67,7 +67,7 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     previous leaf's path), read off the same stream.
     """
     d = by_tree(docs.select(F.col(id_col).cast("long").alias("tree_id"),
-                            F.col(text_col).alias("text"), *keep))
+                            F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep))
     lines = d.select("tree_id", *keep, F.octet_length("text").cast("int").alias("tlen"),
                      F.posexplode(F.split("text", "\n", -1)).alias("li", "line"))
     before = W.partitionBy("tree_id").orderBy("li").rowsBetween(W.unboundedPreceding, -1)
@@ -76,7 +76,7 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = lines.select("tree_id", *keep, "tlen", "li", "lstart",
                          F.posexplode(F.split("line", " ", -1)).alias("wi", "word"))
     wbefore = W.partitionBy("tree_id", "li").orderBy("wi").rowsBetween(W.unboundedPreceding, -1)
-    ends = F.col("word").rlike("[.!?]$").cast("int")
+    ends = F.col("word").rlike("[.!?]\\z").cast("int")
     words = (words
              .withColumn("woff", F.coalesce(F.sum(F.octet_length("word") + 1).over(wbefore), F.lit(0)))
              .withColumn("si", F.coalesce(F.sum(ends).over(wbefore), F.lit(0)))
@@ -145,17 +145,111 @@ def nest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = ["wpath", "prev_path", "tok"] if with_paths else []
     nodes = words.select("tree_id", *keep, *extra, F.explode(emitted).alias("n")).select("tree_id", *keep, *extra, "n.*")
     cols = ["tree_id", *keep, "node_id", "parent_id", "type", "is_terminal", "start", "end", "depth", "j", "kp", "k"]
+    # a document without words is a root without children
+    bare = (d.where(~F.col("text").rlike("[^ \n]"))
+            .select("tree_id", *keep, node(0, F.lit(0), F.lit(None), F.lit(0), F.octet_length("text").cast("int"),
+                                           F.lit("document"), False, F.lit(1), F.lit(None), F.lit(0)).alias("n"))
+            .select("tree_id", *keep, "n.*"))
+    if with_paths:
+        bare = (bare.withColumn("wpath", F.array(path[0])).withColumn("prev_path", F.lit(None).cast(words.schema["wpath"].dataType))
+                .withColumn("tok", F.lit(0)))
+    nodes = nodes.unionByName(bare)
     if not with_paths:
         return nodes.select(*cols)
     paths = nodes.select(
         *cols, F.slice("wpath", 1, F.col("depth") + 1).alias("path"),
-        F.when(F.col("depth") == 3, F.col("tok")).alias("tok"),
+        F.when(F.col("k") == 0, F.col("tok")).alias("tok"),
         F.when(F.col("depth") == 3, F.col("prev_path")).alias("prev_path"))
     paths = (paths.withColumn("C", F.element_at("path", -1)["C"])
              .withColumn("chain", F.element_at("path", -1)["chain"]))
     return nodes.select(*cols), paths
 
 
+def document_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """One row per sentence of the trees of ``nest_documents``, with all that their encoding needs.
+
+    Encoding needs the shape of a tree and no byte offsets, so the windows run over sentences and not
+    over words.  Lines and sentences are read from the last to the first: ``nl`` lines and ``ns``
+    sentences come after, and one sort serves every window below.
+
+    ``k`` words, sentence ``sj`` of ``sents``, line ``lj`` of ``lines``, first token ``lo``, words
+    ``lk`` of the line and ``tk`` of the document, and the suffix maxima of binary leaf depths:
+    ``s_deep`` from this sentence to the end of its line (below the line), ``l_deep`` from this line to
+    the end of the document.  A document without words has one row with ``lines = 0``: its root is its
+    only leaf.
+    """
+    # a sentence ends at the blank after ., ! or ?; only the last of a line can be blank
+    sentences = lambda line: F.filter(F.split(line, "(?<=[.!?]) ", -1), lambda s: s.rlike("[^ ]"))
+    d = by_tree(docs.select(F.col(id_col).cast("long").alias("tree_id"), F.col(text_col).alias("text"), *keep))
+    d = d.select("tree_id", *keep, F.filter(
+        F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), sentences), lambda s: F.size(s) > 0).alias("_lines"))
+    d = d.select("tree_id", *keep, F.size("_lines").alias("lines"),
+                 F.posexplode_outer(F.reverse("_lines")).alias("nl", "_sents"))
+    d = d.select("tree_id", *keep, "lines", "nl", F.greatest(F.size("_sents"), F.lit(0)).alias("sents"),
+                 F.posexplode_outer(F.reverse("_sents")).alias("ns", "_s"))
+    bare = F.col("lines") == 0
+    d = d.select("tree_id", *keep, "lines", "sents", F.coalesce("nl", F.lit(0)).alias("nl"),
+                 F.coalesce("ns", F.lit(0)).alias("ns"),
+                 F.when(bare, 1).otherwise(F.size(F.filter(F.split("_s", " ", -1), lambda w: w != ""))).alias("k"),
+                 sentence_type(F.rtrim("_s"), F.col("_s").contains('"')).alias("stype"))
+    d = d.withColumn("lj", F.col("lines") - F.col("nl")).withColumn("sj", F.col("sents") - F.col("ns"))
+    cost = lambda j, of: F.when(of == 1, F.lit(0)).otherwise(F.least(j, of - 1))
+    depth = cost(F.col("sj"), F.col("sents")) + F.col("k") - 1
+    line = W.partitionBy("tree_id", "nl")
+    tree = W.partitionBy("tree_id")
+    d = (d.withColumn("_d", depth).withColumn("_ld", F.col("_d") + cost(F.col("lj"), F.col("lines")))
+         .withColumn("s_deep", F.max("_d").over(line.orderBy("ns").rowsBetween(W.unboundedPreceding, W.currentRow)))
+         .withColumn("l_deep", F.max("_ld").over(tree.orderBy("nl").rangeBetween(W.unboundedPreceding, W.currentRow)))
+         .withColumn("_rest", F.sum("k").over(tree.orderBy("nl", "ns")
+                                              .rowsBetween(W.unboundedPreceding, W.currentRow)))
+         .withColumn("lk", F.sum("k").over(line)).withColumn("tk", F.sum("k").over(tree)))
+    return (d.withColumn("lo", (F.col("tk") - F.col("_rest")).cast("int"))
+            .drop("_d", "_ld", "_rest", "nl", "ns"))
+
+
+def encode_sentences(sents: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """C7-C9 from sentence rows: (tree_id, tok, d, c, u), one row per word.
+
+    ``d`` and ``c`` are the height and label of the gap after the word, null after the last one.  Inside a
+    sentence the lowest common ancestor is the sentence, whose later words sit ``k - wj`` levels down;
+    between sentences it is the line, between lines the document.
+    """
+    line_chain = F.when(F.col("lines") == 1, F.lit(f"document{SEP}line")).otherwise(F.lit("line"))
+    sent_chain = F.when(F.col("sents") == 1, F.concat(F.col("_lc"), F.lit(SEP), F.col("stype"))).otherwise(F.col("stype"))
+    first = lambda j, label: F.when(F.col(j) == 1, label).otherwise(F.lit(EMPTY))
+    w = (sents.withColumn("_lc", line_chain).withColumn("_sc", sent_chain)
+         .select("*", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("wj")))
+    inside, in_line = F.col("wj") < F.col("k"), F.col("sj") < F.col("sents")
+    in_doc = F.col("lj") < F.col("lines")
+    d = (F.when(inside, F.col("k") - F.col("wj")).when(in_line, F.col("s_deep") - (F.col("sj") - 1))
+         .when(in_doc, F.col("l_deep") - (F.col("lj") - 1)))
+    c = (F.when(inside, first("wj", F.col("_sc"))).when(in_line, first("sj", F.col("_lc")))
+         .when(in_doc, first("lj", F.lit("document"))))
+    u = F.when((F.col("k") == 1) & (F.col("lines") > 0), F.col("_sc")).otherwise(F.lit(EMPTY))
+    return w.select("tree_id", *keep, (F.col("lo") + F.col("wj") - 1).cast("int").alias("tok"),
+                    d.cast("int").alias("d"), c.alias("c"), u.alias("u"))
+
+
+def sentence_spans(sents: DataFrame) -> DataFrame:
+    """C7 from sentence rows: (tree_id, label, lo, hi) of every document, line and sentence."""
+    span = lambda label, n: F.struct(label.alias("label"), F.col("lo").alias("lo"),
+                                     (F.col("lo") + n - 1).cast("int").alias("hi"))
+    new_line = F.col("sj") == 1
+    out = F.array_compact(F.array(
+        F.when(new_line & (F.col("lj") == 1), span(F.lit("document"), F.col("tk"))),
+        F.when(new_line, span(F.lit("line"), F.col("lk"))), span(F.col("stype"), F.col("k"))))
+    return sents.where("lines > 0").select("tree_id", F.explode(out).alias("_s")).select("tree_id", "_s.*")
+
+
+def word_features(words: DataFrame) -> DataFrame:
+    """C10 from the rows of ``encode_sentences``: (tree_id, d, c, u, num_tokens), one aggregate and no join."""
+    a = words.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("tok", "d", "c", "u"))).alias("a"))
+    n = F.size("a")
+    return a.select("tree_id", F.slice("a.d", F.lit(1), n - 1).alias("d"), F.slice("a.c", F.lit(1), n - 1).alias("c"),
+                    F.col("a.u").alias("u"), n.alias("num_tokens"))
+
+
 def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
                 max_lines: int = 1 << 32) -> DataFrame:
     """C1 on relational input: customer -> order -> lineitem trees.
@@ -164,28 +258,36 @@ def nest_orders(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
     (by key) sits at ``2**32 * k`` and its lines follow it, numbered by
     ``(l_linenumber, l_partkey, l_suppkey)`` within the order (line numbers
     may repeat).  Orders without lines are childless non-terminals.
+
+    Orders meet their lines by order key first; the narrow rows are then dealt by customer once, and
+    each customer and order node is emitted by the first row under it.  Besides the node columns it
+    returns ``depth``, ``j``, ``kp`` and ``k``, so the closure is one sorted stream.
     """
-    c = by_tree(customer.select(F.col("c_custkey").alias("tree_id")))
-    o = by_tree(orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus"))
-    o = o.withColumn("k", F.row_number().over(W.partitionBy("tree_id").orderBy("o_orderkey")).cast("long"))
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    oli = o.join(li, o.o_orderkey == li.l_orderkey)
-    rn = F.row_number().over(W.partitionBy("tree_id", "o_orderkey")
-                             .orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    oli = oli.withColumn("rn", rn)
-    base = F.col("k") * max_lines
-    root = c.select("tree_id", F.lit(0).cast("long").alias("node_id"),
-                    F.lit(None).cast("long").alias("parent_id"), F.lit("customer").alias("type"),
-                    F.lit(False).alias("is_terminal"), F.lit(0).cast("long").alias("start"))
-    order_nodes = o.select("tree_id", base.alias("node_id"), F.lit(0).cast("long").alias("parent_id"),
-                           F.concat(F.lit("order_"), F.lower("o_orderstatus")).alias("type"),
-                           F.lit(False).alias("is_terminal"), base.alias("start"))
-    item_nodes = oli.select(
-        "tree_id", (base + F.col("rn")).alias("node_id"), base.alias("parent_id"),
-        F.concat(F.lit("item_"), F.lower("l_returnflag")).alias("type"),
-        F.lit(True).alias("is_terminal"), (base + F.col("rn")).alias("start"))
-    nodes = root.unionByName(order_nodes).unionByName(item_nodes)
-    return nodes.withColumn("end", F.col("start") + 1)
+    ol = orders.select(F.col("o_custkey").alias("tree_id"), "o_orderkey", "o_orderstatus")
+    ol = ol.join(li, ol.o_orderkey == li.l_orderkey, "left").drop("l_orderkey")
+    r = by_tree(customer.select(F.col("c_custkey").alias("tree_id"))).join(by_tree(ol), "tree_id", "left")
+    item = F.col("l_linenumber").isNotNull() | F.col("l_returnflag").isNotNull()
+    order = W.partitionBy("tree_id", "o_orderkey")
+    tree = W.partitionBy("tree_id")
+    r = (r.withColumn("rn", F.row_number().over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+         .withColumn("ok", F.count(F.when(item, 1)).over(order))
+         .withColumn("oj", F.dense_rank().over(tree.orderBy("o_orderkey")).cast("long"))
+         .withColumn("tk", F.when(F.col("o_orderkey").isNull(), 0).otherwise(F.max("oj").over(tree))))
+    base = F.col("oj") * max_lines
+    node = lambda depth, nid, parent, typ, term, j, kp, k: F.struct(
+        nid.cast("long").alias("node_id"), parent.cast("long").alias("parent_id"), typ.alias("type"),
+        F.lit(term).alias("is_terminal"), nid.cast("long").alias("start"), (nid + 1).cast("long").alias("end"),
+        F.lit(depth).alias("depth"), j.cast("int").alias("j"), kp.cast("int").alias("kp"), k.cast("int").alias("k"))
+    new_order = F.col("o_orderkey").isNotNull() & (F.col("rn") == 1)
+    emitted = F.array_compact(F.array(
+        F.when((F.col("oj") == 1) & (F.col("rn") == 1), node(
+            0, F.lit(0), F.lit(None), F.lit("customer"), False, F.lit(1), F.lit(None), F.col("tk"))),
+        F.when(new_order, node(1, base, F.lit(0), F.concat(F.lit("order_"), F.lower("o_orderstatus")), False,
+                               F.col("oj"), F.col("tk"), F.col("ok"))),
+        F.when(item, node(2, base + F.col("rn"), base, F.concat(F.lit("item_"), F.lower("l_returnflag")), True,
+                          F.col("rn"), F.col("ok"), F.lit(0)))))
+    return r.select("tree_id", F.explode(emitted).alias("n")).select("tree_id", "n.*")
 
 
 # ---------------------------------------------------------------------------
@@ -204,13 +306,20 @@ def token_text(text: Column, start: Column, end: Column) -> Column:
 
 def tokens(nodes: DataFrame, texts: DataFrame, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """Terminal tokens ordered by (start, node_id) with their byte-range text."""
-    t = texts.select(F.col(id_col).cast("long").alias("tree_id"), F.col(text_col).alias("text"))
-    term = nodes.where("is_terminal").select("tree_id", "node_id", "start", "end")
-    tok = F.row_number().over(W.partitionBy("tree_id").orderBy("start", "node_id")) - 1
-    return (term.join(by_tree(t), "tree_id")
-            .select("tree_id", tok.cast("int").alias("tok"), "node_id", "start", "end",
-                    token_text(F.col("text"), F.col("start"), F.col("end")).alias("token")))
+    """Terminal tokens ordered by (start, node_id) with their byte-range text.
+
+    The ranges of a tree meet its text once, as one sorted array; the text is encoded once, before the
+    exchange, and never copied to the tokens.
+    """
+    t = by_tree(texts.select(F.col(id_col).cast("long").alias("tree_id"),
+                             F.encode(F.col(text_col), "UTF-8").alias("_bytes")))
+    ranges = (nodes.where("is_terminal").groupBy("tree_id")
+              .agg(F.sort_array(F.collect_list(F.struct("start", "node_id", "end"))).alias("_r")))
+    cut = F.transform("_r", lambda r: F.struct(
+        r["node_id"].alias("node_id"), r["start"].alias("start"), r["end"].alias("end"),
+        F.decode(F.substring(F.col("_bytes"), r["start"] + 1, r["end"] - r["start"]), "UTF-8").alias("token")))
+    return (ranges.join(t, "tree_id").select("tree_id", F.posexplode(cut).alias("tok", "_t"))
+            .select("tree_id", "tok", "_t.*"))
 
 
 def next_ids(nodes: DataFrame) -> DataFrame:
@@ -354,19 +463,14 @@ def is_literal_type(t: Column) -> Column:
 def collapse_literals(nodes: DataFrame, pred=is_literal_type, paths: DataFrame | None = None) -> DataFrame:
     """C4: a non-terminal matching ``pred`` loses all descendants and becomes terminal.
 
-    Needs the ancestor closure: a node is dropped when any proper ancestor
-    matches.  Returns the node table with the same columns.
+    A proper ancestor is never a terminal and its type is the last part of its chain label, so the root
+    path of a node alone tells whether it goes: no join.
     """
     paths = paths if paths is not None else root_paths(nodes)
-    n = nodes.alias("n")
-    matched = (nodes.where(pred(F.col("type")) & ~F.col("is_terminal"))
-               .select("tree_id", F.col("node_id").alias("anc")))
-    # every (node, proper ancestor) pair along the paths
-    anc = paths.select("tree_id", "node_id",
-                       F.explode(F.slice(F.col("path.node"), 1, F.size("path") - 1)).alias("anc"))
-    doomed = anc.join(matched, ["tree_id", "anc"], "left_semi").select("tree_id", "node_id").distinct()
-    kept = n.join(doomed, ["tree_id", "node_id"], "left_anti")
-    return kept.withColumn("is_terminal", F.col("is_terminal") | (pred(F.col("type"))))
+    own = lambda e: pred(F.element_at(F.split(e["chain"], SEP), -1))
+    kept = paths.where(~F.exists(F.slice("path", 1, F.size("path") - 1), own))
+    return (kept.withColumn("is_terminal", F.col("is_terminal") | pred(F.col("type")))
+            .select(*[c for c in nodes.columns if c in paths.columns]))
 
 
 # ---------------------------------------------------------------------------
@@ -394,8 +498,8 @@ def encode(nodes: DataFrame, paths: DataFrame | None = None,
     """C8+C9: node table -> (gaps, leaves).
 
     gaps:   (tree_id, gap, d, c)    one row per pair of adjacent leaves
-    leaves: (tree_id, tok, node_id, u, path)   (materialised once; ``path``
-            also gives the tree's own spans, see ``spans.tree_spans``)
+    leaves: (tree_id, tok, node_id, u, path)   (``path`` also gives the
+            tree's own spans, see ``spans.tree_spans``)
 
     For adjacent leaves with lowest common ancestor ``n`` whose children
     ``j`` and ``j+1`` hold them: ``d = max{C(leaf) under children >= j of n}
@@ -412,8 +516,6 @@ def encode(nodes: DataFrame, paths: DataFrame | None = None,
         "tree_id", "tok", "node_id", "C", "path", "prev_path",
         F.when((F.col("kp") == 1) & F.col("parent_id").isNotNull(), parent_el.getField("chain"))
         .otherwise(F.lit(EMPTY)).alias("u"))
-    # both branches below read the leaves; materialise them once (spills to disk)
-    leaves = leaves.persist()
     # D(x): deepest binary leaf depth below x, keyed by (parent, ordinal) of x
     deep = (leaves.select("tree_id", "C", F.posexplode("path").alias("pos", "e"), "path")
             .where(F.col("pos") > 0)

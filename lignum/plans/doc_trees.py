@@ -8,6 +8,8 @@ labels, so the decoder sees real-valued, tie-breaking input.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,40 +26,37 @@ def doc_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return T.nest_documents(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
-_ENCODINGS: dict = {}
-
-
-def doc_encoding(spark: SparkSession, sf: str):
-    """Nodes, closure, gaps and leaves of the document trees, built once per
-    session and scale (the closure is persisted; lazily recomputed if evicted)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _ENCODINGS:
-        _ENCODINGS[key] = _doc_encoding(spark, sf)
-    return _ENCODINGS[key]
+class DocEncoding(NamedTuple):
+    """Encoded document trees: sentence rows, word rows, and the views of them that queries read."""
+    sents: DataFrame
+    words: DataFrame
+    gaps: DataFrame
+    leaves: DataFrame
+    spans: DataFrame
 
 
-def reset_encodings() -> None:
-    """Forget memoised encodings (the bench times every query from scratch)."""
-    _ENCODINGS.clear()
+def doc_encoding(spark: SparkSession, sf: str) -> DocEncoding:
+    sents = T.document_sentences(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    words = T.encode_sentences(sents)
+    gaps = words.where(F.col("d").isNotNull()).select("tree_id", F.col("tok").alias("gap"), "d", "c")
+    return DocEncoding(sents, words, gaps, words.select("tree_id", "tok", "u"), T.sentence_spans(sents))
 
 
-def _doc_encoding(spark: SparkSession, sf: str):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    nodes, paths = T.nest_documents(docs, with_paths=True)
-    gaps, leaves = T.encode(nodes, paths)
-    return nodes, paths, gaps, leaves
+def doc_paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Node table and ancestor closure of the document trees."""
+    return T.nest_documents(table(spark, sf, "documents").select("doc_id", "text", "lang"), with_paths=True)
 
 
-def predicted(gaps: DataFrame, leaves: DataFrame) -> DataFrame:
+def predicted(words: DataFrame) -> DataFrame:
     """Noisy prediction: d + 0.3 * (h mod 7 - 3), label 'statement' where h mod 5 = 0.
 
-    ``h`` is the md5 bucket of ``tree_id:gap``, computed on the long gap rows
+    ``h`` is the md5 bucket of ``tree_id:gap``, computed on the word rows
     (codegen'd), then packed into per-tree arrays like the true encoding.
     """
-    h = md5_bucket(F.concat_ws(":", F.col("tree_id").cast("string"), F.col("gap").cast("string")))
-    noisy = gaps.select("tree_id", "gap", (F.col("d") + (h % 7 - 3) * 0.3).alias("d"),
-                        F.when(h % 5 == 0, F.lit("statement")).otherwise(F.col("c")).alias("c"))
-    return T.features(noisy, leaves)
+    h = md5_bucket(F.concat_ws(":", F.col("tree_id").cast("string"), F.col("tok").cast("string")))
+    noisy = words.select("tree_id", "tok", (F.col("d") + (h % 7 - 3) * 0.3).alias("d"),
+                         F.when(h % 5 == 0, F.lit("statement")).otherwise(F.col("c")).alias("c"), "u")
+    return T.word_features(noisy)
 
 
 # --------------------------------------------------------------------------
@@ -65,7 +64,7 @@ def predicted(gaps: DataFrame, leaves: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 DOC_CTE = r"""
-d AS (SELECT doc_id AS tree_id, lang, text FROM documents),
+d AS (SELECT doc_id AS tree_id, lang, coalesce(text, '') AS text FROM documents),
 l0 AS (SELECT tree_id, lang, strlen(text) AS tlen,
               unnest(string_split(text, chr(10))) AS line,
               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS li FROM d),
@@ -93,13 +92,15 @@ ln0 AS (SELECT tree_id, li, min(start) AS start, max("end") AS "end", count(*) A
                min(lo) AS lo, max(hi) AS hi FROM s1 GROUP BY tree_id, li),
 ln AS (SELECT *, dense_rank() OVER (PARTITION BY tree_id ORDER BY li) AS j FROM ln0),
 rt AS (SELECT tree_id, any_value(tlen) AS tlen, count(*) AS k, min(lo) AS lo, max(hi) AS hi
-       FROM ln JOIN (SELECT DISTINCT tree_id, tlen FROM w) USING (tree_id) GROUP BY tree_id)
+       FROM ln JOIN (SELECT DISTINCT tree_id, tlen FROM w) USING (tree_id) GROUP BY tree_id),
+bare AS (SELECT tree_id, lang, strlen(text) AS tlen FROM d WHERE NOT regexp_matches(text, '[^ \n]'))
 """
 
 NODES_CTE = DOC_CTE + r""",
 nn AS (
   SELECT tree_id, 0 AS depth, NULL::BIGINT AS li, NULL::BIGINT AS si, 0 AS start, tlen AS "end",
          'document' AS type, false AS is_terminal FROM rt
+  UNION ALL SELECT tree_id, 0, NULL, NULL, 0, tlen, 'document', false FROM bare
   UNION ALL SELECT tree_id, 1, li, NULL, start, "end", 'line', false FROM ln
   UNION ALL SELECT tree_id, 2, li, si, start, "end", type, false FROM s1
   UNION ALL SELECT tree_id, 3, li, si, start, "end", 'word', true FROM w),
@@ -146,7 +147,8 @@ gaps AS (
   LEFT JOIN ssm ON ssm.tree_id = wt.tree_id AND ssm.li = wt.li AND ssm.j = wt.sj
   LEFT JOIN lsm ON lsm.tree_id = wt.tree_id AND lsm.j = wt.lj
   WHERE wt.nli IS NOT NULL),
-unary AS (SELECT tree_id, lang, tok, CASE WHEN ks = 1 THEN schain ELSE '<empty>' END AS u FROM wt),
+unary AS (SELECT tree_id, lang, tok, CASE WHEN ks = 1 THEN schain ELSE '<empty>' END AS u FROM wt
+          UNION ALL SELECT tree_id, lang, 0, '<empty>' FROM bare),
 tspans AS (
   SELECT tree_id, 'document' AS label, lo, hi FROM rt
   UNION ALL SELECT tree_id, 'line', lo, hi FROM ln
@@ -219,6 +221,7 @@ wc AS (SELECT wt.tree_id, sc.cost AS sc, lc.cost AS lcost,
        FROM wt JOIN sc USING (tree_id, li, si) JOIN lc USING (tree_id, li)),
 lv AS (
   SELECT tree_id, 0 AS depth, 0 AS c FROM rt
+  UNION ALL SELECT tree_id, 0, 0 FROM bare
   UNION ALL SELECT tree_id, 1, cost FROM lc
   UNION ALL SELECT sc.tree_id, 2, lc.cost + sc.cost FROM sc JOIN lc USING (tree_id, li)
   UNION ALL SELECT tree_id, 3, lcost + sc + wc FROM wc)
@@ -226,7 +229,7 @@ SELECT tree_id, depth::BIGINT AS depth, count(*) AS n_nodes, sum(c)::BIGINT AS s
 FROM lv GROUP BY tree_id, depth""")
 def doc_tree_levels(spark, sf):
     """Closure depth and binary depth per level."""
-    _, paths, _, _ = doc_encoding(spark, sf)
+    _, paths = doc_paths(spark, sf)
     return finish(paths.groupBy("tree_id", "depth").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.sum("C").alias("sum_c"), F.max("C").alias("max_c")))
 
@@ -235,55 +238,54 @@ def doc_tree_levels(spark, sf):
        headline=True)
 def tree_gaps(spark, sf):
     """Gap heights and labels."""
-    _, _, gaps, _ = doc_encoding(spark, sf)
-    return finish(gaps)
+    return finish(doc_encoding(spark, sf).gaps)
 
 
 @query("tree_unary", sql="WITH " + GAPS_CTE + " SELECT tree_id, tok::BIGINT AS tok, u FROM unary WHERE u <> '<empty>'")
 def tree_unary(spark, sf):
     """Unary labels of leaves (non-empty only)."""
-    _, _, _, leaves = doc_encoding(spark, sf)
+    leaves = doc_encoding(spark, sf).leaves
     return finish(leaves.where(F.col("u") != "<empty>").select("tree_id", "tok", "u"))
 
 
 @query("tree_features", sql="WITH " + GAPS_CTE + r""",
 fg AS (SELECT tree_id, count(*) AS n_gaps, sum(d) AS sum_d, max(d) AS max_d,
               sum(CASE WHEN c <> '<empty>' THEN 1 ELSE 0 END) AS n_labelled,
-              string_agg(c, ' ' ORDER BY gap) FILTER (WHERE gap < 3) AS head_c FROM gaps GROUP BY tree_id),
-fu AS (SELECT tree_id, count(*) AS num_tokens, sum(CASE WHEN u <> '<empty>' THEN 1 ELSE 0 END) AS n_unary
+              string_agg(d::BIGINT::VARCHAR, ' ' ORDER BY gap) AS ds, string_agg(c, ' ' ORDER BY gap) AS cs
+       FROM gaps GROUP BY tree_id),
+fu AS (SELECT tree_id, count(*) AS num_tokens, sum(CASE WHEN u <> '<empty>' THEN 1 ELSE 0 END) AS n_unary,
+              string_agg(u, ' ' ORDER BY tok) AS us
        FROM unary GROUP BY tree_id)
 SELECT fu.tree_id, num_tokens, coalesce(n_gaps, 0) AS n_gaps, sum_d::BIGINT AS sum_d, max_d::BIGINT AS max_d,
-       coalesce(n_labelled, 0)::BIGINT AS n_labelled, n_unary::BIGINT AS n_unary, head_c
+       coalesce(n_labelled, 0)::BIGINT AS n_labelled, n_unary::BIGINT AS n_unary,
+       md5(coalesce(ds, '')) AS d_digest, md5(coalesce(cs, '')) AS c_digest, md5(us) AS u_digest
 FROM fu LEFT JOIN fg USING (tree_id)""")
 def tree_features(spark, sf):
-    """Compact per-tree arrays, summarised (array contents checked in tests)."""
-    _, _, gaps, leaves = doc_encoding(spark, sf)
-    f = T.features(gaps, leaves)
+    """Compact per-tree arrays, summarised, with digests of each whole array."""
+    f = T.word_features(doc_encoding(spark, sf).words)
+    digest = lambda a: F.md5(F.array_join(F.col(a).cast("array<string>"), " "))
     return finish(f.select(
         "tree_id", "num_tokens", F.size("d").alias("n_gaps"),
-        F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_d"),
+        F.when(F.size("d") > 0, F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_d"),
         F.array_max("d").alias("max_d"),
         F.size(F.filter("c", lambda x: x != "<empty>")).alias("n_labelled"),
         F.size(F.filter("u", lambda x: x != "<empty>")).alias("n_unary"),
-        F.array_join(F.slice("c", 1, 3), " ").alias("head_c"))
-        .withColumn("sum_d", F.when(F.col("n_gaps") > 0, F.col("sum_d")))
-        .withColumn("head_c", F.when(F.col("n_gaps") > 0, F.col("head_c"))))
+        digest("d").alias("d_digest"), digest("c").alias("c_digest"), digest("u").alias("u_digest")))
 
 
 @query("span_set", sql="WITH " + GAPS_CTE + " SELECT tree_id, label, lo::BIGINT AS lo, hi::BIGINT AS hi FROM tspans",
        headline=True)
 def span_set(spark, sf):
     """Decode the encoded trees back to labelled spans."""
-    _, _, gaps, leaves = doc_encoding(spark, sf)
-    return finish(S.decode(T.features(gaps, leaves)))
+    return finish(S.decode(T.word_features(doc_encoding(spark, sf).words)))
 
 
 @query("roundtrip_f1", sql="WITH " + GAPS_CTE + """
 SELECT tree_id, 1.0::DOUBLE AS p, 1.0::DOUBLE AS r, 1.0::DOUBLE AS f1 FROM rt""")
 def roundtrip_f1(spark, sf):
     """decode(encode(tree)) against the tree's own spans (all 1.0)."""
-    _, paths, gaps, leaves = doc_encoding(spark, sf)
-    sc = S.span_scores(S.tree_spans(leaves), S.decode(T.features(gaps, leaves)))
+    e = doc_encoding(spark, sf)
+    sc = S.span_scores(e.spans, S.decode(T.word_features(e.words)))
     return finish(sc.select("tree_id", "p", "r", "f1"))
 
 
@@ -292,10 +294,9 @@ SELECT l.lang, count(*) AS n_trees, round(avg(s.p), 6) AS p, round(avg(s.r), 6)
 FROM scores s JOIN langs l USING (tree_id) GROUP BY l.lang""", headline=True)
 def perturbed_f1_by_lang(spark, sf):
     """Macro precision / recall / F1 per language of a noisy prediction."""
-    nodes, paths, gaps, leaves = doc_encoding(spark, sf)
-    pred = S.decode(predicted(gaps, leaves))
-    sc = S.span_scores(S.tree_spans(leaves), pred)
-    langs = nodes.where(F.col("depth") == 0).select("tree_id", "lang")
+    e = doc_encoding(spark, sf)
+    sc = S.span_scores(e.spans, S.decode(predicted(e.words)))
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("tree_id"), "lang")
     return finish(sc.join(langs, "tree_id").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_trees"), F.avg("p").alias("p"), F.avg("r").alias("r"),
         F.avg("f1").alias("f1")))
@@ -305,12 +306,28 @@ def perturbed_f1_by_lang(spark, sf):
 SELECT label, count(*) AS n_trees, round(avg(recall), 6) AS recall FROM rl GROUP BY label""")
 def recall_by_label(spark, sf):
     """Mean per-label recall of the noisy prediction."""
-    _, paths, gaps, leaves = doc_encoding(spark, sf)
-    pred = S.decode(predicted(gaps, leaves))
-    lr = S.label_recall(S.tree_spans(leaves), pred)
+    e = doc_encoding(spark, sf)
+    lr = S.label_recall(e.spans, S.decode(predicted(e.words)))
     return finish(lr.groupBy("label").agg(F.count(F.lit(1)).alias("n_trees"), F.avg("recall").alias("recall")))
 
 
+@query("recall_by_label_lang", sql="WITH " + PRED_CTE + r"""
+SELECT rl.label || '--' || l.lang AS label_key, count(*) AS n_trees, round(avg(recall), 6) AS recall,
+       md5(string_agg(rl.tree_id::VARCHAR || ':' || tl.n_true::VARCHAR || ':' || coalesce(hl.hit, 0)::VARCHAR, ' '
+                      ORDER BY rl.tree_id)) AS samples
+FROM rl JOIN langs l USING (tree_id) JOIN tl USING (tree_id, label) LEFT JOIN hl USING (tree_id, label)
+GROUP BY rl.label, l.lang""")
+def recall_by_label_lang(spark, sf):
+    """Recall keyed ``label--lang``: the mean, and a digest of each key's list of samples."""
+    e = doc_encoding(spark, sf)
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("tree_id"), "lang")
+    lr = S.label_recall(e.spans, S.decode(predicted(e.words))).join(langs, "tree_id")
+    lists = S.recall_lists(lr)
+    text = F.transform("samples", lambda x: F.concat_ws(":", x["tree_id"].cast("string"), x["n_true"].cast("string"),
+                                                        x["hit"].cast("string")))
+    return finish(lists.select("label_key", "n_trees", "recall", F.md5(F.array_join(text, " ")).alias("samples")))
+
+
 # --------------------------------------------------------------------------
 # relational trees and tree edits
 # --------------------------------------------------------------------------
@@ -348,9 +365,9 @@ ogaps AS (SELECT s.tree_id, s.tok AS gap,
 @query("order_tree_gaps", sql="WITH " + ORDER_CTE + """
 SELECT tree_id, gap::BIGINT AS gap, d::BIGINT AS d, c FROM ogaps""")
 def order_tree_gaps(spark, sf):
-    """C1 (relational), C6-C9 via the generic closure loop: customer -> order -> lineitem."""
+    """C1 (relational), C6-C9: customer -> order -> lineitem."""
     nodes = T.nest_orders(table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "lineitem"))
-    gaps, _ = T.encode(nodes)
+    gaps, _ = T.encode(nodes, max_depth=2)
     return finish(gaps)
 
 
@@ -362,7 +379,7 @@ FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM lit WHERE lit.tree_id = n.tree_id A
 GROUP BY n.tree_id""")
 def collapse_literals(spark, sf):
     """C4: string-literal sentences lose their words and become terminals."""
-    nodes, paths, _, _ = doc_encoding(spark, sf)
+    nodes, paths = doc_paths(spark, sf)
     c = T.collapse_literals(nodes, paths=paths)
     return finish(c.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"),
                                            F.count_if("is_terminal").alias("n_terminals")))
@@ -395,7 +412,7 @@ r AS (SELECT tree_id, string_agg(piece, ' ' ORDER BY tok) AS rendered FROM piece
 SELECT tree_id, strlen(rendered)::BIGINT AS n_bytes, md5(rendered) AS digest FROM r""")
 def gap_render(spark, sf):
     """Token texts cut by byte range, rendered inline with their gaps."""
-    nodes, _, gaps, _ = doc_encoding(spark, sf)
-    toks = T.tokens(nodes, table(spark, sf, "documents").select("doc_id", "text"))
+    gaps = doc_encoding(spark, sf).gaps
+    toks = T.tokens(doc_nodes(spark, sf), table(spark, sf, "documents").select("doc_id", "text"))
     r = T.render_gaps(toks, gaps)
     return finish(r.select("tree_id", F.octet_length("rendered").alias("n_bytes"), F.md5("rendered").alias("digest")))

@@ -20,15 +20,17 @@ SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
 
 def occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, gaps, leaves = D.doc_encoding(spark, sf)
+    words = D.doc_encoding(spark, sf).words
     # every document that is scored later, never the capped sample: no label may be missing
     sp = table(spark, sf, "documents").select(F.col("doc_id").alias("tree_id"), "lang",
                                               U.hash_split(F.col("doc_id")).alias("split"))
     so = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
-    c = gaps.select("tree_id", F.lit("c").alias("kind"), F.col("c").alias("label"), F.col("gap").alias("pos"))
-    u = leaves.select("tree_id", F.lit("u").alias("kind"), F.col("u").alias("label"), F.col("tok").alias("pos"))
-    return (c.unionByName(u).join(sp, "tree_id")
-            .select("kind", "lang", "label", so.alias("split_ord"), F.col("tree_id").alias("sample_ord"), "pos"))
+    # both labels of a word leave in one explode
+    both = F.array_compact(F.array(
+        F.when(F.col("c").isNotNull(), F.struct(F.lit("c").alias("kind"), F.col("c").alias("label"))),
+        F.struct(F.lit("u").alias("kind"), F.col("u").alias("label"))))
+    occ = words.select("tree_id", F.col("tok").alias("pos"), F.explode(both).alias("o")).join(sp, "tree_id")
+    return occ.select("o.kind", "lang", "o.label", so.alias("split_ord"), F.col("tree_id").alias("sample_ord"), "pos")
 
 
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +91,7 @@ def encode_ids(spark, sf):
 SELECT c AS label, count(*) AS count FROM gaps GROUP BY c ORDER BY count DESC, label LIMIT {TOP_LABELS}""")
 def label_counts_top100(spark, sf):
     """The 100 most frequent gap labels."""
-    _, _, gaps, _ = D.doc_encoding(spark, sf)
+    gaps = D.doc_encoding(spark, sf).gaps
     return finish(R.top_k(gaps.withColumnRenamed("c", "label"), "label", TOP_LABELS))
 
 

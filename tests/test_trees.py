@@ -118,3 +118,61 @@ def test_stream_paths_equal_window_paths(spark):
     a = sorted((r.tree_id, r.tok, r.u) for r in l1.collect())
     b = sorted((r.tree_id, r.tok, r.u) for r in l2.collect())
     assert a == b and len(a) > 0
+
+
+ODD = [(1, ""), (2, "   \n "), (3, None), (4, "a"), (5, "  one.  two \n\n three! four"), (6, "x.\r\ny z.\r"),
+       (7, "word"), (8, 'He said "no". Yes?\n\nGo!'), (9, "é. ñ ü"), (10, "\n\n. . ."), (11, "w " * 3000 + "end."),
+       (12, "s. " * 2000), (13, "l\n" * 2000)]
+
+
+def odd_docs(spark):
+    return spark.createDataFrame([(i, t, "en") for i, t in ODD], "doc_id long, text string, lang string")
+
+
+def test_sentence_encoder_equals_node_encoder(spark):
+    docs = odd_docs(spark)
+    nodes = T.nest_documents(docs)
+    gaps, leaves = T.encode(nodes.select(*T.NODE_COLS))  # iterative closure over parent pointers
+    sents = T.document_sentences(docs)
+    words = T.encode_sentences(sents)
+    want = sorted((r.tree_id, r.gap, r.d, r.c) for r in gaps.collect())
+    assert want == sorted((r.tree_id, r.tok, r.d, r.c) for r in words.where("d is not null").collect())
+    assert sorted((r.tree_id, r.tok, r.u) for r in leaves.collect()) == sorted((r.tree_id, r.tok, r.u) for r in words.collect())
+    spans = S.tree_spans(T.root_paths(nodes, max_depth=3))
+    key = lambda df: sorted((r.tree_id, r.label, r.lo, r.hi) for r in df.collect())
+    assert key(spans) == key(T.sentence_spans(sents))
+    assert key(spans) == key(S.decode(T.word_features(words)))
+
+
+def test_documents_without_words_keep_their_root(spark):
+    docs = odd_docs(spark)
+    nodes, paths = T.nest_documents(docs, with_paths=True)
+    for df in (nodes, paths):
+        roots = {r.tree_id: r for r in df.where("parent_id is null").collect()}
+        assert sorted(roots) == [i for i, _ in ODD]
+        assert [(roots[i].type, roots[i].is_terminal, roots[i].k) for i in (1, 2, 3)] == [("document", False, 0)] * 3
+    assert {r.tree_id for r in T.tree_check(nodes.select(*T.NODE_COLS)).where("is_tree").collect()} == {i for i, _ in ODD}
+
+
+def test_deep_tree_through_checkpoints(spark):
+    rows = [(1, n, n - 1 if n else None, f"t{n}", n == 20, n, n + 1) for n in range(21)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, type string, "
+                                        "is_terminal boolean, start long, end long")
+    paths = {r.node_id: r for r in T.root_paths(nodes).collect()}
+    assert len(paths) == 21 and paths[20].depth == 20 and [e.node for e in paths[20].path] == list(range(21))
+
+
+def test_one_decoder_in_the_plan(spark):
+    from lignum.plans import doc_trees as D
+    e = D.doc_encoding(spark, "/root/testdata/sf0.001")
+    sc = S.span_scores(e.spans, S.decode(D.predicted(e.words)))
+    plan = sc._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_bounds_udf(") == 1
+
+
+def test_recall_lists(spark):
+    rows = spark.createDataFrame([(1, "a", 2, 1, 0.5, "en"), (2, "a", 1, 1, 1.0, "en"), (3, "a", 1, 0, 0.0, "fr")],
+                                 "tree_id long, label string, n_true long, hit long, recall double, lang string")
+    got = {r.label_key: r for r in S.recall_lists(rows).collect()}
+    assert sorted(got) == ["a--en", "a--fr"] and got["a--en"].recall == 0.75
+    assert [(x.tree_id, x.recall) for x in got["a--en"].samples] == [(1, 0.5), (2, 1.0)]
