@@ -121,7 +121,7 @@ def span_scores(true_spans: DataFrame, pred_spans: DataFrame, label: str | None
 
     A predicted span is a hit when the true set contains it (repeated
     predicted spans each count).  ``label`` filters the true side only.
-    Empty sides give NULL scores.
+    A tree with an empty side has no scores (all three NULL).
     """
     t = true_spans if label is None else true_spans.where(F.col("label") == label)
     nt = t.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_true"))
@@ -130,7 +130,7 @@ def span_scores(true_spans: DataFrame, pred_spans: DataFrame, label: str | None
            .agg(F.count(F.lit(1)).alias("n_pred"), F.count("_hit").alias("hit")))
     s = nt.join(np_, "tree_id", "full").withColumn("hit", F.coalesce("hit", F.lit(0)))
     p = F.col("hit") / F.col("n_pred")
-    r = F.col("hit") / F.col("n_true")
+    r = F.when(F.col("n_pred") > 0, F.col("hit") / F.col("n_true"))
     s = s.withColumn("p", p).withColumn("r", r)
     f1 = F.when(F.col("p") + F.col("r") == 0, F.lit(0.0)).otherwise(
         2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r")))

@@ -119,6 +119,7 @@ def kmeans_elbow(df: DataFrame, k_min: int, k_max: int, seed: int = 42, vec: str
     for k in range(k_min, k_max):
         m = KMeans(k=k, seed=seed, featuresCol="_v").fit(v)
         costs.append((k, m.summary.trainingCost, m))
+    v.unpersist()
     (k0, c0, _), (k1, c1, _) = costs[0], costs[-1]
     best = max(costs, key=lambda t: abs((c1 - c0) * (t[0] - k0) - (k1 - k0) * (t[1] - c0)))
     model = best[2]

@@ -295,7 +295,7 @@ FROM scores s JOIN langs l USING (tree_id) GROUP BY l.lang""", headline=True)
 def perturbed_f1_by_lang(spark, sf):
     """Macro precision / recall / F1 per language of a noisy prediction."""
     e = doc_encoding(spark, sf)
-    sc = S.span_scores(e.spans, S.decode(predicted(e.words)))
+    sc = S.span_scores(e.spans, S.decode(predicted(e.words))).where("f1 IS NOT NULL")
     langs = table(spark, sf, "documents").select(F.col("doc_id").alias("tree_id"), "lang")
     return finish(sc.join(langs, "tree_id").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_trees"), F.avg("p").alias("p"), F.avg("r").alias("r"),
