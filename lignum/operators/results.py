@@ -46,9 +46,11 @@ def best_layer_table(runs: DataFrame) -> DataFrame:
     return runs.join(best, ["model", "layer"], "left_semi").select("model", "lang", "layer", "f1")
 
 
-def experiment_grid(models: dict[str, int], langs, rank: int = 128) -> list[tuple]:
-    """J7 rows: model x lang x layers 1..n_layers(model)."""
-    return [(m, lang, layer, rank) for m, n in models.items() for lang in langs for layer in range(1, n + 1)]
+def experiment_grid(models: DataFrame, langs, rank: int = 128) -> DataFrame:
+    """Model x lang x layers 1..n_layers, from rows (model, n_layers)."""
+    return (models.select("model", "n_layers", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
+            .select("model", "lang", F.explode(F.sequence(F.lit(1), F.col("n_layers").cast("int"))).alias("layer"),
+                    F.lit(rank).alias("rank")))
 
 
 def outstanding(grid: DataFrame, runs: DataFrame, keys=("model", "lang", "layer", "rank")) -> DataFrame:

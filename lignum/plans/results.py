@@ -115,8 +115,8 @@ WHERE NOT EXISTS (SELECT 1 FROM raw_runs r WHERE r.model = g.model AND r.lang =
                   AND r.layer = g.layer AND r.rank = g.rank)""")
 def grid_todo(spark, sf):
     """Experiment grid (model x lang x layer) minus runs already present."""
-    grid = spark.createDataFrame(R.experiment_grid(MODEL_LAYERS, LANGUAGES),
-                                 "model string, lang string, layer int, rank int")
+    models = spark.createDataFrame(list(MODEL_LAYERS.items()), "model string, n_layers int")
+    grid = R.experiment_grid(models, LANGUAGES)
     return finish(R.outstanding(grid, raw_runs(spark, sf)))
 
 
