@@ -560,15 +560,6 @@ def features(gaps: DataFrame, leaves: DataFrame, tokens_df: DataFrame | None = N
     return out
 
 
-def explode_features(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Inverse of ``features``: compact arrays back to long gaps / leaves rows."""
-    gaps = feat.select("tree_id", F.posexplode(F.arrays_zip("d", "c")).alias("gap", "z")) \
-        .select("tree_id", F.col("gap").cast("int"), F.col("z.d").alias("d"), F.col("z.c").alias("c"))
-    leaves = feat.select("tree_id", F.posexplode("u").alias("tok", "u")) \
-        .select("tree_id", F.col("tok").cast("int"), "u")
-    return gaps, leaves
-
-
 def render_gaps(tokens_df: DataFrame, gaps: DataFrame) -> DataFrame:
     """Inline rendering ``tok0 -c d- tok1 ...`` (one string per tree)."""
     t = tokens_df.select("tree_id", "tok", "token")

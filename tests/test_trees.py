@@ -176,3 +176,15 @@ def test_recall_lists(spark):
     got = {r.label_key: r for r in S.recall_lists(rows).collect()}
     assert sorted(got) == ["a--en", "a--fr"] and got["a--en"].recall == 0.75
     assert [(x.tree_id, x.recall) for x in got["a--en"].samples] == [(1, 0.5), (2, 1.0)]
+
+
+def test_roots_ids_and_level_sizes(spark):
+    nodes = golden_nodes(spark)
+    assert [r.node_id for r in T.roots(nodes).collect()] == [0]
+    shifted = nodes.withColumn("node_id", F.col("node_id") * 3 + 5)
+    assert sorted(r.node_id for r in T.next_ids(shifted).collect()) == list(range(len(GOLDEN)))
+    depth = {0: 0}
+    for n, p, _t, _term in GOLDEN[1:]:
+        depth[n] = depth[p] + 1
+    want = {d: list(depth.values()).count(d) for d in depth.values()}
+    assert {r.depth: r.n_nodes for r in T.level_sizes(T.root_paths(nodes)).collect()} == want
