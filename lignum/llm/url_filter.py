@@ -7,27 +7,32 @@ longest rule wins.
 URLs without a rule are judged by the template of their path.  Per host a tree of
 path segments is grown level by level from counts only:
 
-- below a node, segments are generalised to ``*`` (keeping an extension) where
-  they vary: segments with digits always, others when the node has more than
-  ``MAX_CHILDREN`` different ones;
-- sibling branches are merged to ``*`` when they are statistically alike: their
-  labelled share of bad URLs lies within ``Z`` standard errors of all the
-  siblings' share together;
+- a branch is kept apart when its labelled share of bad URLs differs from all the
+  siblings' share together: the count of bad ones lies more than ``Z`` standard errors
+  (and half a URL, the continuity correction, as most numbered branches have one label)
+  from what that share gives.  An only child is kept too;
+- all other branches, however many, with digits or not, labelled or not, are one ``*``
+  (keeping an extension);
 - a template (host and generalised path) is rejected when the smoothed share of
   bad URLs among its labelled ones, ``(bad + PRIOR * base) / (n + PRIOR)`` with
   ``base`` the share over all labelled URLs, reaches ``REJECT``.
 
 A branch is compared with its siblings' pooled counts, never with each of them.
 All counts combine before the shuffle, so a host with a third of all URLs is no
-hot group; levels are written to the shared folder.
+hot group; levels are written to the shared folder.  A level holds only URLs that go
+on; a node all of whose URLs go on alike is done at once, so there are as many levels
+as the longest beginning that two different paths share.
 
 Cases: a null URL or one without ``://`` has an empty host and path and is
-allowed unless a rule fits.  Segments below ``MAX_DEPTH`` are one ``**``.  Rows
-alike are judged alike; an empty table gives an empty result.
+allowed unless a rule fits.  A closing slash is an empty last segment, which stands by
+itself.  A segment's own leading ``*`` is written ``%2A``.  Rows alike are judged
+alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +40,6 @@ from lignum.llm.common import UPPER, stored
 
 # (host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MAX_DEPTH = 6
-MAX_CHILDREN = 32
 Z = 2.0
 PRIOR = 5.0
 REJECT = 0.8
@@ -70,9 +73,7 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, rules=RULES) -> DataFram
 
 def _segments(path: Column) -> Column:
     """Segments of a path; a closing slash is an empty last segment."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.lit("**")))
-                  ).otherwise(parts)
+    return F.split(F.regexp_replace(path, "^/", ""), "/", -1)
 
 
 def wildcard(segment: Column) -> Column:
@@ -80,36 +81,50 @@ def wildcard(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_extract(segment, "(\\.[A-Za-z]{1,5})$", 1))
 
 
+def literal(segment: Column) -> Column:
+    """The segment itself, never mistaken for a wildcard."""
+    return F.regexp_replace(segment, "^\\*", "%2A")
+
+
+def kept_branches(stats: DataFrame) -> DataFrame:
+    """Branches that are not merged: ``_h, _t, _c`` and ``_alone`` (all URLs of their node go on alike)."""
+    named = F.col("_child") != ""
+    nodes = stats.groupBy("host", "template").agg(
+        F.count_if(named).alias("kinds"), F.sum(F.when(named, F.col("n")).otherwise(0)).alias("pn"),
+        F.sum(F.when(named, F.col("bad_n")).otherwise(0)).alias("pb"),
+        (F.min("lo") == F.max("hi")).alias("_alone"))
+    rate = F.col("pb") / F.greatest("pn", F.lit(1))
+    error = F.sqrt(F.col("n") * F.greatest(rate * (1 - rate), F.lit(0.01)))
+    differs = (F.col("n") > 0) & (F.abs(F.col("bad_n") - F.col("n") * rate) - 0.5 > Z * error)
+    return stats.join(nodes, ["host", "template"]).where(~named | (F.col("kinds") == 1) | differs).select(
+        F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_child").alias("_c"), "_alone")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (``host, path`` and ``bad``: 1, 0 or null) plus ``template``."""
     rows = urls.withColumns({"_seg": _segments(F.col("path")), "template": F.lit("")})
-    for depth in range(MAX_DEPTH):
-        here = F.get("_seg", F.lit(depth))
-        child = F.when(here.rlike("[0-9]"), wildcard(here)).otherwise(here)
-        rows = rows.withColumn("_child", child)
-        stats = rows.where(F.col("_child").isNotNull()).groupBy("host", "template", "_child").agg(
-            F.count("bad").alias("n"), F.sum("bad").alias("bad_n"))
-        stats = stored(stats.select("host", "template", "_child", "n", F.coalesce("bad_n", F.lit(0)).alias("bad_n")),
-                       "branches")
-        plain = ~F.col("_child").startswith("*") & (F.col("_child") != "")
-        pooled = stats.where(plain).groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pn"), F.sum("bad_n").alias("pb"))
-        joined = stats.join(pooled, ["host", "template"], "left")
-        rate = F.col("pb") / F.greatest("pn", F.lit(1))
-        spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) / F.greatest("n", F.lit(1)))
-        alike = F.abs(F.col("bad_n") / F.greatest("n", F.lit(1)) - rate) <= Z * spread
-        merge = plain & (F.col("kinds") > 1) & ((F.col("n") == 0) | alike | (F.col("kinds") > MAX_CHILDREN))
-        to = joined.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_child").alias("_c"),
-                           F.when(merge, wildcard(F.col("_child"))).otherwise(F.col("_child")).alias("_to"))
-        rows = (rows.join(to, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
+    done, depth = [], 0
+    while True:
+        rest = F.slice("_seg", F.lit(depth + 1), F.size("_seg"))
+        rows = rows.withColumn("_child", F.get("_seg", F.lit(depth)))
+        stats = rows.withColumn("_rest", F.xxhash64(rest)).groupBy("host", "template", "_child").agg(
+            F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_n"),
+            F.min("_rest").alias("lo"), F.max("_rest").alias("hi"))
+        kept = kept_branches(stored(stats, "branches"))
+        alone = F.coalesce("_alone", F.lit(False))
+        step = (F.when(alone, F.array_join(F.transform(rest, literal), "/"))
+                .when(F.col("_c").isNotNull(), literal(F.col("_child"))).otherwise(wildcard(F.col("_child"))))
+        rows = (rows.join(kept, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
                           & (F.col("_child") == F.col("_c")), "left")
-                .withColumn("template", F.when(F.col("_to").isNotNull(), F.concat("template", F.lit("/"), "_to"))
-                            .otherwise(F.col("template")))
-                .drop("_h", "_t", "_c", "_to", "_child"))
+                .withColumns({"template": F.concat("template", F.lit("/"), step),
+                              "_done": alone | (F.size("_seg") <= depth + 1)})
+                .drop("_h", "_t", "_c", "_alone", "_child"))
         rows = stored(rows, "urls")
-        if not rows.where(F.size("_seg") > depth + 1).limit(1).count():
-            break
-    return rows.drop("_seg")
+        done.append(rows.where("_done").drop("_seg", "_done"))
+        rows = rows.where("NOT _done").drop("_done")
+        depth += 1
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url",
