@@ -33,7 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents: their token ids and their places in sequences."""
     import public_tokenizers
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences: their documents in order and their token ids."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return packing.sequences(stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]))

@@ -8,7 +8,7 @@ when there are too many the fullest closes first.
 Pieces are dealt to packers by a hash, about ``tokens_per_packer`` tokens each,
 so the work of a packer is bounded, results do not depend on the order of the
 input, and what stays open at the end of a packer is a small share of what it
-filled.
+filled.  The token ids go with the pieces; ``sequences`` joins them to the packed sequences.
 
 Cases: null text is empty and packs as the end token alone.  Rows alike in id
 are told apart by their order of text hash only, so ids should be unique; equal
@@ -148,9 +148,20 @@ def word_cache(path: str) -> WordCache:
     return _TOKENIZERS[path]
 
 
+def narrowed(ids: bytes) -> bytes:
+    """16-bit ids if all fit; the number of ids tells the width."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if len(x) and x.max() < 1 << 16 else ids
+
+
+def widened(ids: bytes, length: int) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-             sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Pieces ``doc_id, piece, start, length, ids``; ``ids`` are little-endian unsigned 32-bit."""
+             sequence: int = SEQUENCE, end_id: int = END_ID, narrow: bool = False) -> DataFrame:
+    """Pieces ``doc_id, piece, start, length, ids``; ``ids`` are little-endian unsigned 32-bit, or with
+    ``narrow`` 16-bit in pieces whose ids all fit (``pack`` widens them)."""
     ensure_shipped(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -168,7 +179,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                         piece.append(k)
                         start.append(at // 4)
                         length.append(len(cut) // 4)
-                        data.append(cut)
+                        data.append(narrowed(cut) if narrow else cut)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.schema.field(0).type), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())],
@@ -221,7 +232,7 @@ def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
          tokens_per_packer: int = TOKENS_PER_PACKER) -> DataFrame:
     """``lengths`` (with ``doc_id, piece, length``) plus ``sequence_id`` and ``offset``.
 
-    ``lengths`` should be stored: its sum decides the number of packers.
+    ``lengths`` should be stored: its sum decides the number of packers.  Its ``ids``, if any, come out 32-bit.
     """
     total = lengths.agg(F.sum("length")).first()[0] or 0
     packers = max(1, -(-total // tokens_per_packer))
@@ -235,18 +246,23 @@ def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, now = None, None
-        for batch in batches:
-            bins, offsets = [], []
-            for who, length in zip(batch.column(owner).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                if who != now:
-                    packer, now = Packer(sequence, open_bins), who
-                bin_id, offset = packer.place(length)
-                bins.append(who << 40 | bin_id)
-                offsets.append(offset)
-            kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] not in ("_packer", "_order")]
-            names = [n for n in batch.schema.names if n not in ("_packer", "_order")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())],
-                                             [*names, "sequence_id", "offset"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                bins, offsets = [], []
+                for who, length in zip(batch.column(owner).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                    if who != now:
+                        packer, now = Packer(sequence, open_bins), who
+                    bin_id, offset = packer.place(length)
+                    bins.append(who << 40 | bin_id)
+                    offsets.append(offset)
+                names = [n for n in batch.schema.names if n not in ("_packer", "_order")]
+                kept = [batch.column(n) for n in names]
+                if "ids" in names:
+                    kept[names.index("ids")] = pa.array(map(
+                        widened, batch.column("ids").to_pylist(), batch.column(at).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())],
+                                                 [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema.fields)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
@@ -262,7 +278,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    sequence: int = SEQUENCE) -> DataFrame:
-    """Pieces with their digest and place."""
-    pieces = tokenize(docs, tokenizer_path, id_col, text_col, sequence)
-    digest = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(digest, sequence)
+    """Pieces with their token ids, the ids' digest and their place."""
+    placed = pack(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces"),
+                  sequence)
+    return placed.withColumn("ids_crc32", F.crc32("ids"))

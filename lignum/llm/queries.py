@@ -56,7 +56,8 @@ def op2(spark, sf_dir):
 @query("op3_packing")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("op4_suffix_dedup")

@@ -1,6 +1,10 @@
 """Operators do the whole job: no cap on branches, levels, tokens, frequencies or clusters."""
 
-from lignum.llm import url_filter
+import collections
+
+import numpy as np
+
+from lignum.llm import packing, url_filter
 
 
 def judged(spark, urls, bad):
@@ -39,3 +43,45 @@ def test_url_filter_template_of_lone_and_starred_paths(spark):
     assert [got[u].template for u in urls[5:]] == ["/a/", "/a"]
     star = judged(spark, [f"http://m.info/{x}/{k}" for x in ("*", "y", "z") for k in range(40)], [1] * 40 + [0] * 80)
     assert {r.template for u, r in star.items() if "/*/" in u} == {"/%2A/*"}
+
+
+def test_packed_sequences_hold_all_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = {k: "stone river cloud " * (k * 7 % 40) for k in range(25)} | {25: None, 26: "é日"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    placed = packing.pack_documents(docs, path, sequence=64).cache()
+    t = Tokenizer.from_file(path)
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts.items()}
+    rows = placed.collect()
+    parts = collections.defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids == want[r.doc_id][r.start:r.start + r.length]
+        parts[r.sequence_id].append((r.offset, r.doc_id, ids))
+    assert sum(r.length for r in rows) == sum(map(len, want.values()))
+    got = {r.sequence_id: (r.doc_ids, np.frombuffer(r.ids, "<u4").tolist()) for r in packing.sequences(placed).collect()}
+    assert got == {k: ([d for _o, d, _i in sorted(v)], [x for _o, _d, ids in sorted(v) for x in ids]) for k, v in parts.items()}
+    assert max(len(ids) for _d, ids in got.values()) <= 64
+
+
+def test_op3_query_has_digests_and_the_pipeline_sequences(spark, tmp_path):
+    import corpus_pipeline
+    from lignum.llm import queries
+    words = "the of and to a in is that river stone cloud house water light night green small round".split()
+    docs = [(k, " ".join(words[(k * 31 + j * j * (k + 3) + j) % len(words)] + str(j % 9 if j % 4 == 0 else "") for j in range(90)), "en", "s", None)
+            for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    assert queries.QUERIES["op3_packing"](spark, str(tmp_path)).columns == [
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(len(r.ids) % 4 == 0 and np.frombuffer(r.ids, "<u4")[-1] == 1 for r in out)
+
+
+def test_ids_travel_narrow_and_come_out_wide():
+    for x in ([1, 2, 65535], [1, 65536], []):
+        ids = np.array(x, "<u4").tobytes()
+        assert packing.widened(packing.narrowed(ids), len(x)) == ids
+    assert len(packing.narrowed(np.array([1, 65535], "<u4").tobytes())) == 4
