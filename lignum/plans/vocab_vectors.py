@@ -187,12 +187,16 @@ def pca2(spark, sf):
     return finish(p.select("vec_id", "lang", F.abs(F.col("pc")[0]).alias("abs_pc1"), F.abs(F.col("pc")[1]).alias("abs_pc2")))
 
 
+# the reference's range, k from 4 to 79
+ELBOW_RANGE = (4, 80)
+
+
 @query("kmeans_elbow")
 def kmeans_elbow(spark, sf):
     """V3, V4, V8: k-means elbow over displaced unit vectors, first 10 ids per cluster."""
     v = vectors(spark, sf)
     moved = V.displace(v, V.centroids(v, "lang"), "lang", "c").withColumn("vec", V.normalize(F.col("vec")))
-    k, _costs, clustered = V.kmeans_elbow(moved, 4, 12)
+    k, _costs, clustered = V.kmeans_elbow(moved, *ELBOW_RANGE)
     heads = V.cluster_heads(clustered, "label", "vec_id")
     return finish(heads.select("cluster", "pos", "vec_id", "label", F.lit(k).alias("k")))
 
