@@ -7,12 +7,13 @@ agree on a sample with the probability of their weighted Jaccard similarity.
 Bands of ``ROWS`` samples name buckets; documents that share a bucket are
 candidates, and every link is verified by the exact weighted Jaccard similarity.
 
-Document frequencies cover all documents.  Only shingles that hold at least
-``1 / COMMON`` of all (document, shingle) pairs need their own frequency, so there
-are at most ``COMMON`` of them; they are found exactly by counting hash buckets
-first and the shingles of full buckets after.  With ``N`` documents and ``F`` that
-least frequency, the idf is ``1 + ln(N / max(df, F)) / ln(N / F)``: 2 for any
-rarer shingle, towards 1 for one that every document holds.
+Document frequencies cover all documents.  With ``N`` documents the idf of a shingle is
+``1 + ln(N / df) / ln(N)``: 2 for one of a single document, 1 for one that every
+document holds.  Shingles that hold at least ``1 / COMMON`` of all (document, shingle)
+pairs, at most ``COMMON`` of them, are counted exactly by hash buckets first and the
+shingles of full buckets after, and lie in memory.  The frequencies of all rarer
+shingles of candidates are counted and joined by a shuffle, so every link is verified
+with exact weights.  Only the samples take rarer shingles for unique ones.
 
 Exact copies share one representative (the smallest id).  In every bucket the
 smallest member is compared with the others, which costs one pair a member.  A
@@ -118,7 +119,7 @@ class Weights:
         keys = np.array(sorted(frequency), U)
         df = np.array([frequency[int(k)] for k in keys], np.float64)
         scale = max(np.log(max(n_docs, 1) / least), 1e-9)
-        self.keys = keys
+        self.keys, self.scale, self.n_docs = keys, scale, n_docs
         self.idf = np.clip(1 + np.log(max(n_docs, 1) / np.maximum(df, least)) / scale, 1.0, 2.0)
 
     def of(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -129,6 +130,16 @@ class Weights:
             idf[hit] = self.idf[at[hit]]
         return tf * idf
 
+    def of_df(self, df: np.ndarray) -> np.ndarray:
+        """Idf of shingles of these frequencies."""
+        return np.clip(1 + np.log(max(self.n_docs, 1) / df) / self.scale, 1.0, 2.0)
+
+
+def exact_weights(texts: DataFrame, width: int = WIDTH, common: int | None = None) -> Weights:
+    """Weights by the frequencies in memory; ``with_frequencies`` brings all others."""
+    frequency, _least, n_docs = common_shingles(texts, width, COMMON if common is None else common)
+    return Weights(frequency, 1, n_docs)
+
 
 def samples(h: np.ndarray, weight: np.ndarray, n: np.ndarray, k_samples: int, seed: int = SEED) -> np.ndarray:
     """Consistent weighted samples of each row (rows x samples, 64-bit names of (shingle, level)).
@@ -214,12 +225,60 @@ def vectors(texts: DataFrame, ids, width: int = WIDTH) -> DataFrame:
     return texts.mapInArrow(run, "id long, h binary")
 
 
-def _weighed(column: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingles and their weights of every row of ``h``."""
+def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WIDTH) -> DataFrame:
+    """``id, h, total`` plus ``at, df``: places (among the distinct shingles) and document frequencies of the
+    shingles that are not in memory and that more than one document holds."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                hs = [np.unique(np.frombuffer(x.as_buffer(), U)) for x in part.column(2)]
+                at = [np.flatnonzero(~np.isin(h, weights.value.keys)) for h in hs]
+                owner = pa.array(np.repeat(np.arange(len(hs)), [len(a) for a in at]))
+                h = np.concatenate([h[a] for h, a in zip(hs, at, strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner),
+                     pa.array(np.concatenate(at).astype(np.int32)), pa.array(h.view(np.int64))], ["id", "fp", "at", "h"])
+
+    keyed = vecs.select("id", F.xxhash64("h").alias("fp"), "h")
+    asked = stored(keyed.mapInArrow(rare, "id long, fp long, at int, h long"), "asked")
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(asked.select("h")))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [np.zeros(0, U)]
+            for part in portions(batch, 1):
+                h, _tf, _n = _unique(*shingles(*utf8(part.column(1)), width))
+                h = h[in_bitmap(wanted.value, h)]
+                seen.append(h[~np.isin(h, weights.value.keys)])
+            h, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    df = texts.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("df")).where("df > 1")
+    found = asked.join(df.hint("merge"), "h").groupBy("id", "fp").agg(F.collect_list(F.struct("at", "df")).alias("f"))
+    found = found.select(F.col("id").alias("_i"), F.col("fp").alias("_f"), F.col("f.at").alias("at"), F.col("f.df").alias("df"))
+    joined = keyed.join(found, (F.col("id") == F.col("_i")) & (F.col("fp") == F.col("_f")), "left")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [float(w.sum()) for _h, w in _weighed(batch.column("h"), weights.value, batch.column("at"), batch.column("df"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64())], [*batch.schema.names, "total"])
+
+    return joined.select("id", "h", "at", "df").mapInArrow(
+        totals, "id long, h binary, at array<int>, df array<long>, total double")
+
+
+def _weighed(column: pa.Array, weights: Weights, at=None, df=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and their weights of every row of ``h``; ``at, df`` as in ``with_frequencies``."""
     out = []
-    for x in column:
+    for k, x in enumerate(column):
         h, tf = np.unique(np.frombuffer(x.as_buffer(), U), return_counts=True)
-        out.append((h, weights.of(h, tf)))
+        w = weights.of(h, tf)
+        if at is not None and at[k].is_valid:
+            here = at[k].values.to_numpy()
+            w[here] = tf[here] * weights.of_df(df[k].values.to_numpy())
+        out.append((h, w))
     return out
 
 
@@ -232,15 +291,15 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
 
 def verified(pairs: DataFrame, vecs: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs ``u, v`` whose exact weighted Jaccard similarity reaches the threshold."""
-    left = vecs.select(F.col("id").alias("u"), F.col("h").alias("uh"))
-    right = vecs.select(F.col("id").alias("v"), F.col("h").alias("vh"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "uh", "vh")
+    left = vecs.select(F.col("id").alias("u"), *[F.col(c).alias("u" + c) for c in ("h", "at", "df")])
+    right = vecs.select(F.col("id").alias("v"), *[F.col(c).alias("v" + c) for c in ("h", "at", "df")])
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", "uh", "uat", "udf", "vh", "vat", "vdf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                a, b = _weighed(part.column(2), weights.value), _weighed(part.column(3), weights.value)
+                a, b = (_weighed(part.column(k), weights.value, part.column(k + 1), part.column(k + 2)) for k in (2, 5))
                 keep = pa.array([weighted_jaccard(*x, *y) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["u", "v"])
 
@@ -252,7 +311,8 @@ def close_bucket(table: pa.Table, weights: Weights, threshold: float) -> pa.Tabl
     table = table.combine_chunks().sort_by("id")
     ids, classes, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
     bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-    vecs = _weighed(table.column("h").combine_chunks(), weights)
+    known = (table.column(c).combine_chunks() for c in ("at", "df")) if "at" in table.column_names else ()
+    vecs = _weighed(table.column("h").combine_chunks(), weights, *known)
     size = np.array([len(v[0]) for v in vecs])
     names, cols = np.unique(np.concatenate([v[0] for v in vecs]), return_inverse=True)
     wts = np.concatenate([v[1] for v in vecs])
@@ -286,6 +346,7 @@ def _closing(weights, threshold: float):
 
 def links(members: DataFrame, vecs: DataFrame, weights, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Links ``u, v`` that join all classes: see the module's text.  ``members``: ``bucket, id, total``."""
+    members = members.drop("total").join(vecs.groupBy("id").agg(F.max("total").alias("total")), "id")
     least = members.groupBy("bucket").agg(F.min_by(F.struct("id", "total"), "id").alias("c"))
     # weights alone bound the similarity
     alike = F.least("total", "ct") >= threshold * F.greatest("total", "ct")
@@ -308,7 +369,7 @@ def links(members: DataFrame, vecs: DataFrame, weights, threshold: float = THRES
     met = stored(blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "id", "component", "block", F.least("block", "_o").alias("bi"),
         F.greatest("block", "_o").alias("bj")), "open")
-    more = (met.join(vecs, "id").groupBy("bucket", "bi", "bj")
+    more = (met.join(vecs.drop("total"), "id").groupBy("bucket", "bi", "bj")
             .applyInArrow(_closing(weights, threshold), "u long, v long"))
     return edges.unionByName(stored(more, "more"))
 
@@ -319,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ensure_shipped(spark)
     texts = _texts(docs, id_col, text_col)
-    weights = spark.sparkContext.broadcast(Weights(*common_shingles(texts, width)))
+    weights = spark.sparkContext.broadcast(exact_weights(texts, width))
     signed = stored(signatures(texts, weights, width, bands, rows), "signed")
     some = signed.where(F.col("id").isNotNull() & (F.size("bands") > 0))
     copies = stored(some.groupBy("copy").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"),
@@ -329,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
     members = stored(buckets.join(shared, "bucket", "left_semi"), "members")
     wanted = spark.sparkContext.broadcast(bitmap(members.select("id")))
-    vecs = stored(vectors(texts, wanted, width), "vectors")
+    vecs = stored(with_frequencies(stored(vectors(texts, wanted, width), "shingles"), texts, weights, width), "vectors")
     labels = components(links(members, vecs, weights, threshold))
     classes = (copies.select("copy", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                .select(F.col("copy").alias("c"), F.coalesce("component", "rep").alias("class_id")))

@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 
-from lignum.llm import packing, url_filter
+from lignum.llm import minhash, packing, url_filter
 
 
 def judged(spark, urls, bad):
@@ -101,3 +101,19 @@ def test_kmeans_elbow_tries_the_range_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(vocab_vectors.V, "kmeans_elbow", elbow)
     assert QUERIES["kmeans_elbow"](spark, "").count() == 8
     assert tried == list(range(4, 80))
+
+
+def test_minhash_classes_do_not_depend_on_the_table_in_memory(spark, monkeypatch):
+    # 17 shingles of boilerplate in 30 documents, and pairs that differ in a few unique words
+    texts = [" ".join(f"b{j}" for j in range(20)) + " " + " ".join(f"x{k}n{j}" for j in range(20)) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    source = minhash._texts(df, "doc_id", "text")
+
+    def weights(common):
+        w = spark.sparkContext.broadcast(minhash.exact_weights(source, common=common))
+        ids = spark.sparkContext.broadcast(minhash.bitmap(source.select("id")))
+        rows = minhash.with_frequencies(minhash.vectors(source, ids), source, w).collect()
+        return len(w.value.keys), {r.id: round(r.total, 9) for r in rows}
+    (many, want), (few, got) = weights(1 << 16), weights(1)
+    assert many > few and got == want
+    assert set(got.values()) == {round(16 * 1.0 + 20 * 2.0, 9)}
