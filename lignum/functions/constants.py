@@ -11,6 +11,7 @@ SPECIAL_TOKENS = 2
 SAMPLE_CAP = 20000       # samples kept per language after filtering
 DATASET_SEED = 123
 TRAIN_SEED = 42
+BATCH_SIZE = 32          # samples of a training step
 TEST_FRACTION = 0.20     # first split
 VALID_FRACTION = 0.1 / 0.8  # second split, of the remaining part
 LANGUAGES = ("python", "java", "ruby", "javascript", "go", "c", "csharp", "php")
