@@ -364,5 +364,5 @@ def test_pipeline_stages(spark, docs):
 def test_digest_of_op8_is_sha256(spark):
     from lignum.llm.registry import QUERIES
     import lignum.llm.queries  # noqa: F401
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(QUERIES) == 13
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
