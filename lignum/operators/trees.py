@@ -299,11 +299,6 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("parent_id").isNull())
 
 
-def token_text(text: Column, start: Column, end: Column) -> Column:
-    """UTF-8 byte range of a string, decoded back to text."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
-
-
 def tokens(nodes: DataFrame, texts: DataFrame, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Terminal tokens ordered by (start, node_id) with their byte-range text.
@@ -323,9 +318,12 @@ def tokens(nodes: DataFrame, texts: DataFrame, id_col: str = "doc_id",
 
 
 def next_ids(nodes: DataFrame) -> DataFrame:
-    """Dense preorder-style ids within each tree (ordered by start, old id)."""
+    """Dense ids within each tree (ordered by start, old id); parents follow their nodes."""
     w = W.partitionBy("tree_id").orderBy("start", "node_id")
-    return nodes.withColumn("node_id", (F.row_number().over(w) - 1).cast("int"))
+    new = nodes.withColumn("_new", (F.row_number().over(w) - 1).cast("int"))
+    names = new.select("tree_id", F.col("node_id").alias("parent_id"), F.col("_new").alias("_parent"))
+    out = new.join(names, ["tree_id", "parent_id"], "left")
+    return out.select(*[F.col({"node_id": "_new", "parent_id": "_parent"}.get(c, c)).alias(c) for c in nodes.columns])
 
 
 def drop_nodes(nodes: DataFrame, cond: Column) -> DataFrame:
@@ -338,7 +336,7 @@ def has_error(nodes: DataFrame, error_type: str = "ERROR") -> DataFrame:
     return nodes.groupBy("tree_id").agg(F.bool_or(F.col("type") == error_type).alias("has_error"))
 
 
-def _children_stats(nodes: DataFrame) -> DataFrame:
+def children_stats(nodes: DataFrame) -> DataFrame:
     """Per node: sibling ordinal ``j``, parent's child count ``kp``, own child count ``k``."""
     sib = W.partitionBy("tree_id", "parent_id")
     n = (nodes.withColumn("j", F.row_number().over(sib.orderBy("start", "node_id")).cast("int"))
@@ -392,59 +390,48 @@ def preorder_paths(nodes: DataFrame, max_depth: int | None = None,
     return n
 
 
-def root_paths(nodes: DataFrame, checkpoint_every: int = 8, max_depth: int | None = None) -> DataFrame:
-    """C6 + C8 state: top-down closure, one co-partitioned join per depth.
+def root_paths(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """C6 + C8 state: the closure over ancestors by path doubling.
 
-    Adds ``depth``, binary depth ``C``, fused chain label ``chain`` and the
-    root path ``path: array<struct<node,j,C,chain>>``.  When the node table
-    carries a ``depth`` column each level joins only that depth's nodes and
-    the loop length is its maximum; otherwise the loop runs until the frontier
-    is empty.  Every ``checkpoint_every`` levels the frontier is checkpointed
-    to the session checkpoint dir to cut lineage.
+    Adds ``depth``, binary depth ``C``, fused chain label ``chain`` and the root path
+    ``path: array<struct<node,j,C,chain>>``.  A node table with ``depth``, ``j``, ``kp`` and ``k`` takes one
+    sorted stream (``preorder_paths``).  Otherwise every node starts with the path of itself alone; a
+    round puts the path of the ancestor that a path ends below in front of it, so paths double and a tree
+    of any depth takes the logarithm of its depth in joins.  Depths and chain labels of a piece are
+    relative to its beginning and are shifted when pieces meet.  Rounds are written below
+    ``spark.checkpoint.dir``; nothing is persisted.  Nodes that no root is above are left out.
     """
-    has_depth = "depth" in nodes.columns
-    if has_depth and {"j", "kp", "k"} <= set(nodes.columns):
+    if {"depth", "j", "kp", "k"} <= set(nodes.columns):
         return preorder_paths(nodes, max_depth)
-    cols = NODE_COLS + (["depth"] if has_depth else [])
-    s = _children_stats(nodes.select(*cols))
-    if has_depth and max_depth is None:
-        max_depth = s.agg(F.max("depth")).first()[0] or 0
-    s = s.persist()
-    elem = lambda: F.struct(F.col("node_id").alias("node"), F.col("j"), F.col("C"), F.col("chain"))
-    front = (s.where(F.col("parent_id").isNull())
-             .withColumn("depth", F.lit(0)).withColumn("C", F.lit(0))
-             .withColumn("chain", F.col("type")))
-    front = front.withColumn("path", F.array(elem())).persist()
-    levels = [front]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        base = s.where(F.col("depth") == depth).drop("depth") if has_depth else s
-        p = levels[-1].select(F.col("tree_id").alias("ptree"), F.col("node_id").alias("pid"),
-                              F.col("C").alias("pC"), F.col("chain").alias("pchain"),
-                              F.col("path").alias("ppath"))
-        cost = F.when(F.col("kp") == 1, F.lit(0)).otherwise(F.least(F.col("j"), F.col("kp") - 1))
-        nxt = (base.join(p, (F.col("tree_id") == F.col("ptree")) & (F.col("parent_id") == F.col("pid")))
-               .drop("ptree")
-               .withColumn("depth", F.lit(depth))
-               .withColumn("C", (F.col("pC") + cost).cast("int"))
-               .withColumn("chain", F.when(F.col("kp") == 1, F.concat_ws(SEP, "pchain", "type"))
-                           .otherwise(F.col("type"))))
-        nxt = nxt.withColumn("path", F.concat(F.col("ppath"), F.array(elem())))
-        nxt = nxt.drop("pid", "pC", "pchain", "ppath")
-        if depth % checkpoint_every == 0:
-            from lignum.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(nxt.sparkSession)  # the cluster's spark.checkpoint.dir
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist()
-        if max_depth is None and nxt.isEmpty():
+    from lignum.operators.order import staged
+    s = children_stats(nodes.select(*NODE_COLS))
+    inner = F.col("parent_id").isNotNull()
+    single = inner & (F.col("kp") == 1)
+    cost = F.when(inner & ~single, F.least(F.col("j"), F.col("kp") - 1)).otherwise(F.lit(0))
+    own = F.struct(F.col("node_id").alias("node"), F.col("j"), cost.cast("int").alias("C"), F.col("type").alias("chain"),
+                   single.alias("fused"))
+    now = staged(s.withColumn("path", F.array(own)).withColumn("_up", F.col("parent_id")), "paths")
+    largest = now.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(largest).bit_length() + 1):
+        waiting = now.where(F.col("_up").isNotNull())
+        if waiting.isEmpty():
             break
-        levels.append(nxt)
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        above = now.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("path").alias("_p"),
+                           F.col("_up").alias("_next"))
+        end = F.element_at("_p", -1)
+        shifted = F.transform("path", lambda e: F.struct(
+            e["node"].alias("node"), e["j"].alias("j"), (e["C"] + end["C"]).alias("C"),
+            F.when(e["fused"], F.concat_ws(SEP, end["chain"], e["chain"])).otherwise(e["chain"]).alias("chain"),
+            (e["fused"] & end["fused"]).alias("fused")))
+        longer = (waiting.join(above, (F.col("tree_id") == F.col("_t")) & (F.col("_up") == F.col("_n")))
+                  .withColumn("path", F.concat("_p", shifted)).withColumn("_up", F.col("_next")).select(*now.columns))
+        now = staged(now.where(F.col("_up").isNull()).unionByName(longer), "paths")
+    bare = F.transform("path", lambda e: F.struct(e["node"].alias("node"), e["j"].alias("j"), e["C"].alias("C"),
+                                                  e["chain"].alias("chain")))
+    last = F.element_at("path", -1)
+    # what still waits lies in or under a cycle
+    return (now.where(F.col("_up").isNull()).drop("_up").withColumn("depth", F.size("path") - 1)
+            .withColumn("C", last["C"]).withColumn("chain", last["chain"]).withColumn("path", bare))
 
 
 def level_sizes(paths: DataFrame) -> DataFrame:
@@ -541,23 +528,18 @@ def encode(nodes: DataFrame, paths: DataFrame | None = None,
     return gaps, leaves.select("tree_id", "tok", "node_id", "u", "path")
 
 
-def features(gaps: DataFrame, leaves: DataFrame, tokens_df: DataFrame | None = None) -> DataFrame:
-    """Compact per-tree rows (d, c, u arrays, num_tokens[, code_tokens])."""
+def features(gaps: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Compact per-tree rows (d, c, u arrays, num_tokens)."""
     ga = gaps.groupBy("tree_id").agg(
         F.sort_array(F.collect_list(F.struct("gap", "d", "c"))).alias("g"))
     la = leaves.groupBy("tree_id").agg(
         F.sort_array(F.collect_list(F.struct("tok", "u"))).alias("l"))
-    out = la.join(ga, "tree_id", "left").select(
+    return la.join(ga, "tree_id", "left").select(
         "tree_id",
         F.coalesce(F.col("g.d"), F.array().cast("array<int>")).alias("d"),
         F.coalesce(F.col("g.c"), F.array().cast("array<string>")).alias("c"),
         F.col("l.u").alias("u"),
         F.size("l").alias("num_tokens"))
-    if tokens_df is not None:
-        ta = tokens_df.groupBy("tree_id").agg(
-            F.sort_array(F.collect_list(F.struct("tok", "token"))).alias("t"))
-        out = out.join(ta, "tree_id", "left").withColumn("code_tokens", F.col("t.token")).drop("t")
-    return out
 
 
 def render_gaps(tokens_df: DataFrame, gaps: DataFrame) -> DataFrame:
