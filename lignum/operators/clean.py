@@ -5,7 +5,7 @@ Everything is a JVM-side regex or string expression over whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: the comment patterns -------------------------------------
@@ -55,53 +55,46 @@ def clean_code(code: Column, lang: Column) -> Column:
             .otherwise(c))
 
 
+def without_ranges(text: Column, ranges: Column) -> Column:
+    """B5 on one row: the text without the byte ranges ``[start, end)`` (an array, in any order, overlaps allowed).
+
+    One scan over the sorted ranges notes where each kept piece lies; the bytes are cut once.  Ranges must fall
+    on character boundaries.
+    """
+    raw = F.encode(text, "UTF-8")
+    piece = "struct<start:int,end:int>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{piece}>").alias("kept"))
+
+    def step(acc, r):
+        cut = F.when(r["start"] > acc["at"], F.array(F.struct(acc["at"].alias("start"), r["start"].cast("int").alias("end"))))
+        return F.struct(F.greatest(acc["at"], r["end"].cast("int")).alias("at"),
+                        F.concat(acc["kept"], F.coalesce(cut, F.array().cast(f"array<{piece}>"))).alias("kept"))
+    walked = F.aggregate(F.array_sort(ranges), begin, step, lambda acc: F.concat(
+        acc["kept"], F.array(F.struct(acc["at"].alias("start"), F.lit(2 ** 31 - 1).alias("end")))))
+    pieces = F.transform(walked, lambda k: F.decode(F.substring(raw, k["start"] + 1, k["end"] - k["start"]), "UTF-8"))
+    return F.when(ranges.isNull() | (F.size(ranges) == 0), text).otherwise(F.array_join(pieces, ""))
+
+
 def cut_ranges(texts: DataFrame, ranges: DataFrame, id_col: str = "tree_id",
                text_col: str = "text") -> DataFrame:
-    """Remove byte ranges ``[start, end)`` (possibly overlapping) from texts.
+    """Remove byte ranges ``[start, end)`` (possibly overlapping) of a ranges table from texts.
 
-    Ranges are merged with a running ``max(end)``; the kept pieces are the
-    complement, cut from the UTF-8 bytes and concatenated in order (ranges
-    must fall on character boundaries).
+    The ranges of a text become one array and meet the text once, so bytes are shuffled at most once.
     """
-    r = ranges.select(F.col(id_col).alias("id"), "start", "end")
-    w = W.partitionBy("id").orderBy("start", "end")
-    r = r.withColumn("prev_end", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    r = r.withColumn("grp", F.sum(F.when(F.col("prev_end").isNull() | (F.col("start") > F.col("prev_end")), 1)
-                                  .otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    merged = r.groupBy("id", "grp").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    wm = W.partitionBy("id").orderBy("start")
-    keep = merged.select("id", F.coalesce(F.lag("end").over(wm), F.lit(0)).alias("ks"),
-                         F.col("start").alias("ke"), F.col("start").alias("ord"))
-    last = merged.groupBy("id").agg(F.max("end").alias("ks")).withColumn("ke", F.lit(None).cast("int")) \
-        .withColumn("ord", F.lit(2 ** 31 - 1))
-    pieces = keep.unionByName(last)
-    t = texts.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    p = pieces.join(t, "id").select(
-        "id", "ord",
-        F.when(F.col("ke").isNull(), F.expr("substring(b, ks + 1)"))
-        .otherwise(F.expr("substring(b, ks + 1, ke - ks)")).alias("piece"))
-    joined = (p.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", "piece"))).alias("ps"))
-              .select("id", F.array_join(F.transform(F.col("ps.piece"), lambda x: F.decode(x, "UTF-8")), "")
-                      .alias(text_col)))
-    untouched = texts.select(F.col(id_col).alias("id"), F.col(text_col)).join(pieces.select("id").distinct(),
-                                                                             "id", "left_anti")
-    return joined.unionByName(untouched).withColumnRenamed("id", id_col)
-
-
-def pattern_ranges(texts: DataFrame, open_tag: str, close_tag: str, id_col: str = "page_id",
-                   text_col: str = "html") -> DataFrame:
-    """Byte ranges of ``open ... close`` blocks (non-nested), as a ranges table.
+    r = ranges.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
+    out = texts.join(r, F.col(id_col) == F.col("_id"), "left")
+    return out.withColumn(text_col, without_ranges(F.col(text_col), F.col("_ranges"))).drop("_id", "_ranges")
+
+
+def pattern_ranges(text: Column, open_tag: str, close_tag: str) -> Column:
+    """Byte ranges of ``open ... close`` blocks (non-nested) of a text, as an array of (start, end).
 
     Blocks are what the non-greedy pattern ``open.*?close`` matches from left to
     right, so a second opening tag before the close is part of the block.  Offsets
-    are running sums of UTF-8 lengths over the pieces between matches, all within
-    the row.
+    are running sums of UTF-8 lengths over the pieces between matches.
     """
     pattern = f"(?s){_quote(open_tag)}.*?{_quote(close_tag)}"
-    found = (texts.select(F.col(id_col).alias("id"), F.split(F.col(text_col), pattern, -1).alias("gaps"),
-                          F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)).alias("blocks"))
-             .where(F.size("blocks") > 0))
-    # (end of the last block, ranges so far)
+    gaps, blocks = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc, x):
@@ -109,11 +102,8 @@ def pattern_ranges(texts: DataFrame, open_tag: str, close_tag: str, id_col: str
         end = (begin + F.octet_length(x["block"])).cast("int")
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
                         .alias("out"))
-    pairs = F.zip_with(F.slice("gaps", F.lit(1), F.size("blocks")), "blocks",
-                       lambda g, b: F.struct(g.alias("gap"), b.alias("block")))
-    ranges = F.aggregate(pairs, start, step)["out"]
-    return (found.select(F.col("id").alias(id_col), F.explode(ranges).alias("r"))
-            .select(id_col, F.col("r.start").alias("start"), F.col("r.end").alias("end")))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(blocks)), blocks, lambda g, b: F.struct(g.alias("gap"), b.alias("block")))
+    return F.aggregate(pairs, start, step)["out"]
 
 
 def _quote(s: str) -> str:

@@ -57,10 +57,18 @@ def minibatches(df: DataFrame, id_col: str, epoch: int, size: int = BATCH_SIZE,
     return ranked.select(*kept, F.floor(F.col("_rank") / size).alias("batch"), (F.col("_rank") % size).alias("slot"))
 
 
-def mean_batch_loss(rows: DataFrame, batch: str, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+def mean_batch_loss(rows: DataFrame, batch: str, parts: dict[str, tuple[Column, Column]],
+                    eps: dict[str, float] | None = None) -> DataFrame:
     """Per batch each loss is a ratio of sums (numerator, denominator) over its rows, and the epoch's
-    loss is the mean of its batches, the ragged last one counted like any other."""
+    loss is the mean of its batches, the ragged last one counted like any other.
+
+    ``eps`` is added to a loss's denominator; without it an empty denominator counts as one.
+    """
     sums = [F.sum(x).alias(f"_{k}_{i}") for k, pair in parts.items() for i, x in enumerate(pair)]
-    ratios = [(F.col(f"_{k}_0") / F.col(f"_{k}_1")).alias(k) for k in parts]
-    per_batch = rows.groupBy(batch).agg(*sums).select(batch, *ratios)
+
+    def ratio(k: str) -> Column:
+        below = F.col(f"_{k}_1")
+        below = below + eps[k] if eps and k in eps else F.greatest(below, F.lit(1))
+        return (F.col(f"_{k}_0") / below).alias(k)
+    per_batch = rows.groupBy(batch).agg(*sums).select(batch, *[ratio(k) for k in parts])
     return per_batch.agg(F.count(F.lit(1)).alias("n_batches"), *[F.avg(k).alias(k) for k in parts])

@@ -2,13 +2,12 @@
 
 Result tables are small relative to the corpora, but every operator here is a
 plain DataFrame aggregate / window / join so it also runs over millions of
-runs.  Pair enumeration for the exact Wilcoxon distribution is bounded by
-``2**n`` with ``n <= max_exact`` paired observations.
+runs.  The exact Wilcoxon distribution is built rank by rank, without listing signs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from lignum.functions.constants import (LABEL_FAMILIES_CONTAINS, LABEL_FAMILY_EQUALS,
@@ -53,6 +52,12 @@ def experiment_grid(models: DataFrame, langs, rank: int = 128) -> DataFrame:
                     F.lit(rank).alias("rank")))
 
 
+def transfer_grid(spark: SparkSession, langs) -> DataFrame:
+    """Every source x target pair; one without results keeps its rows."""
+    one = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in langs])).alias("source"))
+    return one.select("source", F.explode(F.array(*[F.lit(x) for x in langs])).alias("target"))
+
+
 def outstanding(grid: DataFrame, runs: DataFrame, keys=("model", "lang", "layer", "rank")) -> DataFrame:
     """Grid rows with no result yet."""
     return grid.join(runs.select(*keys).distinct(), list(keys), "left_anti")

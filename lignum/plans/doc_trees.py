@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.functions.columns import md5_bucket
+from lignum.operators import parse_trees as P
 from lignum.operators import spans as S
 from lignum.operators import trees as T
 from lignum.plans.registry import finish, query
@@ -206,13 +207,28 @@ pg AS (SELECT tree_id, gap, d + (h % 7 - 3) * 0.3 AS d,
 # queries
 # --------------------------------------------------------------------------
 
-@query("doc_tree_nodes", sql="WITH " + NODES_CTE + """
-SELECT tree_id, node_id::BIGINT AS node_id, parent_id::BIGINT AS parent_id, type, is_terminal,
-       start::BIGINT AS start, "end"::BIGINT AS "end", depth::BIGINT AS depth FROM nodes""")
+def digest_sql(parts: str) -> str:
+    """Per-tree sum of the first 32 bits of the md5 of each node's ``parts``."""
+    return f"sum(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::BIGINT)::BIGINT"
+
+
+def node_digest(*cols: str):
+    """``digest_sql`` in Spark; booleans read true / false, and a null part is left out."""
+    return F.sum(md5_bucket(F.concat_ws(":", *[F.col(c).cast("string") for c in cols]), 8))
+
+
+@query("doc_tree_nodes", sql="WITH " + NODES_CTE + """,
+rd AS (SELECT tree_id, count(*) AS n_roots, min("end") AS root_end FROM nodes WHERE parent_id IS NULL GROUP BY tree_id)
+SELECT tree_id, count(*) AS n_nodes, any_value(n_roots) AS n_roots, any_value(root_end)::BIGINT AS root_end,
+       """ + digest_sql('node_id, parent_id, type, is_terminal, start, "end", depth') + """ AS digest
+FROM nodes JOIN rd USING (tree_id) GROUP BY tree_id""")
 def doc_tree_nodes(spark, sf):
-    """Node table of the document trees."""
-    n = doc_nodes(spark, sf)
-    return finish(n.select("tree_id", "node_id", "parent_id", "type", "is_terminal", "start", "end", "depth"))
+    """Node table of the document trees with dense ids, a digest of every tree and its root."""
+    n = T.next_ids(doc_nodes(spark, sf))
+    per = n.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"), node_digest(
+        "node_id", "parent_id", "type", "is_terminal", "start", "end", "depth").alias("digest"))
+    tops = T.roots(n).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_roots"), F.min("end").alias("root_end"))
+    return finish(per.join(tops, "tree_id").select("tree_id", "n_nodes", "n_roots", "root_end", "digest"))
 
 
 @query("doc_tree_levels", sql="WITH " + GAPS_CTE + r""",
@@ -328,6 +344,63 @@ def recall_by_label_lang(spark, sf):
     return finish(lists.select("label_key", "n_trees", "recall", F.md5(F.array_join(text, " ")).alias("samples")))
 
 
+# --------------------------------------------------------------------------
+# trees out of predictions
+# --------------------------------------------------------------------------
+
+# nodes of the predicted binary trees; a child shares one end of its range with its parent
+PARSED_CTE = PRED_CTE + r""",
+pn AS (SELECT tree_id, lo, hi, c AS type, false AS is_terminal, NULL AS unary, is_root FROM pnode
+       UNION ALL SELECT tree_id, tok, tok, tok::VARCHAR, true, u, false FROM unary),
+num AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY lo, hi DESC) - 1 AS node_id FROM pn),
+over AS (SELECT a.tree_id, a.node_id, b.node_id AS up, b.hi - b.lo AS w FROM num a JOIN num b
+         ON b.tree_id = a.tree_id AND b.lo = a.lo AND b.hi > a.hi
+         UNION ALL SELECT a.tree_id, a.node_id, b.node_id, b.hi - b.lo FROM num a JOIN num b
+         ON b.tree_id = a.tree_id AND b.hi = a.hi AND b.lo < a.lo),
+par AS (SELECT tree_id, node_id, arg_min(up, w) AS parent_id FROM over GROUP BY tree_id, node_id),
+parsed AS (SELECT num.*, par.parent_id FROM num LEFT JOIN par USING (tree_id, node_id))"""
+
+
+def parsed_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return P.parse_nodes(predicted(doc_encoding(spark, sf).words))
+
+
+@query("parse_tree_nodes", sql="WITH " + PARSED_CTE + """
+SELECT tree_id, count(*) AS n_nodes, """ + digest_sql("node_id, parent_id, type, is_terminal, lo, hi + 1, unary") + """ AS digest
+FROM parsed GROUP BY tree_id""")
+def parse_tree_nodes(spark, sf):
+    """C11: the noisy predictions as binary trees: a digest of every node table."""
+    n = parsed_trees(spark, sf)
+    return finish(n.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"), node_digest(
+        "node_id", "parent_id", "type", "is_terminal", "start", "end", "unary").alias("digest")))
+
+
+@query("restored_tree_nodes", sql="WITH " + PARSED_CTE + r""",
+kept AS (SELECT tree_id, node_id, lo, hi, is_terminal, unary, CASE WHEN type = '<empty>' THEN 'bad_root' ELSE type END AS type
+         FROM num WHERE is_terminal OR type <> '<empty>' OR is_root),
+cov AS (SELECT a.tree_id, a.node_id, arg_min(b.node_id, b.hi - b.lo) AS parent_id FROM kept a JOIN kept b
+        ON b.tree_id = a.tree_id AND NOT b.is_terminal AND b.lo <= a.lo AND b.hi >= a.hi AND b.node_id <> a.node_id
+        GROUP BY a.tree_id, a.node_id),
+con AS (SELECT k.*, c.parent_id, is_terminal AND unary <> '<empty>' AS lab FROM kept k LEFT JOIN cov c USING (tree_id, node_id)),
+una AS (SELECT *, max(node_id) OVER (PARTITION BY tree_id) + sum(CASE WHEN lab THEN 1 ELSE 0 END)
+               OVER (PARTITION BY tree_id ORDER BY node_id) AS fresh FROM con),
+unr AS (SELECT tree_id, node_id, CASE WHEN lab THEN fresh ELSE parent_id END AS parent_id, type, is_terminal, lo, hi FROM una
+        UNION ALL SELECT tree_id, fresh, parent_id, unary, false, lo, hi FROM una WHERE lab),
+spl AS (SELECT *, CASE WHEN is_terminal THEN [type] ELSE string_split(type, '<sep>') END AS parts FROM unr),
+spn AS (SELECT *, max(node_id) OVER (PARTITION BY tree_id) + 1 + sum(len(parts) - 1)
+               OVER (PARTITION BY tree_id ORDER BY node_id) - (len(parts) - 1) AS base FROM spl),
+spx AS (SELECT *, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS i FROM spn),
+res AS (SELECT tree_id, CASE WHEN i = len(parts) - 1 THEN node_id ELSE base + i END::BIGINT AS node_id,
+               CASE WHEN i = 0 THEN parent_id ELSE base + i - 1 END::BIGINT AS parent_id, part AS type, is_terminal, lo, hi FROM spx)
+SELECT tree_id, count(*) AS n_nodes, """ + digest_sql("node_id, parent_id, type, is_terminal, lo, hi + 1") + """ AS digest
+FROM res GROUP BY tree_id""")
+def restored_tree_nodes(spark, sf):
+    """Fillers contracted, unary labels and fused chains inserted: a digest of every node table."""
+    n = P.restore(parsed_trees(spark, sf))
+    return finish(n.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_nodes"), node_digest(
+        "node_id", "parent_id", "type", "is_terminal", "start", "end").alias("digest")))
+
+
 # --------------------------------------------------------------------------
 # relational trees and tree edits
 # --------------------------------------------------------------------------
@@ -371,6 +444,42 @@ def order_tree_gaps(spark, sf):
     return finish(gaps)
 
 
+@query("order_binary_nodes", sql="WITH " + r"""
+ordr AS (SELECT c_custkey AS tree_id, o_orderkey, 'order_' || lower(o_orderstatus) AS type,
+                row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS j, count(*) OVER (PARTITION BY c_custkey) AS kt
+         FROM orders JOIN customer ON o_custkey = c_custkey),
+item AS (SELECT o.*, 'item_' || lower(l_returnflag) AS itype,
+                row_number() OVER (PARTITION BY o.o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ij,
+                count(*) OVER (PARTITION BY o.o_orderkey) AS k
+         FROM ordr o JOIN lineitem ON l_orderkey = o.o_orderkey),
+oc AS (SELECT o.*, 4294967296 * o.j AS id, coalesce(n.k, 0) AS k FROM ordr o
+       LEFT JOIN (SELECT o_orderkey, count(*) AS k FROM lineitem JOIN ordr ON l_orderkey = o_orderkey GROUP BY 1) n USING (o_orderkey)),
+tops AS (
+  SELECT c_custkey AS tree_id, 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 1 AS j, 1 AS kp,
+         'customer' || coalesce('<sep>' || oc.type, '') AS type, coalesce(oc.k = 1, false) AS is_terminal, 0::BIGINT AS start
+  FROM customer LEFT JOIN oc ON oc.tree_id = c_custkey AND oc.kt = 1
+  UNION ALL SELECT tree_id, id, 0, j, kt, type, k = 1, id FROM oc WHERE kt > 1
+  UNION ALL SELECT tree_id, 4294967296 * j + ij, CASE WHEN kt = 1 THEN 0 ELSE 4294967296 * j END, ij, k, itype, true,
+                   4294967296 * j + ij FROM item WHERE k > 1),
+ext AS (SELECT *, CASE WHEN parent_id IS NOT NULL AND kp > 2 THEN kp - 2 ELSE 0 END AS extra,
+               max(start + 1) OVER (PARTITION BY tree_id, parent_id) AS past,
+               max(node_id) OVER (PARTITION BY tree_id) AS top FROM tops),
+bas AS (SELECT *, top + 1 - extra + sum(CASE WHEN j = 1 THEN extra ELSE 0 END)
+               OVER (PARTITION BY tree_id ORDER BY parent_id NULLS FIRST, j ROWS UNBOUNDED PRECEDING) + j - 2 AS filler FROM ext),
+nodes AS (
+  SELECT tree_id, node_id, CASE WHEN extra = 0 OR j = 1 THEN parent_id WHEN j < kp THEN filler ELSE filler - 1 END AS parent_id,
+         type, is_terminal, start, start + 1 AS "end",
+         CASE WHEN is_terminal AND NOT starts_with(type, 'item_') THEN type END AS unary FROM bas
+  UNION ALL SELECT tree_id, filler, CASE WHEN j = 2 THEN parent_id ELSE filler - 1 END, '<empty>', false, start, past, NULL
+  FROM bas WHERE extra > 0 AND j > 1 AND j < kp)
+SELECT tree_id, node_id::BIGINT AS node_id, parent_id::BIGINT AS parent_id, type, is_terminal, start::BIGINT AS start,
+       "end"::BIGINT AS "end", unary FROM nodes""")
+def order_binary_nodes(spark, sf):
+    """The binary trees of customer -> order -> lineitem, as node tables."""
+    nodes = T.nest_orders(table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    return finish(P.binarise(nodes))
+
+
 @query("collapse_literals", sql="WITH " + NODES_CTE + r""",
 lit AS (SELECT tree_id, node_id FROM nodes WHERE type = 'string_literal' AND NOT is_terminal)
 SELECT n.tree_id, count(*) AS n_nodes, sum(CASE WHEN n.is_terminal OR n.type = 'string_literal' THEN 1 ELSE 0 END)::BIGINT

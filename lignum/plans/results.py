@@ -143,11 +143,22 @@ def transfer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("transfer_pivot", sql="WITH " + TRANSFER_CTE + """
-SELECT source, """ + ", ".join(f"round(max(f1) FILTER (WHERE target = '{x}'), 6) AS {x}" for x in LANGUAGES) + """
-FROM transfer GROUP BY source""")
+SELECT s.source, """ + ", ".join(f"round(max(f1) FILTER (WHERE target = '{x}'), 6) AS {x}" for x in LANGUAGES) + f"""
+FROM (SELECT unnest({_sql_list(LANGUAGES)}) AS source) s LEFT JOIN transfer USING (source) GROUP BY s.source""")
 def transfer_pivot(spark, sf):
-    """Source x target transfer matrix."""
-    return finish(R.pivot_matrix(transfer(spark, sf), "source", "target", "f1", list(LANGUAGES)))
+    """The whole source x target grid with the transfers that have been run, as a matrix."""
+    grid = R.transfer_grid(spark, LANGUAGES).join(transfer(spark, sf), ["source", "target"], "left")
+    return finish(R.pivot_matrix(grid, "source", "target", "f1", list(LANGUAGES)))
+
+
+@query("transfer_todo", sql="WITH " + TRANSFER_CTE + f"""
+SELECT s.source, t.target FROM (SELECT unnest({_sql_list(LANGUAGES)}) AS source) s,
+       (SELECT unnest({_sql_list(LANGUAGES)}) AS target) t
+WHERE NOT EXISTS (SELECT 1 FROM transfer x WHERE x.source = s.source AND x.target = t.target AND x.f1 >= 0.5)""")
+def transfer_todo(spark, sf):
+    """Pairs of the grid without a transfer of at least 0.5."""
+    done = transfer(spark, sf).where(F.col("f1") >= 0.5)
+    return finish(R.outstanding(R.transfer_grid(spark, LANGUAGES), done, ("source", "target")))
 
 
 @query("shared_report", sql="WITH " + RAW_RUNS_CTE + """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.functions.constants import LANGUAGES, TOP_LABELS
+from lignum.functions.constants import (LABEL_FAMILIES_CONTAINS, LABEL_FAMILY_EQUALS, LABEL_FAMILY_OTHER, LANGUAGES,
+                                        TOP_LABELS)
 from lignum.operators import curate as U
 from lignum.operators import results as R
 from lignum.operators import vectors as V
@@ -95,9 +96,8 @@ def label_counts_top100(spark, sf):
     return finish(R.top_k(gaps.withColumnRenamed("c", "label"), "label", TOP_LABELS))
 
 
-_FAMILY_SQL = ("CASE " + " ".join(f"WHEN contains(w, '{f}') THEN '{f}'" for f in
-                                  ("argument", "call", "return", "method_invocation", "block", "binary"))
-               + " WHEN w = 'member_expression' THEN 'member_expression' ELSE 'unplotted' END")
+_FAMILY_SQL = ("CASE " + " ".join(f"WHEN contains(w, '{f}') THEN '{f}'" for f in LABEL_FAMILIES_CONTAINS)
+               + f" WHEN w = '{LABEL_FAMILY_EQUALS}' THEN '{LABEL_FAMILY_EQUALS}' ELSE '{LABEL_FAMILY_OTHER}' END")
 
 
 @query("label_family", sql=r"""

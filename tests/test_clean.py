@@ -29,7 +29,7 @@ def test_envelope(spark):
 
 def test_cut_ranges(spark):
     t = spark.createDataFrame([(1, "aé<!--x-->b<!--yy-->c"), (2, "plain")], "page_id long, html string")
-    r = C.pattern_ranges(t, "<!--", "-->")
+    r = t.select("page_id", F.explode(C.pattern_ranges(F.col("html"), "<!--", "-->")).alias("r")).select("page_id", "r.*")
     out = {x.page_id: x.html for x in C.cut_ranges(t, r, "page_id", "html").collect()}
     assert out == {1: "aébc", 2: "plain"}
     ov = spark.createDataFrame([(1, 0, 3), (1, 2, 5)], "page_id long, start int, end int")
