@@ -20,8 +20,10 @@ def recode(df: DataFrame, column: str, mapping: dict[str, str] = MODEL_NAMES) ->
 
 
 def parse_run_dirs(paths: DataFrame, path_col: str = "path", marker: str = "multilingual") -> DataFrame:
-    """A10 + B15: ``.../<model>_<lang>_<layer>_<rank>/metrics`` -> typed columns; skip marker runs."""
-    parent = F.element_at(F.split(F.col(path_col), "/"), -2)
+    """A10 + B15: ``.../<model>_<lang>_<layer>_<rank>/metrics`` -> typed columns; skip marker runs.
+
+    The directory may be a partition directory (``run=<model>_...``)."""
+    parent = F.regexp_replace(F.element_at(F.split(F.col(path_col), "/"), -2), "^[^=]*=", "")
     parts = F.split(parent, "_")
     return (paths.where(~parent.contains(marker))
             .withColumn("model", F.get(parts, 0)).withColumn("lang", F.get(parts, 1))

@@ -1,3 +1,3 @@
 """Registered query plans over the shared tables."""
 
-from lignum.plans import curation, doc_trees, probe, results, training, vocab_vectors  # noqa: F401
+from lignum.plans import curation, doc_trees, files, probe, results, training, vocab_vectors  # noqa: F401

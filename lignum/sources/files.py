@@ -92,7 +92,7 @@ def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_results(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def read_results(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
     """A10: one metrics file per run directory ``<model>_<lang>_<layer>_<rank>``."""
     from lignum.operators.results import parse_run_dirs
     df = spark.read.schema(schema).option("recursiveFileLookup", True).json(root) \
