@@ -87,22 +87,6 @@ def test_ids_travel_narrow_and_come_out_wide():
     assert len(packing.narrowed(np.array([1, 65535], "<u4").tobytes())) == 4
 
 
-def test_kmeans_elbow_tries_the_range_of_the_reference(spark, monkeypatch):
-    from lignum.plans import vocab_vectors
-    from lignum.plans.registry import QUERIES
-    tried = []
-
-    def elbow(df, k_min, k_max):
-        tried.extend(range(k_min, k_max))
-        return 4, [], df.selectExpr("*", "0 AS cluster")
-    rows = spark.createDataFrame([(k, k % 3, [1.0, float(k)], "c") for k in range(8)],
-                                 "vec_id long, label int, vec array<double>, lang string")
-    monkeypatch.setattr(vocab_vectors, "vectors", lambda *_: rows)
-    monkeypatch.setattr(vocab_vectors.V, "kmeans_elbow", elbow)
-    assert QUERIES["kmeans_elbow"](spark, "").count() == 8
-    assert tried == list(range(4, 80))
-
-
 def test_minhash_classes_do_not_depend_on_the_table_in_memory(spark, monkeypatch):
     # 17 shingles of boilerplate in 30 documents, and pairs that differ in a few unique words
     texts = [" ".join(f"b{j}" for j in range(20)) + " " + " ".join(f"x{k}n{j}" for j in range(20)) for k in range(30)]
