@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lignum.llm.common import stored
@@ -87,7 +87,13 @@ def _checks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _src(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(row_id(F.col(id_col), text).alias("id"), text.alias("text"))
+
+
+def row_id(id_col: Column, text: Column) -> Column:
+    """A row's id; a row without one goes by the hash of its text, so it is found again like any other."""
+    return F.coalesce(id_col.cast("long"), F.xxhash64(F.lit(4), F.coalesce(text, F.lit(""))))
 
 
 def digits(src: DataFrame, threshold: int) -> DataFrame:
@@ -114,7 +120,7 @@ def located(src: DataFrame, threshold: int, shared=None) -> DataFrame:
                     keep = in_bitmap(shared.value, h)
                     r, s, n, h, u = r[keep], s[keep], n[keep], h[keep], u[keep]
                 # place, number of windows and check in one number
-                at = (s - off[:-1][r]) << 24 | n << 16 | _checks(buf, off)[r]
+                at = (s - off[:-1][r]) << 32 | n << 16 | _checks(buf, off)[r]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), part.column(0).take(pa.array(r)),
                      pa.array(at)], ["h", "u", "id", "at"])
@@ -139,8 +145,8 @@ def strings(picked: DataFrame, src: DataFrame, threshold: int) -> DataFrame:
                 row = np.repeat(np.arange(part.num_rows), np.diff(a.offsets.to_numpy()))
                 keep = _checks(buf, off)[row] == part.column(1).to_numpy()[row]
                 h, u, m, at, row = h[keep], u[keep], m[keep], at[keep], row[keep]
-                first = off[:-1][row] + (at >> 24)
-                end = first + ((at >> 16) & 0xFF) + threshold - 1
+                first = off[:-1][row] + (at >> 32)
+                end = first + ((at >> 16) & 0xFFFF) + threshold - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(u), pa.array(m),
                      pa.array([raw[s:e] for s, e in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
@@ -262,9 +268,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if some_large:
         hits = hits.unionByName(repeated_in_large(cut.join(large, "h", "left_semi"), threshold))
     hits = stored(hits, "windows")
-    place, check = F.shiftright("at", 24), F.col("at").bitwiseAND(0xFFFF)
+    place, check = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFF)
     done = found.where("one").select("id", check.alias("check"), place.alias("first"),
-                                     F.shiftright("at", 16).bitwiseAND(0xFF).alias("n"))
+                                     F.shiftright("at", 16).bitwiseAND(0xFFFF).alias("n"))
     rest = (found.where(~F.col("one")).join(hits, ["h", "u"])
             .select("id", check.alias("check"), (place + F.col("from")).alias("first"), F.col("len").alias("n")))
     return done.unionByName(rest)
@@ -277,8 +283,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per = runs.groupBy(F.col("id").alias("_rid"), F.col("check").alias("_rc")).agg(
         F.collect_list(F.struct("first", "n")).alias("runs"))
     per = per.groupBy("_rid").agg(F.collect_list(F.struct("_rc", "runs")).alias("all"))
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = src.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_rid")), "left").select("doc_id", "text", "all")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), row_id(F.col(id_col), text).alias("_row"))
+    joined = src.join(per, F.col("_row") == F.col("_rid"), "left").select("doc_id", "text", "all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
