@@ -49,6 +49,13 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-    """``df`` plus ``new``; existing columns of the same names are replaced."""
-    return df.withColumns(new)
+def working_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` has (in any case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -154,9 +154,9 @@ def test_word_cache_equals_tokenizer():
 
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
-    assert [p.place(n)[0] for n in (6, 7, 8)] == [0, 1, 2]  # bin 1 (free 3) was the fullest of 0 and 1
-    assert p.place(2) == (2, 8)
-    assert p.place(4) == (0, 6)
+    assert [p.place(n)[::2] for n in (6, 7, 8)] == [(0, []), (1, []), (2, [1])]  # bin 1 (free 3) was the fullest of 0 and 1
+    assert p.place(2) == (2, 8, [2])
+    assert p.place(4) == (0, 6, [0])
 
 
 def test_mixing(docs, empty):
@@ -189,7 +189,77 @@ def test_mixed_documents_hold_the_words_taken(docs):
     taken = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    assert {r.doc_id: len(WORDS.findall(r.text)) for r in out.collect()} == {k: v for k, v in taken.items() if v}
+    got = collections.Counter()
+    texts = {i: t or "" for i, t, *_ in corpus()}
+    for r in out.collect():
+        n = len(WORDS.findall(r.text))
+        got[r.doc_id] += n
+        # what a pass takes of a text: all of it as it is, or stretches of it with their white space
+        assert r.text == texts[r.doc_id] if n == len(WORDS.findall(texts[r.doc_id])) else all(
+            x in texts[r.doc_id] for x in r.text.split("\n") if "\n" not in texts[r.doc_id])
+    assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_mix_equals_its_own_streams(spark):
+    """Slots, shards and word ranges against plain Python over the same streams and permutations."""
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(60)]), " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.choice([0, 1, 7, 90, 700]))),
+             rnd.choice(["a", "b", "c", None])) for _ in range(120)]
+    rows += [rows[5]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = mixing.stored(mixing.sizes(docs), "sizes")
+    goal = mixing.stored(mixing.targets(sized), "targets")
+    q = mixing.quotas(goal)
+    quota = {r.qs: r for r in q.collect()}
+    slots = mixing.drawn(q, shards=8).collect()
+    streams = collections.defaultdict(list)
+    for r in mixing.placed(sized).orderBy("begin").collect():
+        assert r.begin == len(streams[r.source])
+        streams[r.source] += [(r.row, k) for k in range(r.size)]
+    want = collections.Counter()
+    for s, r in quota.items():
+        mine = [x for x in slots if x.qs == s]
+        assert sum(x.take for x in mine) == r.quota and r.words == len(streams[s])
+        for k in range(r.passes + 1):
+            index = [x["index"] for x in mine if x["pass"] == k]
+            assert len(index) == len(set(index)) and (k == r.passes or sorted(index) == list(range(r.n)))
+        shard = [x.shard for x in sorted(mine, key=lambda x: (x["pass"], x.j))]
+        assert shard == sorted(shard)     # slots are dealt to the shards one after the other
+        for x in mine:
+            for word in streams[s][x["index"] * 64:x["index"] * 64 + x.take]:
+                want[(*word, x["pass"])] += 1
+    got = collections.Counter()
+    for p in mixing.mix(sized, goal).collect():
+        for k in range(p.word_from, p.word_to):
+            got[p.row, k, p["pass"]] += 1
+    assert got == want and max(want.values()) == 1
+    taken = collections.Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.taken(docs).collect())
+    per_row = collections.Counter(row for row, _k, _p in got.elements())
+    assert sorted(n for (_i, _s, _z, n), m in taken.items() for _ in range(m) if n) == sorted(per_row.values())
+    assert all(n <= 2 * z for _i, _s, z, n in taken)
+
+
+def test_mix_draws_and_permutes_at_any_size(spark):
+    ends = mixing.multinomial.func(*(mixing.pd.Series([x]) for x in (7, 10 ** 6, 256)))[0]
+    assert ends[-1] == 10 ** 6 and len(ends) == 256 and 3000 < np.diff(ends).min() and np.diff(ends).max() < 5000
+    n, a, b = 10 ** 12 + 39, mixing.PRIMES[-1], 10 ** 12
+    j = [0, 1, n // 2, n - 2, n - 1]
+    df = spark.createDataFrame([(x, a, b, n) for x in j], "j long, a long, b long, n long")
+    got = [r[0] for r in df.select(mixing.permuted(*map(mixing.F.col, "jabn"))).collect()]
+    assert got == [(x * a % n + b) % n for x in j]
+
+
+def test_mixed_documents_bear_clashing_columns_and_shared_ids(spark):
+    rows = [(k % 3 if k % 5 else None, f"one two\nthree {k} " * (k + 1), "s", k, "x", 1.0) for k in range(12)] + [(1, None, None, 0, "", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, _words string, pass double")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = collections.Counter()
+    for r in out.collect():
+        got[r._row] += len(WORDS.findall(r.text))
+    quota = sum(got.values())
+    total = sum(len(WORDS.findall(t or "")) for _i, t, *_ in rows)
+    assert quota == 1.5 * total and all(n <= 2 * len(WORDS.findall(rows[k][1])) for k, n in got.items())
 
 
 @pytest.mark.parametrize("block", [512, 2])
@@ -358,7 +428,18 @@ def test_pipeline_stages(spark, docs):
         assert now.columns == docs.columns
         assert {r.doc_id for r in now.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
     out = corpus_pipeline.STAGES[-1][1](spark, now, "")
-    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect()}
+    assert {i for r in out.collect() for i in r.doc_ids} == {r.doc_id for r in now.collect()}
+
+
+def test_near_dedup_stage_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+    rnd = random.Random(6)
+    a, b, c = (" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    rows = [(None, a), (5, a), (3, a), (3, b), (3, b), (None, c), (None, c), (9, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).selectExpr("*", "7 AS _row")
+    got = corpus_pipeline.near_dedup_stage(spark, df, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(
+        [(3, a), (3, b), (None, c), (9, ""), (None, None)]) and got[0]._row == 7
 
 
 def test_digest_of_op8_is_sha256(spark):

@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 
-from lignum.llm import minhash, packing, url_filter
+from lignum.llm import minhash, packing, suffix_dedup, url_filter
 
 
 def judged(spark, urls, bad):
@@ -61,9 +61,21 @@ def test_packed_sequences_hold_all_tokens(spark):
         assert ids == want[r.doc_id][r.start:r.start + r.length]
         parts[r.sequence_id].append((r.offset, r.doc_id, ids))
     assert sum(r.length for r in rows) == sum(map(len, want.values()))
-    got = {r.sequence_id: (r.doc_ids, np.frombuffer(r.ids, "<u4").tolist()) for r in packing.sequences(placed).collect()}
+    got = {r.sequence_id: (r.doc_ids, np.frombuffer(r.ids, "<u4").tolist()) for r in packing.packed_documents(docs, path, sequence=64).collect()}
     assert got == {k: ([d for _o, d, _i in sorted(v)], [x for _o, _d, ids in sorted(v) for x in ids]) for k, v in parts.items()}
     assert max(len(ids) for _d, ids in got.values()) <= 64
+    # several packers, several to a task, and bins that close because too many are open
+    pieces = packing.tokenize(docs, path, sequence=64).cache()
+    split = packing.pack_sequences(pieces, 64, 2, 40).collect()
+    assert len({r.sequence_id for r in split}) == len(split) and len({r.sequence_id >> 40 for r in split}) > 8
+    back = collections.defaultdict(list)
+    for r in split:
+        at = 0
+        for d, k, n in zip(r.doc_ids, r.pieces, r.lengths, strict=True):
+            back[d].append((k, np.frombuffer(r.ids, "<u4").tolist()[at:at + n]))
+            at += n
+        assert 4 * at == len(r.ids)
+    assert {d: [x for _k, ids in sorted(v) for x in ids] for d, v in back.items()} == want
 
 
 def test_op3_query_has_digests_and_the_pipeline_sequences(spark, tmp_path):
@@ -101,3 +113,15 @@ def test_minhash_classes_do_not_depend_on_the_table_in_memory(spark, monkeypatch
     (many, want), (few, got) = weights(1 << 16), weights(1)
     assert many > few and got == want
     assert set(got.values()) == {round(16 * 1.0 + 20 * 2.0, 9)}
+
+
+def test_repeats_in_rows_without_an_id(spark):
+    rnd = __import__("random").Random(1)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    x, y = text(400), text(250)
+    rows = [(None, text(50) + x), (9, x + text(60)), (1, y + text(10)), (None, text(30) + y), (None, text(500)), (None, None)]
+    for threshold in (200, 400):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), threshold=threshold)
+        parts = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got.collect())
+        z = 250 if threshold == 200 else 0
+        assert parts == {(None, 450, 400): 1, (9, 460, 400): 1, (1, 260, z): 1, (None, 280, z): 1, (None, 500, 0): 1, (None, 0, 0): 1}
