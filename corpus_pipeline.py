@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.llm import line_dedup, minhash, mixing, packing, quality
-from lignum.llm.common import stored
+from lignum.llm.common import stored, working_names
+from lignum.operators.order import row_numbers
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -21,21 +22,27 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    classes = minhash.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(classes.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates the row with the smallest id stays.
+
+    Rows are numbered in order of their ids (null last), so null and repeated ids are rows like any other."""
+    key, digest = working_names(docs, "_row", "_digest")
+    ordered = docs.withColumn(digest, F.xxhash64("text"))
+    rows = stored(row_numbers(ordered, F.col("doc_id").asc_nulls_last(), digest, name=key), "rows")
+    classes = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = classes.where("kept").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document becomes the words that the mix takes of it; documents that it does not take go."""
+    """A document becomes a row for each pass that takes words of it, with these words; one not taken goes."""
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents: their token ids and their places in sequences."""
+    """The packed sequences: their documents, pieces and lengths in order, and their token ids."""
     import public_tokenizers
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage),
@@ -48,6 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences: their documents in order and their token ids."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return packing.sequences(stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]))
+    return docs
