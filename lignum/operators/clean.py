@@ -86,7 +86,7 @@ def cut_ranges(texts: DataFrame, ranges: DataFrame, id_col: str = "tree_id",
     return out.withColumn(text_col, without_ranges(F.col(text_col), F.col("_ranges"))).drop("_id", "_ranges")
 
 
-def pattern_ranges(text: Column, open_tag: str, close_tag: str) -> Column:
+def block_ranges(text: Column, open_tag: str, close_tag: str) -> Column:
     """Byte ranges of ``open ... close`` blocks (non-nested) of a text, as an array of (start, end).
 
     Blocks are what the non-greedy pattern ``open.*?close`` matches from left to
@@ -106,6 +106,13 @@ def pattern_ranges(text: Column, open_tag: str, close_tag: str) -> Column:
     return F.aggregate(pairs, start, step)["out"]
 
 
+def pattern_ranges(texts: DataFrame, open_tag: str, close_tag: str, id_col: str = "page_id",
+                   text_col: str = "html") -> DataFrame:
+    """``block_ranges`` of a table of texts, as a ranges table."""
+    return (texts.select(F.col(id_col), F.explode(block_ranges(F.col(text_col), open_tag, close_tag)).alias("r"))
+            .select(id_col, F.col("r.start").alias("start"), F.col("r.end").alias("end")))
+
+
 def _quote(s: str) -> str:
     import re
     return re.escape(s)

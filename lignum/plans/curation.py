@@ -66,7 +66,7 @@ FROM (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS c FROM
 def cut_ranges(spark, sf):
     """Cut the byte ranges of HTML comments out of every page."""
     p = table(spark, sf, "pages").select("page_id", "html")
-    out = p.withColumn("html", C.without_ranges(F.col("html"), C.pattern_ranges(F.col("html"), "<!--", "-->")))
+    out = p.withColumn("html", C.without_ranges(F.col("html"), C.block_ranges(F.col("html"), "<!--", "-->")))
     return finish(out.select("page_id", F.octet_length("html").alias("n_after"), F.md5("html").alias("digest")))
 
 
