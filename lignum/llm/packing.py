@@ -23,6 +23,7 @@ an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lignum.llm.common import stored, text_of
-from lignum.llm.hashing import Prefix, U, portions, word_spans
+from lignum.llm.hashing import _POWERS, Prefix, U, portions, word_spans
 from lignum.ship import ensure_shipped
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TOKENS_PER_PACKER = 1 << 22
-PACKERS_PER_TASK = 8
+PACKERS_PER_TASK = 2
 CACHE_WORDS = 200_000
 
 _TOKENIZERS: dict[str, WordCache] = {}
@@ -295,6 +296,11 @@ def pack_sequences(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int =
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker that has tokenised before gives that memory back
+        _TOKENIZERS.clear()
+        _POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         packer, now = Packer(sequence, open_bins), None
         bins: dict[int, list[tuple]] = {}
         out: list[tuple] = []
