@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lignum.llm import line_dedup, minhash, mixing, packing, quality
 from lignum.llm.common import stored, working_names
-from lignum.operators.order import row_numbers
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -22,14 +21,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id stays.
+    """Of each group of near-duplicates the row with the smallest id stays (null ids come last).
 
-    Rows are numbered in order of their ids (null last), so null and repeated ids are rows like any other."""
-    key, digest = working_names(docs, "_row", "_digest")
-    ordered = docs.withColumn(digest, F.xxhash64("text"))
-    rows = stored(row_numbers(ordered, F.col("doc_id").asc_nulls_last(), digest, name=key), "rows")
+    Rows are numbered first, so null and repeated ids are rows like any other."""
+    key, = working_names(docs, "_row")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     classes = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
-    kept = classes.where("kept").select(F.col("doc_id").alias(key))
+    light = rows.select(F.col(key).alias("row"), F.col("doc_id").isNull().alias("last"), "doc_id",
+                        F.xxhash64("text").alias("digest"))
+    first = F.min(F.struct("last", F.col("light.doc_id").alias("id"), "digest", "row"))
+    kept = (light.alias("light").join(classes.select(F.col("doc_id").alias("_r"), "class_id"), F.col("row") == F.col("_r"))
+            .groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias(key)))
     return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
