@@ -7,16 +7,17 @@ lose all their lines except in the smallest document id holding them.
 Method: occurrences ``(hash, document, position)`` are range-partitioned by hash
 and sorted by document and position, and the first document of each hash is
 streamed off the order.  A frequent line does not land in one task: the range
-key is ``(hash, salt of the document)``, so its occurrences may be cut between
-partitions; each cut yields one ``(first, last)`` pair, and the pairs of a hash
-meet in a map-side combined aggregate.  What comes back is one run-length
-compressed keep bitmap per document that loses lines, never text.
+key is ``(hash, salt of the document)``, so its occurrences are cut into up to
+``SALTS`` runs.  Within a run every occurrence after the first document's goes at
+once; only the occurrences in the first document of each run (so at most ``SALTS``
+documents a hash) are shuffled once more, to find the first run.  What comes back is
+one run-length compressed keep bitmap per document that loses lines, never text.
 
 Cases: null or empty text is one empty line (too short to be dropped).  Rows
 with the same id are the same document.  A null id is one document that orders
 after all others.  Rows alike in id and text give the same result, once each.
-An empty table gives an empty result.  Other columns pass through; columns named
-like a result are replaced.
+An empty table gives an empty result.  Other columns pass through under any name;
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from lignum.llm.common import UPPER, WHITESPACE, row_key, same_row, stored, text_of
 
 MIN_CHARS = 10
-SALTS = 64
+SALTS = 1024
 
 
 def split_lines(text: Column) -> Column:
@@ -59,14 +60,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dropped_lines(occ: DataFrame, salts: int = SALTS) -> DataFrame:
     """Occurrences that go: their hash has a smaller document elsewhere."""
     salted = occ.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-    ranged = salted.repartitionByRange("h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
-    cut = (ranged.withColumn("first", F.first("doc").over(stream))
-           .groupBy("h1", "h2", "salt").agg(F.min("first").alias("first"), F.max("doc").alias("last")))
-    shared = (cut.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-              .where(F.col("first") < F.col("last")).select("h1", "h2", "first"))
-    return (ranged.join(shared, ["h1", "h2"]).where(F.col("doc") > F.col("first"))
-            .select("_id", "_fp", "pos"))
+    run = salted.repartitionByRange("h1", "h2", "salt").withColumn("first", F.first("doc").over(stream))
+    later = run.where(F.col("doc") > F.col("first"))
+    heads = run.where(F.col("doc") == F.col("first")).withColumn(
+        "smallest", F.min("doc").over(Window.partitionBy("h1", "h2")))
+    beaten = heads.where(F.col("doc") > F.col("smallest"))
+    return later.select("_id", "_fp", "pos").unionByName(beaten.select("_id", "_fp", "pos"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -103,16 +103,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``."""
     maps = keep_bitmaps(docs, id_col, text_col, min_chars, salts)
     text = text_of(F.col(text_col))
-    left = docs.withColumns(dict(zip(("_id", "_fp"), row_key(F.col(id_col), text), strict=True)))
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    # the columns of the input travel as one, so that none can clash with a working column
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *row_key(F.col(id_col), text),
+                       text.alias("_text"))
     joined = left.join(maps, same_row(left, maps), "left").select(
-        *[left[c] for c in names], left[text_col].alias("_text"),
-        maps["drop_from"].alias("_from"), maps["drop_len"].alias("_len"),
+        left["_row"], left["_text"], maps["drop_from"].alias("_from"), maps["drop_len"].alias("_len"),
         F.coalesce(maps["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"))
-    lined = joined.withColumn("_lines", split_lines(text_of(F.col("_text"))))
+    lined = joined.withColumn("_lines", split_lines(F.col("_text")))
     flagged = lined.withColumn("_keep", F.when(F.col("_from").isNotNull(), keep_flags(
         F.size("_lines"), F.col("_from"), F.col("_len"))))
-    kept = F.when(F.col("_from").isNull(), text_of(F.col("_text"))).otherwise(
+    kept = F.when(F.col("_from").isNull(), F.col("_text")).otherwise(
         F.array_join(F.filter("_lines", lambda x, i: F.get("_keep", i)), "\n"))
-    return flagged.select(*names, kept.alias("kept_text"), F.size("_lines").cast("long").alias("n_lines"),
-                          "n_dropped")
+    done = flagged.withColumns({"kept_text": kept, "n_lines": F.size("_lines").cast("long")})
+    return done.select("_row.*", "kept_text", "n_lines", "n_dropped")
