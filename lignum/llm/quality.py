@@ -17,7 +17,9 @@ A document is judged by a histogram only from ``min_chars`` characters or
 
 Cases: null text has no words and fails the base rules.  A null language is a
 language of its own.  Rows alike in id and text share one result; an empty table
-gives an empty result; other columns pass through, same-named ones are replaced.
+gives an empty result; other columns pass through under any name, columns named like
+a result are replaced.  Tables with rows per language are stored and joined as their
+size allows, none is broadcast by force.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lignum.llm.common import GAP, WHITESPACE, row_key, stored, text_of
+from lignum.llm.common import GAP, WHITESPACE, row_key, stored, text_of, working_names
 
 # Character classes, counted one after the other on what the ones before left.
 CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("space", "[\\x20\\x09-\\x0D]+"),
@@ -40,6 +42,9 @@ MIN_WORDS = 50
 MIN_REF = 2000
 WINDOW = 5
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance",
+           "word_distance", "base_failed", "kept")
+
 
 def words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(WHITESPACE))
@@ -121,8 +126,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     total = buckets.groupBy(F.col("_lang").alias("_bl")).agg(F.sum("n").alias("_total"))
     full = (buckets.join(total, F.col("_lang").eqNullSafe(F.col("_bl")))
             .where(F.col("n") * share >= F.col("_total")).select("_bl", F.col("_b").alias("_bb"), "_total"))
-    # at most `share` buckets of a language are full
-    counted = (w.join(F.broadcast(full), F.col("_lang").eqNullSafe(F.col("_bl")) & (F.col("_b") == F.col("_bb")))
+    full = stored(full, "full")  # at most `share` buckets of a language are full
+    counted = (w.join(full, F.col("_lang").eqNullSafe(F.col("_bl")) & (F.col("_b") == F.col("_bb")))
                .groupBy("_id", "_fp", "_lang", "_word").agg(F.count(F.lit(1)).alias("n")))
     return stored(counted, "words"), total
 
@@ -132,14 +137,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_ref: int = MIN_REF) -> DataFrame:
     """``docs`` (without its text) plus the base counts, ``class_distance``, ``word_distance`` (null
     below the guards), ``base_failed`` and ``kept``."""
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance",
-           "word_distance", "base_failed", "kept")
-    names = [c for c in docs.columns if c not in new]
+    return verdicts(docs, id_col, text_col, lang_col, share, max_class, max_word, min_chars, min_words,
+                    min_ref).select("_own.*", *RESULTS)
+
+
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, share: int = SHARE,
+             max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS,
+             min_words: int = MIN_WORDS, min_ref: int = MIN_REF) -> DataFrame:
+    """The results of ``judge`` with the row's key ``_id, _fp, _lang`` and its other columns as ``_own``."""
+    names = [c for c in docs.columns if c not in (*RESULTS, text_col)]
     text = text_of(F.col(text_col))
 
     # counts of each document, in one pass over the texts
-    key = docs.select(*names, *row_key(F.col(id_col), text), F.col(lang_col).alias("_lang"))
-    feats = _classes(features(key, text_col)).drop("_w", "_t", text_col)
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_own"), *row_key(F.col(id_col), text),
+                      F.col(lang_col).alias("_lang"), text.alias("_t"))
+    feats = _classes(features(key, "_t")).drop("_w", "_t")
     feats = stored(feats, "features")
     n_cls = len(CLASSES) + 1
     sums = feats.groupBy(F.col("_lang").alias("_rl")).agg(
@@ -147,16 +159,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     all_chars = sum((F.col(f"c{k}") for k in range(1, n_cls)), F.col("c0"))
     ref = sums.select("_rl", F.array(*[
         F.col(f"c{k}") / F.greatest(all_chars, F.lit(1)) for k in range(n_cls)]).alias("_q"))
+    ref = stored(ref, "references")  # one row per language
 
     # shares of the common words, per language and per document
     counted, total = word_counts(docs, id_col, text_col, lang_col, share)
     common = (counted.groupBy(F.col("_lang").alias("_cl"), F.col("_word").alias("_cw")).agg(F.sum("n").alias("_cn"))
-              .join(F.broadcast(total), F.col("_cl").eqNullSafe(F.col("_bl")))
+              .join(total, F.col("_cl").eqNullSafe(F.col("_bl")))
               .where(F.col("_cn") * share >= F.col("_total"))
               .select("_cl", "_cw", (F.col("_cn") / F.col("_total")).alias("q"), "_total"))
     common = stored(common, "common")
-    hits = (counted.join(F.broadcast(common.select("_cl", "_cw", "q")),
-                         F.col("_lang").eqNullSafe(F.col("_cl")) & (F.col("_word") == F.col("_cw")))
+    hits = (counted.join(common.select("_cl", "_cw", "q"), F.col("_lang").eqNullSafe(F.col("_cl")) & (F.col("_word") == F.col("_cw")))
             .groupBy(F.col("_id").alias("_hi"), F.col("_fp").alias("_hf"), F.col("_lang").alias("_hl"))
             .agg(F.collect_list(F.struct("n", "q")).alias("_hits")))
     whole = common.groupBy(F.col("_cl").alias("_wl")).agg(F.sum("q").alias("_mass"), F.first("_total").alias("_total"))
@@ -164,8 +176,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # rows alike in id, text and language were counted together
     alike = Window.partitionBy("_id", "_fp", "_lang")
     df = feats.withColumn("_m", F.count(F.lit(1)).over(alike))
-    df = df.join(F.broadcast(ref), F.col("_lang").eqNullSafe(F.col("_rl")), "left")
-    df = df.join(F.broadcast(whole), F.col("_lang").eqNullSafe(F.col("_wl")), "left")
+    df = df.join(ref, F.col("_lang").eqNullSafe(F.col("_rl")), "left")
+    df = df.join(whole, F.col("_lang").eqNullSafe(F.col("_wl")), "left")
     df = df.join(hits, F.col("_id").eqNullSafe(F.col("_hi")) & (F.col("_fp") == F.col("_hf"))
                  & F.col("_lang").eqNullSafe(F.col("_hl")), "left")
 
@@ -189,17 +201,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "base_failed": base_failed()})
     far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(
         F.col("word_distance") > max_word, F.lit(False))
-    return df.select(*[F.col(x) for x in names if x != text_col], "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                     "n_repeat_words", "class_distance", "word_distance", "base_failed",
-                     (~F.col("base_failed") & ~far).alias("kept"), "_fp")
+    return df.withColumn("kept", ~F.col("base_failed") & ~far).select("_own", "_id", "_fp", "_lang", *RESULTS)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
               **limits) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    verdict = judge(docs.select(*dict.fromkeys((id_col, text_col, lang_col))), id_col, text_col, lang_col, **limits)
-    kept = verdict.where("kept").select(F.col(id_col).alias("_kid"), F.col("_fp").alias("_kfp"),
-                                        F.col(lang_col).alias("_kl"))
-    on = (F.col(id_col).eqNullSafe(F.col("_kid")) & (F.xxhash64(text_of(F.col(text_col))) == F.col("_kfp"))
-          & F.col(lang_col).eqNullSafe(F.col("_kl")))
+    verdict = verdicts(docs.select(*dict.fromkeys((id_col, text_col, lang_col))), id_col, text_col, lang_col, **limits)
+    kid, kfp, kl = working_names(docs, "_kid", "_kfp", "_kl")
+    kept = verdict.where("kept").select(F.col("_id").alias(kid), F.col("_fp").alias(kfp), F.col("_lang").alias(kl))
+    on = (F.col(id_col).eqNullSafe(F.col(kid)) & (F.xxhash64(text_of(F.col(text_col))) == F.col(kfp))
+          & F.col(lang_col).eqNullSafe(F.col(kl)))
     return docs.join(kept, on, "left_semi")

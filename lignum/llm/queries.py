@@ -88,7 +88,7 @@ def op8(spark, sf_dir):
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("lang", "_fp")
+    return quality.judge(docs).drop("lang")
 
 
 @query("op10_minhash")
