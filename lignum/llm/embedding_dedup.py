@@ -12,14 +12,17 @@ The quantisers are fitted on a bounded sample of about ``SAMPLE`` vectors; all
 vectors are indexed.  Cells number about one for ``CELL`` distinct vectors, at most
 ``MAX_CELLS``.  Equal vectors of a label share one representative with a count, so
 copies never meet pair by pair.  A cell with more than ``BLOCK`` entries is cut
-into blocks, and every two blocks are one task's work.
+into blocks; every two blocks meet by themselves, dealt over the tasks by cell and blocks.
 
 Each cell returns, per vector, the number of links and a spanning forest of its
 links, so what leaves a cell is linear in its entries and loses no connection.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label, link with nothing.  Vectors of different lengths do not link.
-Rows with equal ids count as separate vectors for links and share a component id.
+Rows with equal ids, or without an id, count as separate vectors.  A component is named by
+its smallest id that is not null; ``kept`` is the null-safe equality of both, so a vector
+without an id stays only if no vector of its component has one.  An empty table gives an
+empty result; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -184,18 +187,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ensure_shipped(spark)
     good = normalised(vectors, id_col, vector_col, label_col)
     # equal vectors of a label: one representative and a count
-    reps = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
-                  "reps")
+    reps = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+                  .withColumn("rep", F.monotonically_increasing_id()), "reps")
     base = vectors.select(F.col(id_col).alias("vec_id"))
     total, dims = reps.count(), reps.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
     if not total:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
-    counts, edges = None, None
+    counts, edges = None, None  # of representatives, by number
     for d in [r["d"] for r in dims]:
         mine = reps.where(F.size("v") == d)
         share = min(1.0, SAMPLE / total)
-        pick = F.pmod(F.xxhash64(F.lit(SEED), F.col("rep")), F.lit(1 << 30)) <= int(share * (1 << 30))
+        pick = F.pmod(F.xxhash64(F.lit(SEED), F.col("v")), F.lit(1 << 30)) <= int(share * (1 << 30))
         sample = np.array([r["v"] for r in mine.where(pick).select("rep", "v").collect()])
         if not len(sample):
             sample = np.array([r["v"] for r in mine.limit(CELL).select("v").collect()])
@@ -228,6 +231,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         met = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "label", "cell", "rep", "copies", "probes", "v", "block",
             F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
+        # dealt by all four: grouping alone would keep the join's partitioning, a cell's blocks in one task
+        met = met.repartition("label", "cell", "bi", "bj")
         found = met.groupBy("label", "cell", "bi", "bj").applyInPandas(
             _cell_task(shared, threshold), "vec long, other long, n long")
         found = stored(found, "links")
@@ -236,9 +241,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         edges = e if edges is None else edges.unionByName(e)
     per = counts.groupBy(F.col("vec").alias("_v")).agg(F.sum("n").alias("n"))
     labels = components(edges.select(F.col("vec").alias("u"), F.col("other").alias("v")))
+    named = reps.select("rep", "least").join(labels, F.col("rep") == F.col("node"))
+    smallest = named.groupBy(F.col("component").alias("_k")).agg(F.min("least").alias("cid"))
+    named = named.join(smallest, F.col("component") == F.col("_k")).select("node", "cid")
     classes = (reps.join(per, F.col("rep") == F.col("_v"), "left")
-               .join(labels, F.col("rep") == F.col("node"), "left")
-               .select(F.col("label").alias("_l"), F.col("v").alias("_x"), F.coalesce("component", "rep").alias("cid"),
+               .join(named, F.col("rep") == F.col("node"), "left")
+               .select(F.col("label").alias("_l"), F.col("v").alias("_x"),
+                       F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("cid")).alias("cid"),
                        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")))
     rows = good.join(classes, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_x"))).select(
         "vec_id", "links", "cid")
@@ -249,4 +258,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("cid"))
     out = rows.unionByName(bad)
     return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("cid").alias("component_id"),
-                      (F.col("vec_id") == F.col("cid")).alias("kept"))
+                      F.col("vec_id").eqNullSafe(F.col("cid")).alias("kept"))
