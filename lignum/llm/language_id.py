@@ -6,10 +6,11 @@ are followed as long as a match in the language's sample goes on; then a new phr
 begins.  ``phrases * log2(sample length) / characters`` estimates the bits per
 character that the text costs in that language; the language with the least wins.
 
-The sample is bounded: at most ``SAMPLE_ROWS`` labelled rows a language, picked by
-the order of a hash of their id, at most ``ROW_CHARS`` characters of each, and
-``min(SAMPLE_CHARS, TOTAL_CHARS / languages)`` characters a language.  Scoring
-reads whole texts.
+The sample is bounded: whole labelled texts are cut into pieces of ``SAMPLE_PIECE``
+characters, and of all pieces of a language, wherever they lie in their texts, at most
+``SAMPLE_ROWS`` are picked by the order of a hash, ``min(SAMPLE_CHARS, TOTAL_CHARS /
+languages)`` characters a language in all (the automata are dense tables that every task
+holds).  Scoring reads whole texts.
 
 Texts are scored as runs of lower-cased letters parted by single blanks.  Long
 texts are parsed in pieces of ``PIECE`` characters, all pieces of a batch side by
@@ -17,7 +18,8 @@ side; every piece begins a phrase in every language alike.
 
 Cases: null text and text without a letter give ``und`` and score 0.  Without any
 labelled row every text is ``und``.  Ties go to the first language in code point
-order.  Other columns pass through; columns named like a result are replaced.
+order.  Null and repeated ids are rows like any other.  An empty table gives an empty
+result.  Other columns pass through under any name; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lignum.llm.common import held_out
+from lignum.llm.common import held_out, working_names
 from lignum.ship import ensure_shipped
 
 SAMPLE_ROWS = 96
-ROW_CHARS = 1024
+SAMPLE_PIECE = 1024
 SAMPLE_CHARS = 24_576
 TOTAL_CHARS = 400_000
 PIECE = 512
@@ -186,22 +188,26 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """The model of a bounded sample of labelled rows outside the held-out fold."""
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("_lang").orderBy("_h", "_id")
-    # ranks up to a fixed number are cut below the shuffle; texts are read for picked rows only
-    picked = (rows.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"),
-                          F.xxhash64(F.lit(5), F.col(id_col)).alias("_h"))
-              .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_rows))
-    text = docs.select(F.col(id_col).alias("_tid"), F.col(lang_col).alias("_tl"),
-                       F.substring(F.col(text_col).cast("string"), 1, ROW_CHARS).alias("_t"))
-    got = (text.join(picked, (F.col("_tid") == F.col("_id")) & (F.col("_tl") == F.col("_lang")))
-           .select("_lang", "_r", "_t").collect())  # at most sample_rows rows a language
+          sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> Model:
+    """The model of a bounded sample of labelled text outside the held-out fold."""
+    text = F.col(text_col).cast("string")
+    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_t"))
+    last = F.floor((F.length("_t") - 1) / SAMPLE_PIECE).cast("int")
+    order = Window.partitionBy("_lang").orderBy("_h", "_id", "_fp", "_p")
+    # ranks up to a fixed number are cut below the shuffle; texts are read for picked pieces only
+    pieces = rows.select("_lang", "_id", "_fp", F.explode(F.sequence(F.lit(0), last)).alias("_p")).distinct()
+    picked = (pieces.withColumn("_h", F.xxhash64(F.lit(5), "_id", "_fp", "_p"))
+              .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_rows)
+              .select(F.col("_lang").alias("_pl"), F.col("_id").alias("_pid"), F.col("_fp").alias("_pf"), "_p", "_r"))
+    same = (F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_lang") == F.col("_pl")) & (F.col("_fp") == F.col("_pf")))
+    got = (rows.join(picked, same).select(
+        "_lang", "_r", F.substring("_t", F.col("_p") * SAMPLE_PIECE + 1, F.lit(SAMPLE_PIECE)).alias("_t"))
+        .distinct().collect())  # at most sample_rows pieces a language
     samples: dict[str, list[np.ndarray]] = {}
     for r in sorted(got, key=lambda r: (r["_lang"], r["_r"], r["_t"])):
         samples.setdefault(r["_lang"], []).append(folded(r["_t"]))
-    return Model(samples, min(sample_chars, TOTAL_CHARS // max(1, len(samples))))
+    return Model(samples, min(sample_chars, total_chars // max(1, len(samples))))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +216,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = ("held_out", "lang_pred", "score")
     names = [c for c in docs.columns if c not in (*new, text_col)]
-    src = docs.select(*names, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("_t"))
+    shown, = working_names(docs, "_t")
+    src = docs.select(*names, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias(shown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
