@@ -8,14 +8,18 @@ are not taken for toxic ones.
 
 Fitting uses a bounded sample of the labelled rows outside the held-out fold:
 about ``SAMPLE_ROWS`` of them, chosen by a hash of the id.  Features are chosen by
-counts over the sample, made in Spark: those significantly more frequent in toxic
-texts (likelihood ratio ``MIN_G2``), at most ``MAX_FEATURES``.  Weights are not
+counts over the sample, made in Spark: all that are significantly more frequent in toxic
+texts (likelihood ratio ``MIN_G2``, shares ``MIN_LIFT`` apart).  Weights are not
 negative, so that a long clean passage cannot hide a toxic one.  Only the chosen
 features of the sample reach the driver.  Scoring reads whole texts.
 
 Cases: null and empty texts get the score of a text without any feature.  Without
 labelled rows every score is 0.  Repeated rows get equal scores.  Of labels that
 repeat an id the larger counts.  Labels, language, source and id are no inputs.
+Rows without an id are scored like any other and teach nothing.  Texts of any length are
+read in portions of rows; a row's memory grows with its own text.  An empty table gives
+an empty result.  Other columns pass through under any name; columns named like a result
+are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lignum.llm.common import held_out, stored
+from lignum.llm.common import held_out, stored, working_names
 from lignum.llm.hashing import M2, U, Prefix, portions, utf8, word_spans
 from lignum.ship import ensure_shipped
 
 SAMPLE_ROWS = 20_000
-MAX_FEATURES = 20_000
 MIN_G2 = 14.0
 MIN_LIFT = 3.0
 BEGINNINGS = (4, 5, 6)
@@ -49,8 +52,6 @@ GROUPS = (
     ("female", "male", "muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "immigrant", "refugee",
      "african", "asian", "european", "american", "mexican", "gay", "lesbian", "transgender", "disabled", "black",
      "white"))
-SWAP = {w: group[(k + 1) % len(group)] for group in GROUPS for k, w in enumerate(group)}
-_GROUP_WORD = re.compile(r"\b(" + "|".join(sorted(SWAP, key=len, reverse=True)) + r")\b")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 # Bytes that part words: all but ASCII letters, digits and the bytes of other characters.
@@ -59,16 +60,20 @@ BREAKS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234
 BREAKS[0x80:] = False
 
 
-def swapped(text: str) -> list[tuple[str, str]]:
-    """Sentences of a lower-cased text that name a group, each with its counterfactual."""
-    if not _GROUP_WORD.search(text):
-        return []
-    out = []
-    for s in _SENTENCE.findall(text):
-        other = _GROUP_WORD.sub(lambda m: SWAP[m[0]], s)
-        if other != s:
-            out.append((s, other))
-    return out
+class Swaps:
+    """Exchange of the names of groups: each name of a list for the next of the same list."""
+
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = GROUPS):
+        self.next = {w: group[(k + 1) % len(group)] for group in groups for k, w in enumerate(group)}
+        names = "|".join(re.escape(w) for w in sorted(self.next, key=len, reverse=True))
+        self.name = re.compile(rf"\b({names})\b" if names else r"(?!)")
+
+    def pairs(self, text: str) -> list[tuple[str, str]]:
+        """Sentences of a lower-cased text that name a group, each with its counterfactual."""
+        if not self.name.search(text):
+            return []
+        changed = ((s, self.name.sub(lambda m: self.next[m[0]], s)) for s in _SENTENCE.findall(text))
+        return [(s, other) for s, other in changed if other != s]
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +110,7 @@ class Model:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -np.inf
+    n_pairs: int = 0  # swapped sentences that the fit penalised
 
     def find(self, row: np.ndarray, feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, index)`` of the features that are chosen ones."""
@@ -150,7 +156,10 @@ def fit_weights(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, pair_rows: np
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, penalty: float = PENALTY) -> Model:
+          label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, penalty: float = PENALTY,
+          groups: tuple[tuple[str, ...], ...] = GROUPS) -> Model:
+    """The model of a bounded sample of labelled rows; ``groups`` are lists of lower-cased names of groups, in any
+    language, whose members can stand for each other."""
     ensure_shipped(docs.sparkSession)
     known = (labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")))
@@ -192,10 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               + part(rest_g, left * F.lit(1 - bad / total)))
     lift = a / F.lit(bad) >= MIN_LIFT * good / F.lit(total - bad)
     chosen = (per.withColumn("g2", g2).where(lift & (F.col("g2") >= MIN_G2))
-              .orderBy(F.desc("g2"), "f").limit(MAX_FEATURES).select("f").collect())
+              .select("f").collect())  # features of the bounded sample
     keys = np.sort(np.array([r["f"] for r in chosen], np.int64).view(U)) if chosen else np.zeros(0, U)
     picker = Model(keys, np.zeros(len(keys)))
-    shared = docs.sparkSession.sparkContext.broadcast(picker)
+    shared, swaps = docs.sparkSession.sparkContext.broadcast(picker), Swaps(groups)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, 1)):
@@ -205,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for i, y in enumerate(batch.column(0).to_pylist()):
                 got.append((y, at[cut[i]:cut[i + 1]].tolist(), []))
-            pairs = [p for t in low.column(1).to_pylist() for p in swapped(t)]
+            pairs = [p for t in low.column(1).to_pylist() for p in swaps.pairs(t)]
             for k in (0, 1):
                 r, x = shared.value.find(*features(pa.array([p[k] for p in pairs], pa.large_string())))
                 c = np.searchsorted(r, np.arange(len(pairs) + 1))
@@ -226,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pc = np.array([i for a, b in pairs for i in (*a, *b)], np.int64)
     ps = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
     w, b = fit_weights(r, c, np.array([x[0] for x in docs_rows], float), pr, pc, ps, len(pairs), len(keys), penalty)
-    return Model(keys, w, b)
+    return Model(keys, w, b, len(pairs))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +243,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ensure_shipped(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted", text_col)]
-    src = docs.select(*names, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("_t"))
+    shown, = working_names(docs, "_t")
+    src = docs.select(*names, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias(shown))
     at = len(names) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
