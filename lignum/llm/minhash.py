@@ -25,8 +25,12 @@ that could join two classes is skipped, and no pairs are written.
 
 Cases: null, empty and word-less texts are alike to nothing (each its own
 class).  A text of fewer than five words is one shingle of all its words.  Rows
-with a null id take part under no id: they are left out of classes and come back
-with a null class.  Rows alike in id and text come back once each.
+with a null id found no class: one that copies a text with an id comes back with that
+text's class, any other with a null class, and both as kept (number the rows first, as
+the pipeline does, to have them removed).  Rows alike in id and text come back once
+each; rows with one id and different texts are compared under that id and share a class.
+Memory grows with the longest text (all its shingles are one value).  An empty table
+gives an empty result; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lignum.llm.common import stored
+from lignum.llm.common import giving_back, stored
 from lignum.llm.components import components
 from lignum.llm.hashing import U, bitmap, in_bitmap, mix, portions, shingles, utf8
 from lignum.ship import ensure_shipped
@@ -88,7 +92,7 @@ def common_shingles(texts: DataFrame, width: int = WIDTH, common: int = COMMON)
             b = some[lo:lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(counts[b])], ["b", "n"])
 
-    buckets = stored(texts.mapInArrow(bucket_counts, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")), "df")
+    buckets = stored(texts.mapInArrow(giving_back(bucket_counts), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")), "df")
     n_docs = sum(r.n for r in buckets.where(F.col("b") == BUCKETS).collect())
     pairs = buckets.where(F.col("b") < BUCKETS).agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-pairs // common))
@@ -107,7 +111,7 @@ def common_shingles(texts: DataFrame, width: int = WIDTH, common: int = COMMON)
             h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    found = (texts.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = (texts.mapInArrow(giving_back(counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= least).collect())  # at most `common` rows, since their sum is at most `pairs`
     return {r.h & (1 << 64) - 1: r.n for r in found}, least, n_docs
 
@@ -203,7 +207,7 @@ def signatures(texts: DataFrame, weights, width: int = WIDTH, bands: int = BANDS
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(name[some].reshape(-1).view(np.int64)))],
                     ["id", "copy", "total", "bands"])
 
-    return texts.mapInArrow(run, "id long, copy binary, total double, bands array<long>")
+    return texts.mapInArrow(giving_back(run), "id long, copy binary, total double, bands array<long>")
 
 
 def vectors(texts: DataFrame, ids, width: int = WIDTH) -> DataFrame:
@@ -222,7 +226,7 @@ def vectors(texts: DataFrame, ids, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(
                     [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "h"])
 
-    return texts.mapInArrow(run, "id long, h binary")
+    return texts.mapInArrow(giving_back(run), "id long, h binary")
 
 
 def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WIDTH) -> DataFrame:
@@ -242,7 +246,7 @@ def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WI
                      pa.array(np.concatenate(at).astype(np.int32)), pa.array(h.view(np.int64))], ["id", "fp", "at", "h"])
 
     keyed = vecs.select("id", F.xxhash64("h").alias("fp"), "h")
-    asked = stored(keyed.mapInArrow(rare, "id long, fp long, at int, h long"), "asked")
+    asked = stored(keyed.mapInArrow(giving_back(rare), "id long, fp long, at int, h long"), "asked")
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(asked.select("h")))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WI
             h, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    df = texts.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("df")).where("df > 1")
+    df = texts.mapInArrow(giving_back(counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("df")).where("df > 1")
     found = asked.join(df.hint("merge"), "h").groupBy("id", "fp").agg(F.collect_list(F.struct("at", "df")).alias("f"))
     found = found.select(F.col("id").alias("_i"), F.col("fp").alias("_f"), F.col("f.at").alias("at"), F.col("f.df").alias("df"))
     joined = keyed.join(found, (F.col("id") == F.col("_i")) & (F.col("fp") == F.col("_f")), "left")
@@ -266,7 +270,7 @@ def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WI
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64())], [*batch.schema.names, "total"])
 
     return joined.select("id", "h", "at", "df").mapInArrow(
-        totals, "id long, h binary, at array<int>, df array<long>, total double")
+        giving_back(totals), "id long, h binary, at array<int>, df array<long>, total double")
 
 
 def _weighed(column: pa.Array, weights: Weights, at=None, df=None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -303,7 +307,7 @@ def verified(pairs: DataFrame, vecs: DataFrame, weights, threshold: float = THRE
                 keep = pa.array([weighted_jaccard(*x, *y) >= threshold for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(giving_back(run), "u long, v long")
 
 
 def close_bucket(table: pa.Table, weights: Weights, threshold: float) -> pa.Table:

@@ -23,7 +23,6 @@ an empty result.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lignum.llm.common import stored, text_of
+from lignum.llm.common import give_back, giving_back, stored, text_of
 from lignum.llm.hashing import _POWERS, Prefix, U, portions, word_spans
 from lignum.ship import ensure_shipped
 
@@ -194,7 +193,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     ["doc_id", "piece", "start", "length", "ids"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return src.mapInArrow(giving_back(run), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 class Packer:
@@ -299,8 +298,7 @@ def pack_sequences(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int =
         # a worker that has tokenised before gives that memory back
         _TOKENIZERS.clear()
         _POWERS.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         packer, now = Packer(sequence, open_bins), None
         bins: dict[int, list[tuple]] = {}
         out: list[tuple] = []
@@ -336,7 +334,7 @@ def pack_sequences(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int =
         if out:
             yield emitted()
 
-    return rows.mapInArrow(run, f"sequence_id long, doc_ids array<{kind}>, pieces array<int>, lengths array<long>, ids binary")
+    return rows.mapInArrow(giving_back(run), f"sequence_id long, doc_ids array<{kind}>, pieces array<int>, lengths array<long>, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
