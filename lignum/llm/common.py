@@ -22,15 +22,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLDS = 5
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: what is read later depends on files in the shared
-    folder only, so a lost executor costs nothing but its running tasks.
+    folder only, so a lost executor costs nothing but its running tasks.  Tables that
+    hold whole texts or token ids take the slower and denser ``zstd``.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lignum-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

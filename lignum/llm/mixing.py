@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside them, and stretches that do not meet are joined by line ends.
     """
     key, passes, one, words = working_names(docs, "_row", "_all", "_one", "_words")
-    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
     sized = stored(sizes(rows, id_col, text_col, source_col, key), "sizes")
     parts = mix(sized, stored(targets(sized), "targets"))
     spans = parts.groupBy("row", "pass", "size").agg(

@@ -340,7 +340,7 @@ def pack_sequences(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int =
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                    sequence: int = SEQUENCE) -> DataFrame:
     """Pieces with their token ids, the ids' digest and their place."""
-    placed = pack(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces"),
+    placed = pack(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces", "zstd"),
                   sequence)
     return placed.withColumn("ids_crc32", F.crc32("ids"))
 
@@ -348,4 +348,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                      sequence: int = SEQUENCE) -> DataFrame:
     """The packed sequences of all documents, see ``pack_sequences``."""
-    return pack_sequences(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces"), sequence)
+    return pack_sequences(stored(tokenize(docs, tokenizer_path, id_col, text_col, sequence, narrow=True), "pieces", "zstd"), sequence)
