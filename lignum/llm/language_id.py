@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lignum.llm.common import held_out, working_names
+from lignum.llm.common import held_out, stored, working_names
 from lignum.ship import ensure_shipped
 
 SAMPLE_ROWS = 96
@@ -200,6 +200,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = (pieces.withColumn("_h", F.xxhash64(F.lit(5), "_id", "_fp", "_p"))
               .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_rows)
               .select(F.col("_lang").alias("_pl"), F.col("_id").alias("_pid"), F.col("_fp").alias("_pf"), "_p", "_r"))
+    picked = stored(picked, "picked")  # small, and known to be: texts meet it without a shuffle
     same = (F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_lang") == F.col("_pl")) & (F.col("_fp") == F.col("_pf")))
     got = (rows.join(picked, same).select(
         "_lang", "_r", F.substring("_t", F.col("_p") * SAMPLE_PIECE + 1, F.lit(SAMPLE_PIECE)).alias("_t"))
