@@ -54,3 +54,29 @@ def test_gap_vectors_are_neither_sorted_nor_joined(spark):
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
     plan = E.queries()["masked_argmax"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in plan and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_fit_pools_the_pieces_of_its_samples(spark):
+    import numpy as np
+    from lignum.operators import fit as Fi
+    table = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.0, 2.0]), (2, [-1.0, 1.0])], "vec_id long, embedding array<double>")
+    held = P.piece_table(table, 3, 2)
+    rng = np.random.RandomState(1)
+    rows = []
+    for i in range(9):
+        ids = [[int(x) for x in rng.randint(0, 3, rng.randint(0, 3))] for _ in range(3)]
+        x = held.value.mean(np.array(sum(ids, []), np.int64), np.array([len(y) for y in ids]))[0].tolist()
+        rows.append((i, "en", "valid" if i % 3 == 0 else "train", x, ids, [1.0, 2.0], [0, 1], [0, 1, 0]))
+    df = spark.createDataFrame(rows, "tree_id long, lang string, split string, x array<array<double>>, ids array<array<int>>, "
+                                     "d array<double>, c array<int>, u array<int>")
+    lean = df.withColumn("x", F.when(F.col("tree_id") == 4, F.col("x")))
+    cands = ({"en": [0, 1]}, {"en": [0, 1]})
+    for fit, more in ((Fi.fit_probe, {}), (Fi.fit_minibatch, {"batch_size": 4, "tasks": 2})):
+        want = fit(df, 2, 2, 2, 2, *cands, epochs=2, **more)[1]
+        assert np.allclose(want, fit(lean, 2, 2, 2, 2, *cands, epochs=2, pieces=held, **more)[1])
+
+
+def test_training_samples_hold_no_vectors(spark):
+    s, *_, held = Pr.training_samples(spark, "/root/testdata/sf0.001")
+    got = s.agg(F.count("x").alias("x"), F.count("ids").alias("ids")).first()
+    assert (got.x, held is not None) == (0, True) and got.ids > 100
