@@ -6,7 +6,7 @@ end, unary)``, children ordered by ``(start, node_id)``.
 - ``parse_nodes`` (C11) turns gap heights into a binary tree.  The tree over the gaps is the Cartesian tree
   of the heights, whose parent pointers come from the nearest greater neighbours of each gap.
 - ``remove_fillers`` (C12) contracts ``<empty>`` nodes: what hangs on them moves to the nearest ancestor that
-  stays, found by pointer jumping (the logarithm of the longest run of removed nodes in joins).
+  stays, found by pointer jumping over the numbers of a tree.
 - ``add_unary`` (C14) and ``split_fused`` (C13) insert chains of nodes; fresh ids are prefix sums over the tree.
 - ``binarise`` (C8) goes the other way: single-child chains are fused by pointer jumping, and the fillers
   of a node with many children are numbered by prefix sums over its tree.
@@ -66,8 +66,9 @@ def _tree_udf(d: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["gap", "lo", "hi", "parent"])
 
 
-def parse_nodes(feat: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """C11: compact rows (tree_id, d, c, u) -> node table, ids in preorder.
+def parse_nodes(feat: DataFrame, tokens: Column | None = None, parts: int | None = None) -> DataFrame:
+    """C11: compact rows (tree_id, d, c, u) -> node table, ids in preorder; the compact rows are dealt by tree
+    into ``parts`` partitions, so that no later step has to deal their nodes.
 
     A gap becomes an inner node with the gap's label, over the tokens ``start .. end - 1``; a token a leaf
     whose type is its text (``tokens``, or its number) and whose ``unary`` is its label.
@@ -75,6 +76,8 @@ def parse_nodes(feat: DataFrame, tokens: Column | None = None) -> DataFrame:
     ensure_shipped(feat.sparkSession)
     texts = tokens if tokens is not None else F.lit(None).cast("array<string>")
     t = feat.select("tree_id", "c", "u", texts.alias("_texts"), _tree_udf(F.col("d").cast("array<double>")).alias("t"))
+    if parts:
+        t = t.repartition(parts, "tree_id")
     nodes = t.select("tree_id", "c", "u", "_texts", F.posexplode(
         F.arrays_zip("t.gap", "t.lo", "t.hi", "t.parent")).alias("node_id", "n"))
     leaf = F.col("n.gap") < 0
@@ -86,23 +89,59 @@ def parse_nodes(feat: DataFrame, tokens: Column | None = None) -> DataFrame:
         F.when(leaf, F.get("u", F.col("n.lo"))).alias("unary"))
 
 
+def follow(node: np.ndarray, up: np.ndarray, hops: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """The links of one tree followed to their ends: the row of each link, where it ends and its hops.
+
+    Each round doubles the way.  A node that comes twice leads on by each of its links, so its followers
+    come once for each.  None for a cycle.
+    """
+    row = np.arange(len(node))
+    for _ in range(max(len(node), 1).bit_length() + 1):
+        order = np.argsort(node, kind="stable")
+        first = np.searchsorted(node[order], up)
+        times = np.searchsorted(node[order], up, side="right") - first
+        if not times.any():
+            return row, up, hops
+        each = np.maximum(times, 1)
+        at = np.repeat(np.arange(len(up)), each)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+        on = times[at] > 0
+        nxt = order[np.where(on, first[at] + nth, 0)]
+        row, node, up, hops = row[at], node[at], np.where(on, up[nxt], up[at]), hops[at] + np.where(on, hops[nxt], 0)
+    return None
+
+
+_WAYS = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("node", "up", "hops")])
+
+
+@F.pandas_udf(_WAYS)
+def _follow_udf(node: pd.Series, up: pd.Series, hops: pd.Series) -> pd.DataFrame:
+    out = []
+    for links in zip(node, up, hops):
+        n, u, h = (np.asarray(x, np.int64) for x in links)
+        ends = follow(n, u, h)
+        out.append((n[ends[0]], *ends[1:]) if ends else (n[:1], [None], h[:1]))
+    return pd.DataFrame(out, columns=["node", "up", "hops"])
+
+
 def jump(links: DataFrame) -> DataFrame:
     """Pointer jumping over ``(tree_id, node, up, hops)``: while ``up`` is itself a ``node``, follow it.
 
-    Each round doubles the way, so the rounds are the logarithm of the longest chain; every round is
-    written below ``spark.checkpoint.dir``.  A cycle is an error.
+    The links of a tree meet in one row of numbers and are followed there: no round is joined, and only
+    the ends are written below ``spark.checkpoint.dir``.  Links of no tree, or without a node or an end, lead
+    nowhere else.  A cycle is an error.
     """
-    links = staged(links, "links")
-    rounds = max(links.count(), 1).bit_length() + 1
-    for _ in range(rounds):
-        over = links.select("tree_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        moved = staged(links.join(over, ["tree_id", "up"], "left").select(
-            "tree_id", "node", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-            F.col("_up").isNotNull().alias("moved")), "links")
-        links = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return links
-    raise ValueError("the parents of some nodes form a cycle")
+    ensure_shipped(links.sparkSession)
+    whole = F.col("tree_id").isNotNull() & F.col("node").isNotNull() & F.col("up").isNotNull()
+    per = links.where(whole).groupBy("tree_id").agg(F.collect_list(F.struct(
+        *[F.col(c).cast("long").alias(c) for c in ("node", "up", "hops")])).alias("_l"))
+    ways = per.select("tree_id", _follow_udf("_l.node", "_l.up", "_l.hops").alias("_w"))
+    ways = ways.select("tree_id", F.explode(F.arrays_zip("_w.node", "_w.up", "_w.hops")).alias("_e"))
+    ends = ways.select("tree_id", *[F.col(f"_e.{c}").cast(links.schema[c].dataType).alias(c) for c in ("node", "up", "hops")])
+    ends = staged(ends.withColumn("whole", F.lit(True)).unionByName(links.where(~whole).withColumn("whole", F.lit(False))), "links")
+    if not ends.where("whole AND up IS NULL").isEmpty():
+        raise ValueError("the parents of some nodes form a cycle")
+    return ends.drop("whole")
 
 
 def contract(nodes: DataFrame, gone: Column) -> DataFrame:
