@@ -53,15 +53,27 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 COMMON = 1 << 16
 BUCKETS = 1 << 20
+CHUNK = 1 << 10  # counts of buckets that travel in one row
 BLOCK = 512
 SEED = 11
 
 
+def _in_rows(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Order of ``h`` within each row (``row`` does not fall): one sort by the row above the first bits of ``h``."""
+    bits = U(max(int(rows).bit_length(), 1))
+    key = (row.astype(U) << (U(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    key = key[order]
+    tied = key[1:] == key[:-1]
+    if (tied & (h[order[1:]] != h[order[:-1]])).any():  # alike in all bits of the key
+        return np.lexsort((h, row))
+    return order
+
+
 def _unique(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row, sorted; their counts; how many each row has."""
     row = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h = h[_in_rows(h, row, len(count))]  # rows keep their places
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
@@ -87,12 +99,19 @@ def common_shingles(texts: DataFrame, width: int = WIDTH, common: int = COMMON)
                 h, _tf, n = _unique(*shingles(*utf8(part.column(1)), width))
                 counts[:BUCKETS] += np.bincount(_bucket(h), minlength=BUCKETS)
                 counts[BUCKETS] += int((n > 0).sum())
-        some = np.flatnonzero(counts)
-        for lo in range(0, len(some), 100_000):
-            b = some[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(counts[b])], ["b", "n"])
-
-    buckets = stored(texts.mapInArrow(giving_back(bucket_counts), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")), "df")
+        for lo in np.unique(np.flatnonzero(counts) // CHUNK).tolist():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lo], pa.int64()), pa.array([counts[lo * CHUNK:(lo + 1) * CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")]
+        n = np.sum(parts, axis=0)
+        some = np.flatnonzero(n)
+        return pa.table({"b": pa.array(some + key[0].as_py() * CHUNK, pa.int64()), "n": pa.array(n[some], pa.int64())})
+
+    # a task's counts travel in runs of buckets, not in a row for each
+    runs = texts.mapInArrow(giving_back(bucket_counts), "chunk long, counts binary")
+    buckets = stored(runs.groupBy("chunk").applyInArrow(added, "b long, n long"), "df")
     n_docs = sum(r.n for r in buckets.where(F.col("b") == BUCKETS).collect())
     pairs = buckets.where(F.col("b") < BUCKETS).agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-pairs // common))
@@ -134,6 +153,12 @@ class Weights:
             idf[hit] = self.idf[at[hit]]
         return tf * idf
 
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which shingles have their frequency in memory."""
+        if not len(self.keys):
+            return np.zeros(len(h), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h
+
     def of_df(self, df: np.ndarray) -> np.ndarray:
         """Idf of shingles of these frequencies."""
         return np.clip(1 + np.log(max(self.n_docs, 1) / df) / self.scale, 1.0, 2.0)
@@ -167,10 +192,12 @@ def samples(h: np.ndarray, weight: np.ndarray, n: np.ndarray, k_samples: int, se
             x = mix(h[part] ^ seeds[k])
             y = x * U(0x94D049BB133111EB)
             y ^= y >> U(31)
-            u = [((x >> U(s)) & U(0xFFFF)).astype(np.float32) * np.float32(2.0 ** -16) + eps for s in (0, 16, 32, 48)]
+            u = x.astype("<u8").view("<u2").reshape(-1, 4).astype(np.float32)
+            u *= np.float32(2.0 ** -16)
+            u += eps
             beta = (y >> U(40)).astype(np.float32) * np.float32(2.0 ** -24)
-            r = -np.log(u[0] * u[1])  # Gamma(2, 1)
-            log_c = np.log(-np.log(u[2] * u[3]))
+            r = -np.log(u[:, 0] * u[:, 1])  # Gamma(2, 1)
+            log_c = np.log(-np.log(u[:, 2] * u[:, 3]))
             t = np.floor(log_w[part] / r + beta)
             level[part] = t
             score[part] = log_c - r * (t - beta + np.float32(1))
@@ -221,7 +248,7 @@ def vectors(texts: DataFrame, ids, width: int = WIDTH) -> DataFrame:
             for part in portions(known, 1):
                 h, n = shingles(*utf8(part.column(1)), width)
                 row = np.repeat(np.arange(len(n)), n)
-                h = h[np.lexsort((h, row))]
+                h = h[_in_rows(h, row, len(n))]
                 ends = np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(
                     [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "h"])
@@ -238,7 +265,7 @@ def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WI
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 hs = [np.unique(np.frombuffer(x.as_buffer(), U)) for x in part.column(2)]
-                at = [np.flatnonzero(~np.isin(h, weights.value.keys)) for h in hs]
+                at = [np.flatnonzero(~weights.value.holds(h)) for h in hs]
                 owner = pa.array(np.repeat(np.arange(len(hs)), [len(a) for a in at]))
                 h = np.concatenate([h[a] for h, a in zip(hs, at, strict=True)])
                 yield pa.RecordBatch.from_arrays(
@@ -255,7 +282,7 @@ def with_frequencies(vecs: DataFrame, texts: DataFrame, weights, width: int = WI
             for part in portions(batch, 1):
                 h, _tf, _n = _unique(*shingles(*utf8(part.column(1)), width))
                 h = h[in_bitmap(wanted.value, h)]
-                seen.append(h[~np.isin(h, weights.value.keys)])
+                seen.append(h[~weights.value.holds(h)])
             h, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 

@@ -376,3 +376,24 @@ def test_blocks_of_a_hot_cell_are_dealt_over_tasks(spark, monkeypatch, capsys):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.98).sum(1) - 1
     assert near.sum() > 500 and [got[i] for i in range(90)] == near.tolist()
+
+
+def test_shingles_are_ordered_by_one_sort():
+    """op10: rows keep their places, their shingles are in order, also where the first bits of two are alike."""
+    from lignum.llm import minhash as M
+    rng = np.random.default_rng(4)
+    count = rng.integers(0, 30, 200)
+    row = np.repeat(np.arange(200), count)
+    for alike in (False, True):
+        h = rng.integers(0, 1 << 63, count.sum(), dtype=np.uint64)
+        if alike:
+            h[::3], h[1::4] = h[0], h[0] ^ np.uint64(1)
+        order = M._in_rows(h, row, 200)
+        assert (h[order] == h[np.lexsort((h, row))]).all() and (row[order] == row).all()
+
+
+def test_bucket_counts_travel_in_runs(spark):
+    from lignum.llm import minhash as M
+    docs = spark.createDataFrame([(i, "one two three four five six" if i % 2 else f"w{i} b c d e") for i in range(40)], "id long, text string")
+    found, least, n = M.common_shingles(docs, common=4)
+    assert n == 40 and least == 15 and sorted(found.values()) == [20, 20]
