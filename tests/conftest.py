@@ -14,3 +14,10 @@ def spark():
     s = build_session(master="local[4]", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def uncached(spark):
+    """Tables that the tests of a module cache are dropped with it; those after it start without any."""
+    yield
+    spark.catalog.clearCache()
