@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lignum.functions.constants import BAD_ROOT, EMPTY, SEP
 from lignum.operators.order import staged
-from lignum.operators.spans import span_bounds
-from lignum.operators.trees import children_stats
+from lignum.operators.spans import bounds_of_trees, span_bounds
+from lignum.operators.trees import LABELS, children_stats
 from lignum.ship import ensure_shipped
 
 PARSE_COLS = ["tree_id", "node_id", "parent_id", "type", "is_terminal", "start", "end", "unary"]
@@ -161,6 +163,109 @@ def remove_fillers(nodes: DataFrame) -> DataFrame:
     return kept.withColumn("type", F.when(F.col("type") == EMPTY, F.lit(BAD_ROOT)).otherwise(F.col("type")))
 
 
+class Forest:
+    """Sequences of many trees, one after the other: ``lens`` gaps a tree, their heights ``d`` and labels ``c``, and the labels ``u``
+    of its ``lens + 1`` tokens, labels as places in ``trees.LABELS``."""
+
+    def __init__(self, lens: np.ndarray, d: np.ndarray, c: np.ndarray, u: np.ndarray):
+        self.lens, self.d, self.c, self.u = lens, d, c, u
+
+
+def parsed(f: Forest) -> dict[str, np.ndarray]:
+    """``parse_nodes`` of many trees at once, a tree after the other and its nodes in preorder: ``up`` is the place of the parent in
+    all of them (-1 for a root)."""
+    tree = np.repeat(np.arange(len(f.lens)), f.lens)
+    gap0 = np.cumsum(f.lens) - f.lens
+    tok0 = gap0 + np.arange(len(f.lens))
+    leaf_tree = np.repeat(np.arange(len(f.lens)), f.lens + 1)
+    tok = np.arange(len(leaf_tree)) - tok0[leaf_tree]
+    lo, hi = (x.astype(np.int64) for x in bounds_of_trees(f.d, f.lens))
+
+    def above(row, left, right):
+        """The lower of two neighbouring gaps; of two alike the right one, as the first maximum is the root."""
+        none = left < 0, right >= f.lens[row]
+        left, right = left + gap0[row], right + gap0[row]
+        if not len(f.d):
+            return np.full(len(row), -1)
+        low = f.d[np.where(none[0], 0, left)] < f.d[np.where(none[1], 0, right)]
+        return np.where(none[0] & none[1], -1, np.where(none[0], right, np.where(none[1], left, np.where(low, left, right))))
+
+    up = np.concatenate([above(tree, lo - 1, hi), above(leaf_tree, tok - 1, tok)])
+    row, lo, hi = np.concatenate([tree, leaf_tree]), np.concatenate([lo, tok]), np.concatenate([hi, tok])
+    n = len(leaf_tree)
+    order = np.argsort((tok0[row] + lo) * (n + 1) + n - (hi - lo))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    up = np.where(up >= 0, place[up], -1)[order]   # gaps come first
+    row = row[order]
+    first = np.searchsorted(row, row)
+    return {"tree": row, "node_id": np.arange(len(row)) - first, "up": up, "label": np.concatenate([f.c, f.u])[order],
+            "leaf": (order >= len(tree)), "lo": lo[order], "hi": hi[order]}
+
+
+def _labels(extra: tuple[str, ...]) -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
+    """Parts of the labels of ``trees.LABELS`` and of ``extra``: their names, how many each label has, and their places."""
+    split = [x.split(SEP) for x in (*LABELS, *extra)]
+    names = tuple(dict.fromkeys(y for x in split for y in x))
+    return names, np.array([len(x) for x in split]), np.array([names.index(y) for x in split for y in x])
+
+
+PART_NAMES, _N_PARTS, _PARTS = _labels((BAD_ROOT,))
+_BAD_ROOT = len(LABELS)
+RESTORED = "tree_id long, node_id long, parent_id long, type string, is_terminal boolean, start int, `end` int"
+
+
+def _fresh_ids(tree: np.ndarray, node_id: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """``_fresh`` of nodes in order of tree and id."""
+    top = np.flatnonzero(np.r_[tree[1:] != tree[:-1], True])
+    first = np.r_[0, top[:-1] + 1]
+    before = np.cumsum(need) - need
+    run = np.repeat(np.arange(len(top)), np.diff(np.r_[first, len(tree)]))
+    return node_id[top][run] + 1 + before - before[first][run]
+
+
+def restored(f: Forest, tree_ids: pa.Array) -> pa.RecordBatch:
+    """C11-C14 of many trees at once: ``restore`` of their ``parsed`` nodes."""
+    n = parsed(f)
+    # Fillers go, and what hangs on them moves to the nearest ancestor that stays
+    inner, up = ~n["leaf"], n["up"]
+    gone = inner & (n["label"] == 0) & (up >= 0)
+    while True:
+        at = np.flatnonzero(up >= 0)
+        at = at[gone[up[at]]]
+        if not len(at):
+            break
+        up[at] = up[up[at]]
+    stay = np.flatnonzero(~gone)
+    tree, node_id, leaf, label, lo, hi = (n[x][stay] for x in ("tree", "node_id", "leaf", "label", "lo", "hi"))
+    parent = np.where(up[stay] >= 0, n["node_id"][up[stay]], -1)
+    label = np.where(~leaf & (label == 0), _BAD_ROOT, label)
+    # C14: a node for each labelled leaf
+    need = leaf & (label != 0)
+    fresh = _fresh_ids(tree, node_id, need.astype(np.int64))
+    at = np.flatnonzero(need)
+    tree, leaf, label, lo, hi = (np.concatenate([x, x[at]]) for x in (tree, leaf, label, lo, hi))
+    parent = np.concatenate([np.where(need, fresh, parent), parent[at]])
+    node_id = np.concatenate([node_id, fresh[at]])
+    leaf[len(need):] = False
+    order = np.lexsort((node_id, tree))
+    tree, node_id, parent, leaf, label, lo, hi = (x[order] for x in (tree, node_id, parent, leaf, label, lo, hi))
+    # Fused labels become chains
+    more = np.where(leaf, 0, _N_PARTS[label] - 1)
+    fresh = _fresh_ids(tree, node_id, more)
+    own = np.repeat(np.arange(len(tree)), more + 1)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    part = _PARTS[(np.cumsum(_N_PARTS) - _N_PARTS)[label[own]] + nth]
+    ids = np.where(nth == more[own], node_id[own], fresh[own] + nth)
+    parent = np.where(nth == 0, parent[own], fresh[own] + nth - 1)
+    leaf, lo, hi = leaf[own], lo[own], hi[own]
+    text = pc.if_else(pa.array(leaf), pa.array(lo).cast(pa.string()), pa.array(PART_NAMES, pa.string()).take(pa.array(part)))
+    return pa.RecordBatch.from_arrays(
+        [tree_ids.take(pa.array(tree[own])), pa.array(ids), pa.array(parent, mask=parent < 0), text, pa.array(leaf),
+         pa.array(lo.astype(np.int32)), pa.array((hi + 1).astype(np.int32))],
+        ["tree_id", "node_id", "parent_id", "type", "is_terminal", "start", "end"])
+
+
 def _fresh(need: Column) -> Column:
     """First fresh id of a row that needs ``need`` of them: ids go on after the largest, in order of node id."""
     tree = W.partitionBy("tree_id")
